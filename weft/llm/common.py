@@ -30,14 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan's input files or rows."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Bytes of a plan's inputs as Catalyst knows them, before any join multiplies them; 0 for those of unknown size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def buckets(df: DataFrame, each: int = 16 << 20) -> int:
     """Shuffle buckets for df: one for every `each` bytes, and no fewer than the session's shuffle partitions."""
-    size = min(input_bytes(df), 1 << 50)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(input_bytes(df) / each))
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -47,3 +48,38 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pack(*blobs: bytes) -> bytes:
+    """Several byte strings as one compressed one, for rows that carry whole arrays through a shuffle."""
+    import numpy as np
+    import zstandard
+
+    head = np.array([len(blobs), *map(len, blobs)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(blobs))
+
+
+def unpack(packed: bytes) -> list[memoryview]:
+    import numpy as np
+    import zstandard
+
+    whole = memoryview(zstandard.ZstdDecompressor().decompress(packed))
+    n = int(np.frombuffer(whole[:8], np.int64)[0])
+    ends = np.cumsum([8 * (n + 1), *np.frombuffer(whole[8 : 8 * (n + 1)], np.int64)])
+    return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def rows(batch: list, schema) -> "object":
+    """An Arrow batch of a list of tuples."""
+    import pyarrow as pa
+
+    columns = zip(*batch) if batch else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of df, those of the least hashes of `key`: the same rows at every run and partitioning. Only keys
+    reach the driver's merge, so its size is bounded by `most`."""
+    ids = df.select(F.col(key).alias("_k")).where("_k is not null").groupBy("_k").agg(F.xxhash64("_k").alias("_h"))
+    ids = ids.orderBy("_h", "_k").limit(most).select("_k")
+    return df.join(F.broadcast(ids), F.col(key) == F.col("_k"), "left_semi")
