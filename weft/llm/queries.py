@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, piece_rounds, token_counts, token_store
+from weft.llm import langid, lattice, packing, pii, piece_rounds, progressive_jpeg, secret_scan, token_counts, token_store
 from weft.llm.common import table
 
 
@@ -16,10 +16,15 @@ def _on(operator: Callable[[DataFrame], DataFrame], name: str = "documents") ->
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_surrogates": _on(pii.surrogates),
         "op2_token_counts": _on(token_counts.token_counts),
+        "op3_language_id": _on(langid.language_id),
+        "op4_lattice_near_pairs": _on(lattice.near_pairs, "embeddings"),
         "op5_token_store": _on(token_store.token_store),
+        "op6_secret_scan": _on(secret_scan.secret_scan),
         "op7_piece_rounds": _on(piece_rounds.encode),
         "op8_best_fit_packing": _on(packing.best_fit_packing),
+        "op10_page_tensors": _on(progressive_jpeg.page_tensors, "pages"),
     }
 
 
