@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import langid, lattice, packing, pii, piece_rounds, progressive_jpeg, secret_scan, token_counts, token_store
+from weft.llm import jaccard_join, langid, lattice, packing, pii, piece_rounds, progressive_jpeg, secret_scan, token_counts, token_store
 from weft.llm.common import table
 
 
@@ -24,9 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_scan": _on(secret_scan.secret_scan),
         "op7_piece_rounds": _on(piece_rounds.encode),
         "op8_best_fit_packing": _on(packing.best_fit_packing),
+        "op9_jaccard_pairs": _on(jaccard_join.jaccard_pairs),
         "op10_page_tensors": _on(progressive_jpeg.page_tensors, "pages"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_jaccard_pairs": jaccard_join.ORACLE}
