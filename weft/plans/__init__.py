@@ -1,4 +1,4 @@
-"""Registered queries: name -> (query, SQL that gives the same rows)."""
+"""Registered queries of the engine: name -> a query over the tables in a folder, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,10 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.plans import relational
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Temporary views of the tables that a text of SQL names."""
+    for t in relational.TABLES:
+        if t in sql:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def _sql(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, relational.spark_sql(name))
+        return spark.sql(relational.spark_sql(name))
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: _sql(name) for name in relational.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: relational.oracle(name) for name in relational.SQL}
