@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import rows, texts, written
+from weft.llm.common import texts, written
 
 KEY = b"weft surrogate key 1"
 #: Symbols that junk text puts between the parts of one value.
@@ -42,8 +42,6 @@ FIRST = {
     ("greek", "f"): "Άννα Βάσω Γεωργία Δήμητρα Ελένη Ζωή Ηρώ Κατερίνα Μαρία Νίκη Πηνελόπη Σοφία".split(),
 }
 SYLLABLES = {"latin": "ba bel cor da den fal gar hol in jan kel lo mar nes or pa quin ros sel tan ul ver win xan yor zel".split(), "cyrillic": "ба вел гор да ден жар зал кор ла мар нес ол па рос сел тан ул фед хор чер".split(), "greek": "βα γελ δα θορ κα λεν μαρ νες ολ πα ρος σελ ταν φορ χαρ".split()}
-#: JVM-side test that holds for every text with an entity.
-MAYBE = rf"[0-9@]|(?:{'|'.join(GENDER)})"
 
 
 def script(word: str) -> str:
@@ -212,10 +210,18 @@ def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     def extract(batches):
         for batch in batches:
-            out = []
-            for mark, text in zip(batch["mark"].to_pylist(), batch["text"]):
-                out += [(mark, k, v) for k, v in {(k, v) for _, _, k, v in entities(text.as_py())}]
-            yield rows(out, pa.schema([("mark", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
+            keep, out = [], []
+            for i, text in enumerate(batch["text"]):
+                if own := {(k, v) for _, _, k, v in entities(text.as_py())}:
+                    keep.append(i)
+                    out.append([{"kind": k, "value": v} for k, v in sorted(own)])
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.record_batch([some["doc_id"], some["text"], pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))], ["doc_id", "text", "found"])
+
+    def without(batches):
+        for batch in batches:
+            none = [not entities(text.as_py()) for text in batch["text"]]
+            yield batch.filter(pa.array(none, pa.bool_()))
 
     def rewrite(batches):
         for batch in batches:
@@ -227,12 +233,10 @@ def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.record_batch([batch["doc_id"], pa.array(new, pa.string()), pa.array(n, pa.int32())], ["doc_id", "text", "n_replaced"])
 
     docs = texts(docs)
-    maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
-    some = docs.where(maybe).select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("mark"))
-    found = written(some.mapInArrow(extract, "mark string, kind string, value string").distinct(), "entities")
+    some = written(docs.mapInArrow(extract, "doc_id bigint, text string, found array<struct<kind:string,value:string>>"), "entities").withColumn("mark", F.md5(F.col("text").cast("binary")))
+    found = some.select("mark", F.explode("found").alias("e")).select("mark", "e.*").distinct()
     table = assign(found.select("kind", "value").distinct(), key)
     given = found.join(table, ["kind", "value"]).groupBy("mark").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("given"))
     changed = some.join(given, "mark").select("doc_id", "text", "given").mapInArrow(rewrite, "doc_id bigint, text string, n_replaced int")
-    same = some.join(given.select("mark"), "mark", "left_anti").select("doc_id", "text", F.lit(0).alias("n_replaced"))
-    rest = docs.where(~maybe).select("doc_id", "text", F.lit(0).alias("n_replaced"))
-    return changed.unionByName(same).unionByName(rest)
+    same = docs.mapInArrow(without, docs.schema).select("doc_id", "text", F.lit(0).alias("n_replaced"))
+    return changed.unionByName(same)
