@@ -33,7 +33,7 @@ class Ids:
         encoding = pretokens.encoding(path)
         self.dtype = np.dtype("<u2" if encoding.n_vocab <= 1 << 16 else "<u4")
         ids = lambda text: np.array(encoding.encode_ordinary(text), self.dtype).tobytes()
-        self.spaced, self.plain = pretokens.Memo(lambda w: ids(" " + w), 250_000), pretokens.Memo(ids, 50_000)
+        self.spaced, self.plain = pretokens.Memo(lambda w: ids(" " + w), 600_000), pretokens.Memo(ids, 50_000)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -42,6 +42,12 @@ class Ids:
         return b"".join(map(self.plain.__getitem__, whole)) + b"".join(map(self.spaced.__getitem__, rest))
 
 
+@cache
+def _ids(path: str) -> Ids:
+    """One in each worker process: what a task has encoded the next one needn't."""
+    return Ids(path)
+
+
 def digest(dictionary: bytes) -> str:
     return hashlib.sha256(dictionary).hexdigest()
 
@@ -51,7 +57,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str = pretokens.BPE_FILE, most
     doc_id. Where the sample is too small to train on, its arrays themselves (nothing, if it has none) are the dictionary."""
 
     def arrays(batches):
-        ids = Ids(vocabulary)
+        ids = _ids(vocabulary)
         for batch in batches:
             yield pa.record_batch([pa.array([ids(x.as_py()) for x in batch["text"]], pa.binary())], ["ids"])
 
@@ -69,7 +75,7 @@ def _dictionary(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def _frames(vocabulary: str, dictionary: bytes, level: int):
     def frames(batches):
-        ids, task = Ids(vocabulary), TaskContext.get().partitionId()
+        ids, task = _ids(vocabulary), TaskContext.get().partitionId()
         shared, mark = _dictionary(dictionary), digest(dictionary)
         press = zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=True) if shared else zstandard.ZstdCompressor(level=level, write_checksum=True)
         for k, batch in enumerate(batches):
