@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import scalar
-from weft.operators import fusion, graph, nested, signals, spatial, text, vector
+from weft.operators import deep, fusion, graph, nested, signals, spatial, text, vector
 from weft.operators.graph import EdgePattern, Graph
 from weft.operators.signals import ID, SCORE
 
@@ -506,3 +506,22 @@ def _(spark, sf_dir):
 @query("cte_recursive_distinct", "WITH RECURSIVE r(k) AS (SELECT CAST(0 AS BIGINT) UNION SELECT (k * 3 + 1) % 25 FROM r) SELECT k FROM r")
 def _(spark, sf_dir):
     return scalar.recursive_union(spark.sql("SELECT CAST(0 AS BIGINT) AS k"), lambda new: new.select(((F.col("k") * 3 + 1) % 25).alias("k")))
+
+
+# --- layered models ----------------------------------------------------------------------------------------------------------------
+
+
+@query("deep_learn_predict")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    model = deep.deep_learn(e, "label", "embedding", [{"kind": "conv", "n": 4, "size": 3, "init": "orthogonal"}, {"kind": "pool", "size": 2}])
+    return rounded(deep.deep_predict(e, "vec_id", "embedding", model).select(ID, "label", SCORE))
+
+
+@query("deep_fusion")
+def _(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
+    g = _small(spark, sf_dir)
+    p = signals.signal(n, "id", (F.col("id") + 1) / 26.0)
+    state = deep.propagate(deep.convolve(deep.from_signals([p]), g, [0.6, 0.4]), g)
+    return rounded(deep.softmax(deep.dense(state, [[1.0], [-1.0]], [0.0, 0.5], "relu")).select(ID, SCORE))
