@@ -24,10 +24,15 @@ from weft.llm.common import buckets, pack, rows, texts, unpack, written
 
 #: Words of an n-gram; least Jaccard of a pair.
 N, LEAST = 3, 0.6
-#: n-grams that a pair must share in its prefixes to be looked at, for n-grams that at most SMALL documents have there.
-SHARED, SMALL = 4, 8
+#: n-grams that a pair shares in its prefixes at least, if its sets are so large (larger ones share more); n-grams that more than SMALL documents have
+#: there make regions, others count for pairs.
+SHARED, SMALL = 16, 8
 #: Words known to the order of n-grams; documents joined at once in a cell; documents of a region that one task joins.
 WORDS, LEAF, REGION = 500_000, 512, 20_000
+#: n-grams that two pivots share in their prefixes for their regions to be one.
+STRONG = 8
+#: Most ids of candidates that are sent to all tasks.
+BROADCAST = 1_000_000
 BLOCK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -154,6 +159,17 @@ def needed(m, least: float):
     return np.ceil(np.asarray(m) * least - 1e-9).astype(np.int64)
 
 
+def more(m):
+    """n-grams of a prefix beyond what one shared n-gram needs: SHARED, or a sixteenth of a large set."""
+    return np.maximum(SHARED, np.asarray(m) // 16)
+
+
+def shares(small, large, least: float) -> tuple:
+    """(s, l): of the n-grams that a pair with sets of these sizes shares in its prefixes, s are rare or else l are common."""
+    all_of = np.minimum(more(small), needed(large, least))
+    return (all_of + 1) // 2, all_of // 2 + 1
+
+
 def _prefixes(words: np.ndarray, classes: np.ndarray, least: float, n: int, n_buckets: int):
     def run(batches):
         keys, own, ids, sizes, held = [], [], [], [], 0
@@ -192,7 +208,7 @@ def _prefixes(words: np.ndarray, classes: np.ndarray, least: float, n: int, n_bu
                     rank = np.minimum(rank, c[np.minimum(block.first + j, block.last)])
                 for i, s in zip(at, block.sets(rank << np.uint64(58) | block.gram_hashes() >> np.uint64(6))):
                     if len(s):
-                        p = s[: len(s) - int(needed(len(s), least)) + SHARED]
+                        p = s[: len(s) - int(needed(len(s), least)) + int(more(len(s)))]
                         keys.append(p)
                         own.append(len(p))
                         ids.append(doc_ids[i])
@@ -226,7 +242,7 @@ def _meet(least: float):
         key, doc, m = key[order], doc[order], m[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[starts, len(key)])
-        pairs, members = [np.empty((0, 4), np.int64)], [np.empty((0, 2), np.int64)]
+        pairs, members = [np.empty((0, 4), np.int64)], [np.empty((0, 3), np.int64)]
         for g in range(2, SMALL + 1):
             at = starts[n == g]
             for i in range(g):
@@ -234,14 +250,14 @@ def _meet(least: float):
                     a, b = at + i, at + j
                     ok = (doc[a] != doc[b]) & (np.minimum(m[a], m[b]) >= needed(np.maximum(m[a], m[b]), least))
                     a, b = a[ok], b[ok]
-                    pairs.append(np.stack([doc[a], doc[b], np.minimum(SHARED, needed(np.maximum(m[a], m[b]), least)), np.ones(len(a), np.int64)], 1))
+                    pairs.append(np.stack([doc[a], doc[b], shares(np.minimum(m[a], m[b]), np.maximum(m[a], m[b]), least)[0], np.ones(len(a), np.int64)], 1))
         large = n > SMALL
         at = np.repeat(starts[large], n[large])
         inside = np.repeat(large, n)
-        members.append(np.stack([doc[at], doc[inside]], 1))
+        members.append(np.stack([doc[at], doc[inside], shares(needed(m[inside], least), m[inside], least)[1]], 1))
         p = np.concatenate(pairs)
-        out = pd.DataFrame(p, columns=["p", "x", "least", "n"]).groupby(["p", "x"], as_index=False).agg({"least": "min", "n": "sum"})
-        q = pd.DataFrame(np.concatenate(members), columns=["p", "x"]).drop_duplicates().assign(least=0, n=0)
+        out = pd.DataFrame(p, columns=["p", "x", "least", "n"]).groupby(["p", "x"], as_index=False).agg({"least": "min", "n": "sum"}).assign(large=False)
+        q = pd.DataFrame(np.concatenate(members), columns=["p", "x", "least"]).groupby(["p", "x"], as_index=False).agg(least=("least", "min"), n=("least", "size")).assign(large=True)
         for frame in (out, q):
             for at in range(0, len(frame), 100_000):
                 yield pa.RecordBatch.from_pandas(frame.iloc[at : at + 100_000], preserve_index=False)
@@ -249,16 +265,20 @@ def _meet(least: float):
     return run
 
 
-def _sets(n: int):
+def _marked(n: int):
+    """Rows with a hash of the text's whole set; those whose set is empty go."""
+
     def run(batches):
         for batch in batches:
-            ids, out = batch["doc_id"].to_pylist(), []
+            keep, marks = [], []
             for at, some in _blocks(batch):
                 block = Block(some, n)
                 for i, s in zip(at, block.sets(block.gram_hashes())):
                     if len(s):
-                        out.append((ids[i], hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes()))
-            yield rows(out, pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("grams", pa.binary())]))
+                        keep.append(i)
+                        marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.record_batch([own["doc_id"], own["text"], pa.array(marks, pa.binary())], ["doc_id", "text", "mark"])
 
     return run
 
@@ -284,11 +304,24 @@ class Cell:
 
     def overlaps(self, a: np.ndarray, b: np.ndarray, wide: int = 4096) -> np.ndarray:
         """Sizes of the intersections of documents a with documents b, by products of dense blocks of the incidence."""
-        out = np.zeros((len(a), len(b)), np.float32)
         (ra, ga), (rb, gb) = self.part(a), self.part(b)
-        used, inverse = np.unique(np.concatenate([ga, gb]), return_inverse=True)
-        ga, gb = inverse[: len(ga)], inverse[len(ga) :]
-        for at in range(0, len(used), wide):
+        if len(b) <= 16:
+            out = np.zeros((len(a), len(b)), np.int64)
+            own = np.zeros(self.grams, bool)
+            for j in range(len(b)):
+                mine = gb[rb == j]
+                own[mine] = True
+                out[:, j] = np.bincount(ra[own[ga]], minlength=len(a))
+                own[mine] = False
+            return out
+        # only n-grams that both sides have matter
+        has = [np.zeros(self.grams, bool) for _ in range(2)]
+        has[0][ga], has[1][gb] = True, True
+        both = has[0] & has[1]
+        number = np.cumsum(both) - 1
+        ra, rb, ga, gb = ra[both[ga]], rb[both[gb]], number[ga[both[ga]]], number[gb[both[gb]]]
+        out = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(both.sum()), wide):
             x, y = (np.zeros((len(d), wide), np.float32) for d in (a, b))
             for z, r, g in ((x, ra, ga), (y, rb, gb)):
                 some = (g >= at) & (g < at + wide)
@@ -364,43 +397,72 @@ def join_sets(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, i
     return sorted((i, j, x, y) for (i, j), (x, y) in out.items())
 
 
-def _region(least: float):
+def _region(least: float, n: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["x"].to_numpy()
-        _, at = np.unique(ids, return_index=True)
-        ids = ids[at]
-        grams = table["grams"].take(pa.array(at))
-        found = np.array(join_sets([np.frombuffer(g.as_buffer(), np.uint64) for g in grams], least), np.int64).reshape(-1, 4)
+        # a row that repeats a document and its text counts once
+        once = {(i, t): k for k, (i, t) in enumerate(zip(table["x"].to_pylist(), table["text"].to_pylist()))}
+        table = table.take(pa.array(list(once.values()), pa.int64()))
+        ids, sets = table["x"].to_numpy(), []
+        for batch in table.select(["text"]).to_batches():
+            for _, some in _blocks(batch):
+                block = Block(some, n)
+                sets += block.sets(block.gram_hashes())
+        found = np.array(join_sets(sets, least), np.int64).reshape(-1, 4)
         a, b = ids[found[:, 0]], ids[found[:, 1]]
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[:, 2] / np.maximum(found[:, 3], 1))], schema=schema)
 
     return run
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(a, label): the least vertex that edges (a, b) connect each vertex with."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
+    # labels fall to the least of the neighbours', then to the label of the label, until none falls any more
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label")), "labels")
+    while True:
+        lower = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("lower"))
+        step = labels.join(lower, "a").select("a", "label", F.least("label", "lower").alias("new"))
+        jump = labels.select(F.col("a").alias("new"), F.col("label").alias("further"))
+        new = written(step.join(jump, "new", "left").select("a", "label", F.least("new", F.coalesce("further", "new")).alias("new")), "labels")
+        labels = new.select("a", F.col("new").alias("label"))
+        if new.where("new != label").isEmpty():
+            return labels
+
+
 def _classes(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b, jaccard) of the least documents of equal sets, members (id, v) of those with partners or copies)."""
     words, classes = word_classes(docs)
     k = buckets(docs)
     known = docs.where("doc_id is not null")
-    met = known.mapInArrow(_prefixes(words, classes, least, n, k), "bucket int, body binary").repartition(k, "bucket").mapInArrow(_meet(least), "p bigint, x bigint, least bigint, n bigint")
-    regions = written(met.groupBy("p", "x").agg(F.min("least").alias("least"), F.sum("n").alias("n")).where("n >= least").select("p", "x"), "regions")
-    wanted = regions.select("x").union(regions.select("p")).distinct().withColumnRenamed("x", "doc_id")
-    sets = written(known.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id bigint, mark binary, grams binary"), "sets")
+    met = known.mapInArrow(_prefixes(words, classes, least, n, k), "bucket int, body binary").repartition(k, "bucket").mapInArrow(_meet(least), "p bigint, x bigint, least bigint, n bigint, large boolean")
+    met = written(met.groupBy("p", "x", "large").agg(F.min("least").alias("least"), F.sum("n").alias("n")), "met")
+    # a pair shares enough rare n-grams, or each of its documents has enough common ones
+    pairs, stars = met.where("not large and n >= least"), met.where("large")
+    enough = stars.groupBy("x").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least")
+    own = [pairs.select("p", "x", "n"), pairs.select("p", F.col("p").alias("x"), "n"), stars.join(enough.select("x"), "x", "left_semi").select("p", "x", "n")]
+    regions = written(own[0].unionByName(own[1]).unionByName(own[2]).groupBy("p", "x").agg(F.max("n").alias("n")), "regions")
+    wanted = written(regions.select(F.col("x").alias("doc_id")).distinct(), "wanted")
+    # a list of ids is sent to all only while it is small; beyond that the documents are shuffled to it
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    marked = written(known.join(few, "doc_id", "left_semi").mapInArrow(_marked(n), "doc_id bigint, text string, mark binary"), "marked")
     # equal sets are one: the least document stands for them
-    least_of = sets.groupBy("mark").agg(F.min("doc_id").alias("id"))
-    members = written(sets.select("doc_id", "mark").join(least_of, "mark").select("id", F.col("doc_id").alias("v")).distinct(), "members")
-    alone = sets.join(least_of.select(F.col("id").alias("doc_id"), "mark"), ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("x"), "grams")
+    least_of = marked.groupBy("mark").agg(F.min("doc_id").alias("id"))
+    members = written(marked.select("doc_id", "mark").join(least_of, "mark").select("id", F.col("doc_id").alias("v"), "mark").distinct(), "members")
     of = lambda c: members.select(F.col("v").alias(c), F.col("id").alias(f"{c}_id"))
-    pairs = regions.join(of("p"), "p").join(of("x"), "x").select(F.col("p_id").alias("p"), F.col("x_id").alias("x")).distinct()
-    own = pairs.unionByName(pairs.select("p", F.col("p").alias("x"))).distinct()
-    # a region too large for one task is joined block by block, each pair of blocks in a task of its own
-    size = own.groupBy("p").count().where("count > 1").select("p", F.ceil(F.col("count") / REGION).cast("int").alias("blocks"))
+    pairs = written(regions.join(of("p"), "p", "left").join(of("x"), "x").groupBy(F.coalesce("p_id", "p").alias("p"), F.col("x_id").alias("x")).agg(F.max("n").alias("n")), "pairs")
+    # regions whose pivots share many n-grams are one, so that a cluster of copies is joined once and not for each of its pivots
+    labels = components(pairs.where(F.col("n") >= STRONG).select(F.col("p").alias("a"), F.col("x").alias("b"))).select(F.col("a").alias("p"), "label")
+    own = written(pairs.join(labels, "p", "left").select(F.coalesce("label", "p").alias("p"), "x").distinct(), "own")
+    # one too large for a task is joined block by block, each pair of blocks in a task of its own
+    count = own.groupBy("p").count().where("count > 1").select("p", F.ceil(F.col("count") / REGION).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
-    spread = own.join(size, "p").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = own.join(count, "p").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("p", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "x")
-    near = spread.join(alone, "x").groupBy("p", "i", "j").applyInArrow(_region(least), "a bigint, b bigint, jaccard double")
+    first = members.where("id = v").select(F.col("v").alias("doc_id"), "mark")
+    alone = marked.join(first, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("x"), "text")
+    near = spread.join(alone, "x").groupBy("p", "i", "j").applyInArrow(_region(least, n), "a bigint, b bigint, jaccard double").where("a != b")
     return near.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), members
 
 
@@ -414,7 +476,7 @@ def jaccard_pairs(docs: DataFrame, least: float = LEAST, n: int = N) -> DataFram
     an empty one; columns other than doc_id and text aren't read.
     """
     near, members = _classes(texts(docs), least, n)
-    members = members.select("id", "v")
+    members = members.select("id", "v").distinct()
     across = near.join(members.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(members.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("va", "vb", "jaccard")
     same = members.select("id", F.col("v").alias("va")).join(members.select("id", F.col("v").alias("vb")), "id").where("va < vb").select("va", "vb", F.lit(1.0).alias("jaccard"))
     every = across.unionByName(same).where("va != vb").select(F.least("va", "vb").alias("doc_a"), F.greatest("va", "vb").alias("doc_b"), "jaccard")
@@ -424,18 +486,7 @@ def jaccard_pairs(docs: DataFrame, least: float = LEAST, n: int = N) -> DataFram
 def duplicates(docs: DataFrame, least: float = LEAST, n: int = N) -> DataFrame:
     """(doc_id, kept): the documents that go if of each group, connected by pairs, only the least doc_id stays."""
     near, members = _classes(texts(docs), least, n)
-    edges = near.select("a", "b").unionByName(members.where("id != v").select(F.col("id").alias("a"), F.col("v").alias("b")))
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    # labels fall to the least of the neighbours', then to the label of the label, until none falls any more
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label")), "labels")
-    while True:
-        lower = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("lower"))
-        step = labels.join(lower, "a").select("a", "label", F.least("label", "lower").alias("new"))
-        jump = labels.select(F.col("a").alias("new"), F.col("label").alias("further"))
-        new = written(step.join(jump, "new", "left").select("a", "label", F.least("new", F.coalesce("further", "new")).alias("new")), "labels")
-        labels = new.select("a", F.col("new").alias("label"))
-        if new.where("new != label").isEmpty():
-            break
+    labels = components(near.select("a", "b").unionByName(members.where("id != v").select(F.col("id").alias("a"), F.col("v").alias("b"))))
     return labels.where("a != label").select(F.col("a").alias("doc_id"), F.col("label").alias("kept"))
 
 
