@@ -160,8 +160,8 @@ def needed(m, least: float):
 
 
 def more(m):
-    """n-grams of a prefix beyond what one shared n-gram needs: SHARED, or a sixteenth of a large set."""
-    return np.maximum(SHARED, np.asarray(m) // 16)
+    """n-grams of a prefix beyond what one shared n-gram needs: SHARED, or an eighth of a large set."""
+    return np.maximum(SHARED, np.asarray(m) // 8)
 
 
 def shares(small, large, least: float) -> tuple:
@@ -431,6 +431,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A list of ids to join texts with: sent to all tasks only while it is small; beyond that the texts are shuffled to it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+
+
 def _classes(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b, jaccard) of the least documents of equal sets, members (id, v) of those with partners or copies)."""
     words, classes = word_classes(docs)
@@ -444,9 +449,7 @@ def _classes(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFram
     own = [pairs.select("p", "x", "n"), pairs.select("p", F.col("p").alias("x"), "n"), stars.join(enough.select("x"), "x", "left_semi").select("p", "x", "n")]
     regions = written(own[0].unionByName(own[1]).unionByName(own[2]).groupBy("p", "x").agg(F.max("n").alias("n")), "regions")
     wanted = written(regions.select(F.col("x").alias("doc_id")).distinct(), "wanted")
-    # a list of ids is sent to all only while it is small; beyond that the documents are shuffled to it
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    marked = written(known.join(few, "doc_id", "left_semi").mapInArrow(_marked(n), "doc_id bigint, text string, mark binary"), "marked")
+    marked = written(known.join(_few(wanted), "doc_id", "left_semi").mapInArrow(_marked(n), "doc_id bigint, text string, mark binary"), "marked")
     # equal sets are one: the least document stands for them
     least_of = marked.groupBy("mark").agg(F.min("doc_id").alias("id"))
     members = written(marked.select("doc_id", "mark").join(least_of, "mark").select("id", F.col("doc_id").alias("v"), "mark").distinct(), "members")
@@ -461,8 +464,8 @@ def _classes(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFram
     spread = own.join(count, "p").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("p", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "x")
     first = members.where("id = v").select(F.col("v").alias("doc_id"), "mark")
-    alone = marked.join(first, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("x"), "text")
-    near = spread.join(alone, "x").groupBy("p", "i", "j").applyInArrow(_region(least, n), "a bigint, b bigint, jaccard double").where("a != b")
+    alone = marked.join(_few(first), ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("x"), "text")
+    near = alone.join(_few(written(spread, "spread")), "x").groupBy("p", "i", "j").applyInArrow(_region(least, n), "a bigint, b bigint, jaccard double").where("a != b")
     return near.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), members
 
 
