@@ -39,6 +39,18 @@ def test_cycles_bombs_and_clean_texts(monkeypatch):
     assert secret_scan.scan("AKIA" + "ABCDEFGH12345678" + " -----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----")[0][0] == "cloud key id"
 
 
+def test_repeated_encoded_secrets():
+    plain = f'token = "{HEX}"'.encode()
+    for inner, layers in ((plain, "base64"), (gzip.compress(plain, mtime=0), "base64>compressed"), (base64.b64encode(plain), "base64>base64")):
+        part = base64.b64encode(inner).decode()
+        text = f"a {part} b\n" * 3 + f"%C3%A9 {part}"
+        found = secret_scan.scan(text)
+        assert [x[3] for x in found] == [layers] * 4 and len({x[1:3] for x in found}) == 4 and len({x[4] for x in found}) == 1
+        assert part not in secret_scan.redact(text, found)
+    once = base64.b64encode(gzip.compress(plain, mtime=0)).decode()
+    assert len(secret_scan.scan(f"{once} " * 2000)) == 2000
+
+
 def test_secret_table(spark):
     rows = [(1, f'a token = "{HEX}" b', 99, "r"), (1, f'a token = "{HEX}" b', 99, "r"), (2, None, None, None), (3, "", 0, "x"), (None, f"password={HEX}", 1, "q"), (4, "clean", 5, "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, rule string")

@@ -1,9 +1,9 @@
 """Secret scans over nested encodings.
 
 Each text starts a worklist of layers. A layer is scanned for secrets and then for encoded parts: URL escapes, Unicode escapes,
-base64 runs, and compressed bytes inside them. What an encoded part decodes to is a new layer; a layer seen before in the same
-text is dropped, so that the worklist ends at a fixpoint. Every layer keeps, for each of its characters, the span of the original
-text that it came from: findings are told, and cut out, there.
+base64 runs, and compressed bytes inside them. What an encoded part decodes to is a new layer; a layer seen before at the same
+span of the text is dropped, so that the worklist ends at a fixpoint. Every layer keeps, for each of its characters, the span of
+the original text that it came from: findings are told, and cut out, there. A layer that stands at several spans is read once.
 """
 
 from __future__ import annotations
@@ -163,57 +163,105 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
+def _decoded(layer: str):
+    """(encoding, layer with its escapes undone and their spans) for URL and Unicode escapes, where there are any."""
+    if "%" in layer and (got := _percent(layer)):
+        yield "url", got
+    if ("\\" in layer or "&#" in layer) and (got := _escapes(layer)):
+        yield "unicode", got
+
+
+def _digest(secret: str) -> str:
+    return hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
 def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
     """(rule, start, end, layers, digest) of all secrets of a text: span in the text, the encodings around it from the outside
     in, and a hash of the secret itself. A secret seen at the same span in several layers is told once, for the least nested."""
     if not text:
         return []
     found: dict[tuple[int, int], tuple[str, str, str]] = {}
-    seen = {hash(text)}
-    work: deque[tuple[str, list[int] | None, list[int] | None, tuple[str, ...]]] = deque([(text, None, None, ())])
+    # a layer under a base64 run has one span for all its characters: it is read once, and told for every span it stands at
+    pending: dict[int, str] = {}
+    hidden: dict[int, tuple[list[tuple[str, str]], list[tuple[tuple[str, ...], int]]]] = {}
+    runs: dict[int, tuple[tuple[str, ...], int | None] | None] = {}
 
-    def tell(rule, a, b, chain, secret):
+    def tell(rule, a, b, chain, digest):
         if not any(x <= a and b <= y for x, y in found):
-            found[a, b] = (rule, ">".join(chain), hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()[:16])
-
-    def add(new, chain, lo, hi, inner=None, outer=None):
-        """A layer whose characters came from inner spans of the layer before, or all from one outer span of it."""
-        if not new or hash(new) in seen:
-            return
-        seen.add(hash(new))
-        if inner:
-            ls, hs = inner
-            if lo is not None:
-                ls, hs = [lo[a] for a in ls], [hi[b - 1] for b in hs]
-        else:
-            a, b = outer
-            if lo is not None:
-                a, b = lo[a], hi[b - 1]
-            ls, hs = [a] * len(new), [b] * len(new)
-        work.append((new, ls, hs, chain))
-
+            found[a, b] = (rule, ">".join(chain), digest)
+
+    def kept(layer: str) -> int:
+        key = hash(layer)
+        if key not in hidden:
+            pending[key] = layer
+        return key
+
+    def unwrapped(run: str) -> tuple[tuple[str, ...], int] | None:
+        """The encodings of a base64 run and the key of the layer in it, or of a bomb."""
+        key = hash(run)
+        if key in runs:
+            return runs[key]
+        runs[key] = None
+        if (raw := _base64(run)) is None:
+            return None
+        names, seen = ["base64"], {hash(raw)}
+        try:
+            # compressed bytes may open to themselves
+            while (got := opened(raw)) is not None and hash(got) not in seen:
+                names.append("compressed")
+                seen.add(hash(got))
+                raw = got
+        except TooLarge:
+            hidden[key] = ([("compressed bomb", _digest(run))], [])
+            runs[key] = (tuple(names), key)
+            return runs[key]
+        if new := readable(raw):
+            runs[key] = (tuple(names), kept(new))
+        return runs[key]
+
+    def blobs(layer: str) -> list[tuple[int, int, tuple[str, ...], int]]:
+        return [(*m.span(), *got) for m in BASE64.finditer(layer) if (got := unwrapped(m[0]))]
+
+    def opened_layer(key: int):
+        """The secrets of a hidden layer and the layers in it."""
+        if key not in hidden:
+            layer = pending.pop(key)
+            secrets = [(rule, _digest(layer[a:b])) for rule, a, b in secret_spans(layer)]
+            inner: dict[tuple[tuple[str, ...], int], None] = {}
+            for name, decoded in _decoded(layer):
+                inner[(name,), kept(decoded[0])] = None
+            for _, _, names, new in blobs(layer):
+                inner[names, new] = None
+            hidden[key] = (secrets, list(inner))
+        return hidden[key]
+
+    seen: set = set()
+    work: deque[tuple] = deque([(text, None, None, ())])
     while work:
         layer, lo, hi, chain = work.popleft()
+        if isinstance(layer, int):
+            secrets, inner = opened_layer(layer)
+            for rule, digest in secrets:
+                tell(rule, lo, hi, chain, digest)
+            for names, new in inner:
+                if (new, lo, hi) not in seen:
+                    seen.add((new, lo, hi))
+                    work.append((new, lo, hi, (*chain, *names)))
+            continue
         for rule, a, b in secret_spans(layer):
-            tell(rule, a if lo is None else lo[a], b if hi is None else hi[b - 1], chain, layer[a:b])
-        if "%" in layer and (got := _percent(layer)):
-            add(got[0], (*chain, "url"), lo, hi, inner=got[1:])
-        if ("\\" in layer or "&#" in layer) and (got := _escapes(layer)):
-            add(got[0], (*chain, "unicode"), lo, hi, inner=got[1:])
-        for m in BASE64.finditer(layer):
-            raw = _base64(m[0])
-            if raw is None:
-                continue
-            names, kept = ["base64"], raw
-            try:
-                while (got := opened(kept)) is not None:
-                    names.append("compressed")
-                    kept = got
-            except TooLarge:
-                tell("compressed bomb", m.start() if lo is None else lo[m.start()], m.end() if hi is None else hi[m.end() - 1], (*chain, *names), m[0])
-                continue
-            if (new := readable(kept)) is not None:
-                add(new, (*chain, *names), lo, hi, outer=m.span())
+            tell(rule, a if lo is None else lo[a], b if hi is None else hi[b - 1], chain, _digest(layer[a:b]))
+        for name, (new, ls, hs) in _decoded(layer):
+            if lo is not None:
+                ls, hs = [lo[a] for a in ls], [hi[b - 1] for b in hs]
+            # the same characters from the same places: URL escapes and Unicode ones may be undone in either order
+            if new and (mark := (hash(new), hash(tuple(ls)), hash(tuple(hs)))) not in seen:
+                seen.add(mark)
+                work.append((new, ls, hs, (*chain, name)))
+        for a, b, names, new in blobs(layer):
+            a, b = a if lo is None else lo[a], b if hi is None else hi[b - 1]
+            if (new, a, b) not in seen:
+                seen.add((new, a, b))
+                work.append((new, a, b, (*chain, *names)))
     return sorted((rule, a, b, layers, digest) for (a, b), (rule, layers, digest) in found.items())
 
 
