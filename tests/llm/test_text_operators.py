@@ -51,6 +51,18 @@ def test_repeated_encoded_secrets():
     assert len(secret_scan.scan(f"{once} " * 2000)) == 2000
 
 
+def test_several_secrets_of_one_part():
+    other = HEX[::-1]
+    lines = [f'token = "{HEX}"', f'password = "{other}"', base64.b64encode(b"https://user:hunter22@example.org").decode()]
+    want = {secret_scan.scan(x)[0][4] for x in lines}
+    part = base64.b64encode("\n".join(lines).encode()).decode()
+    found = secret_scan.scan(f"x {part} y")
+    assert {x[4] for x in found} == want and len(found) == 3 and {x[1:3] for x in found} == {(2, 2 + len(part))}
+    assert secret_scan.redact(f"x {part} y", found) == "x [SECRET] y"
+    # the part itself is the value of a key
+    assert {x[4] for x in secret_scan.scan(f'token = "{part}"')} > want
+
+
 def test_secret_table(spark):
     rows = [(1, f'a token = "{HEX}" b', 99, "r"), (1, f'a token = "{HEX}" b', 99, "r"), (2, None, None, None), (3, "", 0, "x"), (None, f"password={HEX}", 1, "q"), (4, "clean", 5, "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, rule string")

@@ -177,18 +177,18 @@ def _digest(secret: str) -> str:
 
 def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
     """(rule, start, end, layers, digest) of all secrets of a text: span in the text, the encodings around it from the outside
-    in, and a hash of the secret itself. A secret seen at the same span in several layers is told once, for the least nested."""
+    in, and a hash of the secret itself. A secret seen at the same span in several layers is told once, for the least nested;
+    different secrets at one span, as those of an encoded file, have a row each."""
     if not text:
         return []
-    found: dict[tuple[int, int], tuple[str, str, str]] = {}
+    found: dict[tuple[int, int, str], tuple[str, str]] = {}
     # a layer under a base64 run has one span for all its characters: it is read once, and told for every span it stands at
     pending: dict[int, str] = {}
     hidden: dict[int, tuple[list[tuple[str, str]], list[tuple[tuple[str, ...], int]]]] = {}
     runs: dict[int, tuple[tuple[str, ...], int | None] | None] = {}
 
     def tell(rule, a, b, chain, digest):
-        if not any(x <= a and b <= y for x, y in found):
-            found[a, b] = (rule, ">".join(chain), digest)
+        found.setdefault((a, b, digest), (rule, ">".join(chain)))
 
     def kept(layer: str) -> int:
         key = hash(layer)
@@ -262,7 +262,7 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
             if (new, a, b) not in seen:
                 seen.add((new, a, b))
                 work.append((new, a, b, (*chain, *names)))
-    return sorted((rule, a, b, layers, digest) for (a, b), (rule, layers, digest) in found.items())
+    return sorted((rule, a, b, layers, digest) for (a, b, digest), (rule, layers) in found.items())
 
 
 def redact(text: str | None, found: list[tuple], mark: str = "[SECRET]") -> str | None:
