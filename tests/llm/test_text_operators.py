@@ -1,12 +1,14 @@
 import base64
 import bz2
 import gzip
+import lzma
 import re
 import urllib.parse
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from weft.llm import langid, pii, secret_scan
@@ -63,6 +65,42 @@ def test_several_secrets_of_one_part():
     assert {x[4] for x in secret_scan.scan(f'token = "{part}"')} > want
 
 
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_base64(width):
+    digest = secret_scan.scan(f'token = "{HEX}"')[0][4]
+    prose = " ".join(f"{i * i * 7919 % 1000003} words" for i in range(60))
+    for press in (bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for before in range(3):
+            raw = f'{prose[:40 + 3 * before]} token = "{HEX}" {prose}'.encode()
+            code = base64.b64encode(press(raw)).decode()
+            for end in ("\n", "\r\n", "\n    "):
+                part = end.join(code[i : i + width] for i in range(0, len(code), width))
+                text = f"Attached:\n{part}\nThe end"
+                found = secret_scan.scan(text)
+                assert [x[4] for x in found] == [digest], (press, before, found)
+                assert "base64" in found[0][3] and found[0][1] >= text.index(part) and found[0][2] <= text.index("The end")
+                if press is not bytes:
+                    assert secret_scan.redact(text, found) == "Attached:\n[SECRET]\nThe end"
+    # lines that are runs of their own stay so
+    lone = base64.b64encode(f"password={HEX}  ".encode()).decode()
+    assert len(lone) % 4 == 0 and "=" not in lone and len(secret_scan.scan(f"{lone}\n" * 3)) >= 3
+
+
+def test_escaped_compressed_bytes():
+    digest = secret_scan.scan(f'token = "{HEX}"')[0][4]
+    raw = f'a note; token = "{HEX}" and so on'.encode()
+    for press in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        code = press(raw)
+        ways = [("".join(f"%{c:02X}" for c in code), "url"), (urllib.parse.quote(code), "url"), (urllib.parse.quote_plus(code), "url"), ("".join(f"\\x{c:02x}" for c in code), "unicode"), (repr(code)[2:-1], "unicode"), ("".join(f"\\u{c:04x}" for c in code), "unicode")]
+        for part, name in ways:
+            text = f"x = '{part}' # done"
+            found = secret_scan.scan(text)
+            assert [x[4] for x in found] == [digest], (press, part)
+            # short texts stand as they are in the other formats
+            if press in (gzip.compress, zlib.compress, bz2.compress):
+                assert found[0][3] == f"{name}>compressed" and secret_scan.redact(text, found) == "x = '[SECRET]' # done", (press, part)
+
+
 def test_secret_table(spark):
     rows = [(1, f'a token = "{HEX}" b', 99, "r"), (1, f'a token = "{HEX}" b', 99, "r"), (2, None, None, None), (3, "", 0, "x"), (None, f"password={HEX}", 1, "q"), (4, "clean", 5, "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, rule string")

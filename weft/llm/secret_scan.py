@@ -1,7 +1,7 @@
 """Secret scans over nested encodings.
 
 Each text starts a worklist of layers. A layer is scanned for secrets and then for encoded parts: URL escapes, Unicode escapes,
-base64 runs, and compressed bytes inside them. What an encoded part decodes to is a new layer; a layer seen before at the same
+base64 runs, which may be wrapped over lines, and compressed bytes inside all of them. What an encoded part decodes to is a new layer; a layer seen before at the same
 span of the text is dropped, so that the worklist ends at a fixpoint. Every layer keeps, for each of its characters, the span of
 the original text that it came from: findings are told, and cut out, there. A layer that stands at several spans is read once.
 """
@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
-import gzip
 import hashlib
-import io
 import lzma
 import math
 import re
@@ -42,6 +41,16 @@ RULES = [
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Base64 that goes on over line breaks, and its lines.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}(?![A-Za-z0-9+/_=-])")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Escaped bytes that aren't text: what must be there for the parts to be tried, parts that may hold them, and one byte of those.
+RAW = [
+    ("url", re.compile(r"%[0189A-Fa-f]"), re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/!*()+-])+"), re.compile(r"%([0-9A-Fa-f]{2})|(.)")),
+    ("unicode", re.compile(r"\\x[0189A-Fa-f]|\\u00[0189A-Fa-f]|\\u\{|\\U000000|&#"), re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,2}\}|\\U000000[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|[ -\[\]-~])+"), re.compile(r"(?:\\x|\\u00|\\u\{|\\U000000|&#[xX](?=[0-9A-Fa-f]{1,2};))([0-9A-Fa-f]{1,2})[};]?|&#(?:0*)(1?[0-9]{1,2}|2[0-4][0-9]|25[0-5]);|\\(.)|(.)")),
+]
+MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x20\x3f\x5e\x7d\x9c\xbb\xda\xf9]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+CONTROL = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0"))
 ONE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 #: Most bytes that one compressed part may open to: a guard against bombs. What is larger is reported as such and kept closed.
 OPENED = 64 << 20
@@ -69,29 +78,56 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def opened(raw: bytes) -> bytes | None:
-    """raw decompressed, None where it isn't compressed."""
+def _stream(raw: bytes) -> tuple[bytes, int] | None:
+    """(raw decompressed, how many of its bytes that took), None where it doesn't start with compressed bytes."""
     try:
         if raw[:2] == b"\x1f\x8b":
-            # the header's end is found by the library; the size is held in check by reading no further
-            with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:
+            out, rest = [], raw
+            while rest[:2] == b"\x1f\x8b":  # members follow one another
+                member = zlib.decompressobj(31)
+                try:
+                    out.append(member.decompress(rest, OPENED + 1 - sum(map(len, out))))
+                except zlib.error:
+                    if not out:
+                        raise
+                    break
+                if sum(map(len, out)) > OPENED:
+                    raise TooLarge
+                if not member.eof:
+                    # a first member that is cut off isn't read, a later one as far as it goes
+                    if len(out) == 1:
+                        return None
+                    rest = b""
+                    break
+                rest = member.unused_data
+            return b"".join(out), len(raw) - len(rest)
+        if raw[:4] == b"\x28\xb5\x2f\xfd":
+            with zstandard.ZstdDecompressor().stream_reader(raw) as f:
                 got = f.read(OPENED + 1)
-        elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            got = zlib.decompressobj().decompress(raw, OPENED + 1)
+            if len(got) > OPENED:
+                raise TooLarge
+            whole = zstandard.ZstdDecompressor().decompressobj()
+            whole.decompress(raw)
+            return got, len(raw) - len(whole.unused_data)
+        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
+            press = zlib.decompressobj()
         elif raw[:3] == b"BZh":
-            got = bz2.BZ2Decompressor().decompress(raw, OPENED + 1)
+            press = bz2.BZ2Decompressor()
         elif raw[:6] == b"\xfd7zXZ\x00":
-            got = lzma.LZMADecompressor().decompress(raw, OPENED + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as f:
-                got = f.read(OPENED + 1)
+            press = lzma.LZMADecompressor()
         else:
             return None
+        got = press.decompress(raw, OPENED + 1)
+        if len(got) > OPENED:
+            raise TooLarge
+        return got, len(raw) - len(press.unused_data)
     except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
         return None
-    if len(got) > OPENED:
-        raise TooLarge
-    return got
+
+
+def opened(raw: bytes) -> bytes | None:
+    """raw decompressed, None where it isn't compressed."""
+    return got[0] if (got := _stream(raw)) else None
 
 
 def readable(raw: bytes) -> str | None:
@@ -175,6 +211,77 @@ def _digest(secret: str) -> str:
     return hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
+def _raw_bytes(part: str, one: re.Pattern, name: str) -> tuple[bytes, list[int], list[int]]:
+    """The bytes that an escaped part stands for, and where each starts and ends in it. A plus stands for a space in URLs."""
+    out, lo, hi = bytearray(), [], []
+    for m in one.finditer(part):
+        if m.lastindex == len(m.groups()):
+            out.append(32 if name == "url" and m[0] == "+" else ord(m[0]))
+        elif m.lastindex == 1:
+            out.append(int(m[1], 16))
+        else:
+            out.append(int(m[2]) if m.lastindex == 2 else CONTROL.get(m[3], ord(m[3])))
+        lo.append(m.start())
+        hi.append(m.end())
+    return bytes(out), lo, hi
+
+
+def _wrapped(layer: str, block: re.Match, read) -> list[tuple[list[tuple[int, int]], tuple]]:
+    """(spans of lines, what read says of them) for lines of base64 that are one run: all of a block, or else those of one width
+    with a shorter first and last one, or without."""
+    lines, out, i, fresh = [m.span() for m in LINE.finditer(layer, *block.span())], [], 0, True
+    wide, n = [b - a for a, b in lines], len(lines)
+    while i + 1 < n:
+        w = max(wide[i], wide[i + 1])
+        j = i + 1
+        while j < n and wide[j] == w:
+            j += 1
+        ends = [n] if fresh else []
+        for end in dict.fromkeys([*ends, *([j + 1] if j < n and wide[j] < w else []), j]):
+            if end - i > 1 and (got := read(run := "".join(layer[a:b] for a, b in lines[i:end]))):
+                # lines after the end of compressed bytes are others
+                need, k = _needed(run), i
+                while k < end and need > 0:
+                    need -= wide[k]
+                    k += 1
+                if k - i > 1:
+                    out.append((lines[i:k], got))
+                i, fresh = max(k, i + 1), True
+                break
+        else:
+            i, fresh = (i + 1 if wide[i] < w else j), False
+    return out
+
+
+def _needed(run: str) -> int:
+    """How many characters of a base64 run its compressed bytes take; all where it isn't compressed."""
+    try:
+        got = _stream(_base64(run))
+    except TooLarge:
+        got = None
+    return -(-got[1] * 4 // 3) if got else len(run)
+
+
+def _cut(layer: str, lines: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """Lines of a wrapped run that can't be read alone, as a secret of the run is cut by their end. Where the next line has a
+    secret of its own, they may be runs of their own all the same."""
+    run = "".join(layer[a:b] for a, b in lines)
+    text = readable(_base64(run))
+    if text is None:  # compressed: its start alone would open to a cut text
+        return {lines[0]}
+    out, ends, at = set(), [], 0
+    for a, b in lines:
+        at += b - a
+        ends.append(at * 3 // 4)
+    for _, a, b in secret_spans(text):
+        a, b = len(text[:a].encode()), len(text[:b].encode())
+        for k in range(bisect.bisect_right(ends, a), bisect.bisect_left(ends, b)):
+            alone = _base64(layer[slice(*lines[k + 1])])
+            if not (alone and (alone := readable(alone)) and secret_spans(alone)):
+                out.add(lines[k])
+    return out
+
+
 def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
     """(rule, start, end, layers, digest) of all secrets of a text: span in the text, the encodings around it from the outside
     in, and a hash of the secret itself. A secret seen at the same span in several layers is told once, for the least nested;
@@ -182,13 +289,17 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
     if not text:
         return []
     found: dict[tuple[int, int, str], tuple[str, str]] = {}
+    spans: dict[str, list[tuple[int, int]]] = {}
     # a layer under a base64 run has one span for all its characters: it is read once, and told for every span it stands at
     pending: dict[int, str] = {}
     hidden: dict[int, tuple[list[tuple[str, str]], list[tuple[tuple[str, ...], int]]]] = {}
     runs: dict[int, tuple[tuple[str, ...], int | None] | None] = {}
 
     def tell(rule, a, b, chain, digest):
-        found.setdefault((a, b, digest), (rule, ">".join(chain)))
+        # of a wrapped run and a line of it the line is told
+        if not any(a <= x and y <= b for x, y in spans.setdefault(digest, [])):
+            spans[digest].append((a, b))
+            found[a, b, digest] = (rule, ">".join(chain))
 
     def kept(layer: str) -> int:
         key = hash(layer)
@@ -196,31 +307,54 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
             pending[key] = layer
         return key
 
-    def unwrapped(run: str) -> tuple[tuple[str, ...], int] | None:
-        """The encodings of a base64 run and the key of the layer in it, or of a bomb."""
-        key = hash(run)
-        if key in runs:
-            return runs[key]
-        runs[key] = None
-        if (raw := _base64(run)) is None:
-            return None
-        names, seen = ["base64"], {hash(raw)}
+    def inside(raw: bytes, names: tuple[str, ...]) -> tuple[tuple[str, ...], int] | None:
+        """The encodings of bytes and the key of the layer in them, or of a bomb."""
+        seen, first = {hash(raw)}, raw
         try:
             # compressed bytes may open to themselves
             while (got := opened(raw)) is not None and hash(got) not in seen:
-                names.append("compressed")
+                names = (*names, "compressed")
                 seen.add(hash(got))
                 raw = got
         except TooLarge:
-            hidden[key] = ([("compressed bomb", _digest(run))], [])
-            runs[key] = (tuple(names), key)
-            return runs[key]
-        if new := readable(raw):
-            runs[key] = (tuple(names), kept(new))
+            key = hash(first)
+            hidden[key] = ([("compressed bomb", _digest(first.hex()))], [])
+            return names, key
+        return (names, kept(new)) if (new := readable(raw)) else None
+
+    def unwrapped(run: str) -> tuple[tuple[str, ...], int] | None:
+        key = hash(run)
+        if key not in runs:
+            runs[key] = None if (raw := _base64(run)) is None else inside(raw, ("base64",))
         return runs[key]
 
     def blobs(layer: str) -> list[tuple[int, int, tuple[str, ...], int]]:
-        return [(*m.span(), *got) for m in BASE64.finditer(layer) if (got := unwrapped(m[0]))]
+        """Base64 runs, wrapped ones, and compressed bytes among escapes: (start, end, encodings, key). Lines that can be read
+        alone come before the wrapped run that they are in."""
+        out, cut = [], set()
+        for block in WRAPPED.finditer(layer) if "\n" in layer else ():
+            for lines, got in _wrapped(layer, block, unwrapped):
+                out.append((lines[0][0], lines[-1][1], *got))
+                cut |= _cut(layer, lines)
+        out = [(*m.span(), *got) for m in BASE64.finditer(layer) if m.span() not in cut and (got := unwrapped(m[0]))] + out
+        for name, there, part, one in RAW:
+            for m in part.finditer(layer) if there.search(layer) else ():
+                if there.search(m[0]):
+                    raw, lo, hi = _raw_bytes(m[0], one, name)
+                    at = 0
+                    while at < len(raw) and (start := MAGIC.search(raw, at)):
+                        at, n = start.start(), len(raw) - start.start()
+                        try:
+                            if (got := _stream(raw[at:])) is None:
+                                at += 1
+                                continue
+                            n = got[1]
+                        except TooLarge:
+                            pass
+                        if got := inside(raw[at : at + n], (name,)):
+                            out.append((m.start() + lo[at], m.start() + hi[at + n - 1], *got))
+                        at += n
+        return out
 
     def opened_layer(key: int):
         """The secrets of a hidden layer and the layers in it."""
