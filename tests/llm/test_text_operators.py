@@ -211,3 +211,15 @@ def test_tensors(spark):
             assert r.rgb is None and (r.error is None) == (r.page_id == 2)
     pages = spark.createDataFrame([(1, None, None), (2, "u", "<p>x")], "page_id bigint, url string, html string")
     assert all(r.rgb for r in jpeg.page_tensors(pages).collect()) and jpeg.page_tensors(pages.limit(0)).count() == 0
+
+
+def test_whole_pages_are_pictured():
+    html = "<p>" + "Erinst resh of the and " * 900 + "é</p>"
+    size = len(html.encode())
+    page = jpeg.picture("u", html)
+    assert size <= page.shape[0] * page.shape[1] < size + 2 * page.shape[1] and (np.abs(page.mean(2).ravel()[:size] - np.frombuffer(html.encode(), np.uint8)) <= 41).all()
+    seen = jpeg.decode(jpeg.encode(page)[0])
+    assert seen.shape == page.shape and np.abs(seen.astype(int) - page).mean() < 16
+    for at in (1, 5003, len(html) - 2):
+        other = jpeg.decode(jpeg.encode(jpeg.picture("u", html[:at] + "~" + html[at + 1 :]))[0])
+        assert other.shape == seen.shape and (other != seen).any()

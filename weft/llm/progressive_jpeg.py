@@ -8,6 +8,7 @@ to the image's size, and the colours are converted. The module also writes such
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache
 
 import numpy as np
@@ -26,14 +27,16 @@ class Corrupt(ValueError):
 
 
 class Bits:
-    """A scan's bits; stuffed zeros are gone, restart markers end a segment."""
+    """A scan's bits, as 32 of them from each byte on, so that a read costs the same in a large scan; stuffed zeros are gone,
+    restart markers end a segment."""
 
     __slots__ = ("at", "bits", "n")
 
     def __init__(self, raw: bytes):
         raw = raw.replace(b"\xff\x00", b"\xff")
         self.n = 8 * len(raw)
-        self.bits = int.from_bytes(raw + b"\xff" * 8, "big")
+        b = np.frombuffer(raw + b"\xff" * 11, np.uint8).astype(np.int64)
+        self.bits = (b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]).tolist()
         self.at = 0
 
 
@@ -182,28 +185,28 @@ class Decoder:
         return end
 
     def _dc_first(self, bits: Bits, units, low: int):
-        stream, shift, at = bits.bits, bits.n + 64, 0
+        stream, at = bits.bits, 0
         before = {c.name: 0 for c, _ in units}
         for c, i in units:
-            code = self.huffman[c.dc][stream >> (shift - at - 16) & 0xFFFF]
+            code = self.huffman[c.dc][stream[at >> 3] >> (32 - (at & 7) - 16) & 0xFFFF]
             at += code >> 8
             size = code & 0xFF
             if size:
-                v = stream >> (shift - at - size) & ((1 << size) - 1)
+                v = stream[at >> 3] >> (32 - (at & 7) - size) & ((1 << size) - 1)
                 at += size
                 before[c.name] += v if v >> (size - 1) else v - (1 << size) + 1
             c.blocks[i][0] = before[c.name] << low
         bits.at = at
 
     def _dc_refine(self, bits: Bits, units, low: int):
-        stream, shift = bits.bits, bits.n + 64 - 1
+        stream = bits.bits
         for at, (c, i) in enumerate(units):
-            if stream >> (shift - at) & 1:
+            if stream[at >> 3] >> (31 - (at & 7)) & 1:
                 c.blocks[i][0] |= 1 << low
         bits.at = len(units)
 
     def _ac_first(self, bits: Bits, units, first: int, last: int, low: int):
-        stream, shift, at, run = bits.bits, bits.n + 64, 0, 0
+        stream, at, run = bits.bits, 0, 0
         table = self.huffman[16 | units[0][0].ac] if units else None
         for c, i in units:
             if run:
@@ -211,12 +214,12 @@ class Decoder:
                 continue
             block, k = c.blocks[i], first
             while k <= last:
-                code = table[stream >> (shift - at - 16) & 0xFFFF]
+                code = table[stream[at >> 3] >> (32 - (at & 7) - 16) & 0xFFFF]
                 at += code >> 8
                 zeros, size = code >> 4 & 15, code & 15
                 if size:
                     k += zeros
-                    v = stream >> (shift - at - size) & ((1 << size) - 1)
+                    v = stream[at >> 3] >> (32 - (at & 7) - size) & ((1 << size) - 1)
                     at += size
                     block[k] = (v if v >> (size - 1) else v - (1 << size) + 1) << low if v >> (size - 1) else -((1 << size) - 1 - v << low)
                     k += 1
@@ -227,38 +230,38 @@ class Decoder:
                         raise Corrupt("no such code")
                     run = (1 << zeros) - 1
                     if zeros:
-                        run += stream >> (shift - at - zeros) & ((1 << zeros) - 1)
+                        run += stream[at >> 3] >> (32 - (at & 7) - zeros) & ((1 << zeros) - 1)
                         at += zeros
                     break
         bits.at = at
 
     def _ac_refine(self, bits: Bits, units, first: int, last: int, low: int):
-        stream, shift, at, run = bits.bits, bits.n + 64, 0, 0
+        stream, at, run = bits.bits, 0, 0
         table = self.huffman[16 | units[0][0].ac] if units else None
         one = 1 << low
         for c, i in units:
             block, k = c.blocks[i], first
             if not run:
                 while k <= last:
-                    code = table[stream >> (shift - at - 16) & 0xFFFF]
+                    code = table[stream[at >> 3] >> (32 - (at & 7) - 16) & 0xFFFF]
                     if code == 0:
                         raise Corrupt("no such code")
                     at += code >> 8
                     zeros, size = code >> 4 & 15, code & 15
                     new = 0
                     if size:
-                        new = one if stream >> (shift - at - 1) & 1 else -one
+                        new = one if stream[at >> 3] >> (32 - (at & 7) - 1) & 1 else -one
                         at += 1
                     elif zeros != 15:
                         run = 1 << zeros
                         if zeros:
-                            run += stream >> (shift - at - zeros) & ((1 << zeros) - 1)
+                            run += stream[at >> 3] >> (32 - (at & 7) - zeros) & ((1 << zeros) - 1)
                             at += zeros
                         break
                     while k <= last:
                         v = block[k]
                         if v:
-                            if stream >> (shift - at - 1) & 1 and not abs(v) & one:
+                            if stream[at >> 3] >> (32 - (at & 7) - 1) & 1 and not abs(v) & one:
                                 block[k] = v + one if v > 0 else v - one
                             at += 1
                         elif zeros == 0:
@@ -273,7 +276,7 @@ class Decoder:
                 while k <= last:
                     v = block[k]
                     if v:
-                        if stream >> (shift - at - 1) & 1 and not abs(v) & one:
+                        if stream[at >> 3] >> (32 - (at & 7) - 1) & 1 and not abs(v) & one:
                             block[k] = v + one if v > 0 else v - one
                         at += 1
                     k += 1
@@ -281,12 +284,12 @@ class Decoder:
         bits.at = at
 
     def _baseline(self, bits: Bits, units):
-        stream, shift, at = bits.bits, bits.n + 64, 0
+        stream, at = bits.bits, 0
         before = {c.name: 0 for c, _ in units}
         for c, i in units:
             block, k = c.blocks[i], 0
             while k < 64:
-                code = self.huffman[c.dc if k == 0 else 16 | c.ac][stream >> (shift - at - 16) & 0xFFFF]
+                code = self.huffman[c.dc if k == 0 else 16 | c.ac][stream[at >> 3] >> (32 - (at & 7) - 16) & 0xFFFF]
                 if code == 0:
                     raise Corrupt("no such code")
                 at += code >> 8
@@ -294,7 +297,7 @@ class Decoder:
                 k += zeros
                 v = 0
                 if size:
-                    v = stream >> (shift - at - size) & ((1 << size) - 1)
+                    v = stream[at >> 3] >> (32 - (at & 7) - size) & ((1 << size) - 1)
                     at += size
                     v = v if v >> (size - 1) else v - (1 << size) + 1
                 elif k and zeros != 15:
@@ -361,15 +364,19 @@ SCANS = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 2), ((2,), 1, 63, 0, 1), ((1,)
 
 class Writer:
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.value, self.n, self.whole = 0, 0, []
 
     def put(self, v: int, n: int):
         self.value = self.value << n | v
         self.n += n
+        if self.n >= 4096:  # a large number is slow to add to
+            rest = self.n % 8
+            self.whole.append((self.value >> rest).to_bytes(self.n // 8, "big"))
+            self.value, self.n = self.value & (1 << rest) - 1, rest
 
     def done(self) -> bytes:
         pad = -self.n % 8
-        raw = (self.value << pad | (1 << pad) - 1).to_bytes((self.n + pad) // 8, "big")
+        raw = b"".join(self.whole) + (self.value << pad | (1 << pad) - 1).to_bytes((self.n + pad) // 8, "big")
         return raw.replace(b"\xff", b"\xff\x00")
 
 
@@ -503,15 +510,16 @@ def encode(rgb: np.ndarray, quality: int = 75, halved: bool = True) -> tuple[byt
 
 
 def picture(url: str, html: str) -> np.ndarray:
-    """A small picture of a page: colours from its address over a shading of its text's bytes; 9 to 24 pixels a side."""
-    seed = hashlib.sha256((url + "\0" + html).encode("utf-8", "surrogatepass")).digest()
-    h, w = 9 + seed[0] % 16, 9 + seed[1] % 16
-    raw = np.frombuffer(html.encode("utf-8", "surrogatepass") or b"\0", np.uint8)
-    shade = raw[np.linspace(0, len(raw) - 1, 16).astype(int)].reshape(4, 4).astype(float)
-    base = upsample(shade, h / 4, w / 4)[:h, :w]
-    tint = np.frombuffer(seed[2:8], np.uint8).astype(float)
+    """A picture of a page: a pixel for every byte of its html, row by row, as bright as the byte, in about as many rows as
+    columns and 8 at least; tinted by its address. What the last row lacks is black."""
+    raw = np.frombuffer(html.encode("utf-8", "surrogatepass"), np.uint8)
+    w = max(8, math.isqrt(max(len(raw), 1) - 1) + 1)
+    h = max(8, -(-len(raw) // w))
+    shade = np.zeros(h * w)
+    shade[: len(raw)] = raw
+    tint = np.frombuffer(hashlib.sha256(url.encode("utf-8", "surrogatepass")).digest()[:6], np.uint8) / 255 - 0.5
     ramp = np.linspace(0, 1, w)[None, :, None] * tint[:3] + np.linspace(0, 1, h)[:, None, None] * tint[3:]
-    return (0.5 * base[:, :, None] + 0.4 * ramp).clip(0, 255).astype(np.uint8)
+    return (shade.reshape(h, w, 1) + 40 * ramp).clip(0, 255).astype(np.uint8)
 
 
 # --- tables ------------------------------------------------------------------------------------------------------------
