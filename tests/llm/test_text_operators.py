@@ -124,6 +124,15 @@ def test_entities_and_formats():
     assert pii.entities(None) == pii.entities("") == pii.entities("Clean prose, 12 of 1999. M. and so on") == []
 
 
+def test_bare_names_plain_phones_and_ipv6():
+    text = "Mr John Smith came. Smith said that John's car is Mr Smith's; smith, Smithson and Johnny stay. Call 415-555-2671 or 415.555.2672, 2001:db8::8a2e:370:7334. At 10:20:30 std::vector 1::"
+    found = pii.entities(text)
+    assert [(text[a:b], k) for a, b, k, _ in found] == [("John", "first_m_latin"), ("Smith", "last_latin"), ("Smith", "last_latin"), ("John", "first_m_latin"), ("Smith", "last_latin"), ("415-555-2671", "phone"), ("415.555.2672", "phone"), ("2001:db8::8a2e:370:7334", "ipv6"), ("1::", "ipv6")]
+    new, n = pii.replace(text, {(k, v): pii.surrogate(pii.KEY, k, v, 0) for *_, k, v in found})
+    first, last, again, owner = re.search(r"Mr (\w+) (\w+) came. (\w+) said that (\w+)'s", new).groups()
+    assert n == 9 and last == again and first == owner and "smith, Smithson and Johnny stay" in new and re.search(r"\d{3}-\d{3}-\d{4} or \d{3}\.\d{3}\.\d{4}, (?:[0-9a-f]{4}:){7}[0-9a-f]{4}\.", new)
+
+
 def test_distinct_surrogates(spark, monkeypatch):
     plain = pii.surrogate
     # a domain that is far too small at first: only the later attempts can be told apart

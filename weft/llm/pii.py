@@ -8,7 +8,9 @@ have two. The documents are rewritten with that table; those without entities ar
 
 from __future__ import annotations
 
+import bisect
 import hmac
+import ipaddress
 import re
 import unicodedata
 
@@ -24,6 +26,9 @@ JUNK = r"[^\w\s]{0,4}"
 GAP = rf"{JUNK}[ .-]?"
 EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
+#: Candidates; ipaddress says which are addresses.
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
+PLAIN_PHONE = re.compile(r"(?<![\w.+-])(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}(?![\w-]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 CARD = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]|\.\d)")
@@ -32,6 +37,7 @@ PHONE = re.compile(rf"(?<![\w.])(?:(?:\+\d{{1,3}}{GAP})?\(\d{{3}}\){GAP}\d{{3}}[
 TITLES = {"m": ["Mr", "Sir", "Herr", "Señor", "Sr", "Don", "Monsieur", "г-н", "господин", "κύριος"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Srta", "Doña", "Madame", "Mme", "Mlle", "Mademoiselle", "г-жа", "госпожа", "κυρία"], "n": ["Dr", "Prof", "Professor", "Mx"]}
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
+WORD = re.compile(rf"(?<!\w){NAME}(?!\w)")
 PERSON = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, GENDER), key=len, reverse=True))})\.? ({NAME})(?: ({NAME}))?(?: ({NAME}))?(?!\w)")
 FIRST = {
     ("latin", "m"): "Adam Bruno Carlos David Emil Felix Gaspar Hugo Ivan Jonas Karl Leo Marco Nils Oscar Paul Robin Simon Thomas Viktor".split(),
@@ -69,6 +75,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     got: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
+    named: dict[str, str] = {}
+    bare: list[tuple[int, int, str, str]] = []
 
     def add(a, b, kind, value):
         if all(b <= x or y <= a for x, y in taken):
@@ -81,6 +89,14 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     if any(map(text.__contains__, "0123456789")):
         for m in IPV4.finditer(text):
             add(*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split(".")))
+        for m in IPV6.finditer(text):
+            try:
+                address = ipaddress.IPv6Address(m[0])
+            except ValueError:
+                continue
+            # a lone "::" or "a::b" of letters is code more often than an address
+            if any(map(str.isdecimal, m[0])):
+                add(*m.span(), "ipv6", address.exploded)
         for m in SSN.finditer(text):
             add(*m.span(), "ssn", digits(m[0]))
         for m in IBAN.finditer(text):
@@ -89,6 +105,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             add(*m.span(), "phone", digits(m[0]))
         for m in CARD.finditer(text):
             add(*m.span(), "card", digits(m[0]))
+        for m in PLAIN_PHONE.finditer(text):
+            add(*m.span(), "phone", digits(m[0]))
     for m in PERSON.finditer(text):
         names = [k for k in (2, 3, 4) if m[k] and (m[k][0].isupper() or m[k].isupper())]
         if not names or names[0] != 2:
@@ -96,7 +114,22 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         names = names[: next((i for i, k in enumerate(names) if k != i + 2), len(names))]
         for k in names:
             kind = "last" if k == names[-1] else f"first_{GENDER[m[1]]}"
-            add(*m.span(k), f"{kind}_{script(m[k])}", fold(m[k]))
+            name = m[k][:-2] if m[k][-2:] in ("'s", "’s") and len(m[k]) > 3 else m[k]
+            kind = f"{kind}_{script(name)}"
+            add(m.start(k), m.start(k) + len(name), kind, fold(name))
+            named.setdefault(fold(name), kind)
+    if named:  # the same names without a form of address
+        for m in WORD.finditer(text):
+            if m[0][0].isupper() and (kind := named.get(value := fold(m[0]))):
+                bare.append((*m.span(), kind, value))
+            elif m[0][0].isupper() and m[0][-2:-1] in ("'", "’") and m[0][-1] in "sS" and (kind := named.get(value := fold(m[0][:-2]))):
+                bare.append((m.start(), m.end() - 2, kind, value))
+        taken.sort()
+        starts = [a for a, _ in taken]
+        for a, b, kind, value in bare:
+            i = bisect.bisect_left(starts, b)
+            if not i or taken[i - 1][1] <= a:
+                got.append((a, b, kind, value))
     return sorted(got)
 
 
@@ -130,6 +163,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return f"{like(local, r)}{tail}@{like(domain, r)}.{top}"
     if kind == "ip":
         return f"{1 + r.below(223)}.{r.below(256)}.{r.below(256)}.{1 + r.below(254)}" + (f".{tail}" if tail else "")
+    if kind == "ipv6":
+        return ":".join(f"{r.below(1 << 16):04x}" for _ in range(8)) + (f":{tail}" if tail else "")
     if kind in ("phone", "ssn"):
         keep = value[: max(0, len(value) - 10)] if kind == "phone" else ""  # the country code
         return keep + str(2 + r.below(8)) + like(value[len(keep) + 1 :], r) + tail
