@@ -28,15 +28,18 @@ def grams(text):
     return {" ".join(w[i : i + J.N]) for i in range(max(1, len(w) - J.N + 1))} if w else set()
 
 
-def pairs_of(rows, least=J.LEAST):
-    best = {}
-    for a, x in rows:
-        for b, y in rows:
-            if a is not None and b is not None and a < b and grams(x) and grams(y):
-                s, t = grams(x), grams(y)
-                if len(s & t) >= np.ceil(len(s | t) * least - 1e-9):
-                    best[a, b] = max(best.get((a, b), 0), round(len(s & t) / len(s | t), 6))
-    return sorted((*k, v) for k, v in best.items())
+def links_of(rows, least=J.LEAST):
+    """(doc_id, class_id, links) by comparing every text with every other."""
+    items = sorted({(a, frozenset(grams(x))) for a, x in rows if a is not None}, key=lambda x: x[0])
+    label, links = {a: a for a, _ in items}, {a: 0 for a, _ in items}
+    linked = [(a, b) for i, (a, s) in enumerate(items) for b, t in items[i + 1 :] if s and t and len(s & t) >= np.ceil(len(s | t) * least - 1e-9)]
+    for a, b in linked:
+        links[a] += 1
+        links[b] += 1
+    for _ in range(len(label)):
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    return sorted((a, label[a], n) for a, n in links.items())
 
 
 @pytest.fixture(scope="module")
@@ -51,25 +54,38 @@ def corpus(spark):
             rows.append((len(rows), " ".join(w if rng.random() > 0.03 else word() for w in base)))
     for _ in range(12):
         rows.append((len(rows), " ".join([word() for _ in range(60)] + passage)))
-    rows += [rows[-1], (None, rows[-1][1]), (12, "another text of a repeated id"), (len(rows) + 5, rows[20][1])]
-    return rows, spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "doc_id bigint, text string, p string, n int").repartition(4)
+    rows += [rows[-1], (None, rows[-1][1]), (12, "another text of a repeated id"), (12, rows[11][1]), (len(rows) + 5, rows[20][1])]
+    return rows, spark.createDataFrame([(a, b, "x", 1, 2) for a, b in rows], "doc_id bigint, text string, p string, n int, links int").repartition(4)
 
 
-def test_pairs_against_brute_force(corpus, monkeypatch):
+def test_links_against_brute_force(corpus, monkeypatch):
     rows, docs = corpus
-    got = sorted(tuple(r) for r in J.jaccard_pairs(docs).collect())
-    assert got == pairs_of(rows) and len(got) > 50
+    got = sorted(tuple(r) for r in J.jaccard_links(docs).collect())
+    assert got == links_of(rows) and sum(n for _, _, n in got) > 100
     monkeypatch.setattr(J, "REGION", 5)  # regions joined block by block
-    assert sorted(tuple(r) for r in J.jaccard_pairs(docs).collect()) == got
-    assert J.jaccard_pairs(docs.limit(0)).count() == 0
+    assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == got
+    monkeypatch.setattr(J, "BROADCAST", 0)  # texts shuffled to the lists of ids
+    monkeypatch.setattr(J, "STRONG", 1000)  # a region for each pivot
+    assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == got
+    assert J.jaccard_links(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_links_of_clusters_that_overlap(spark, seed):
+    rng, rows = random.Random(seed), []
+    for _ in range(5):
+        at = [rng.randrange(3000) for _ in range(rng.choice([6, 30, 90]))]
+        for _ in range(30):
+            k = rng.randrange(len(at))
+            at = [*at[:k], rng.randrange(3000), *at[k + 1 :]]  # a chain: the first and the last are no partners
+            rows.append((rng.randrange(200), " ".join(map(str, at))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == links_of(rows)
 
 
 def test_one_of_each_group_stays(corpus):
     rows, docs = corpus
-    label = {a: a for a, _ in rows if a is not None}
-    for _ in range(50):
-        for a, b, _ in pairs_of(rows):
-            label[a] = label[b] = min(label[a], label[b])
+    label = {a: c for a, c, _ in links_of(rows)}
     kept = J.keep_one(docs).collect()
     want = {(a, b) for a, b in rows if a is None or label[a] == a}
     assert len(kept) == len(want) and {(r.doc_id, r.text) for r in kept} == want
@@ -80,4 +96,5 @@ def test_oracle(spark):
     at = "/root/testdata/sf0.001"
     duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
     want = sorted(duckdb.execute(J.ORACLE).fetchall())
-    assert sorted(tuple(r) for r in J.jaccard_pairs(spark.read.parquet(f"{at}/documents.parquet")).collect()) == want
+    got = sorted(tuple(r) for r in J.jaccard_links(spark.read.parquet(f"{at}/documents.parquet")).collect())
+    assert got == want and any(n for _, _, n in got)

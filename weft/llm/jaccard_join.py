@@ -2,11 +2,12 @@
 
 Distance is 1 - Jaccard, a metric. Documents become sets of hashed word n-grams. Unrelated documents are all at distance 1 from
 each other, so pivots must be near what they part: they are documents themselves, found by shared n-grams. In a global order
-that puts n-grams of rare words first, two documents within the threshold share n-grams among their first ones (the prefix);
+that puts rare n-grams first, two documents within the threshold share n-grams among their first ones (the prefix);
 a common one makes its least document a pivot and all documents that have it members of the pivot's region, a rare one just
 counts for the pairs that share it. Within a region, pivots create Voronoi cells; a document is replicated to every other cell
 that the triangle inequality doesn't rule out; cells are split again until they are small or can't be split, and then joined by
-counting shared n-grams. Any pair within the threshold meets in some cell, and every pair told has been verified on whole sets.
+counting shared n-grams. Any pair within the threshold meets in some cell, and every link told has been verified on whole sets.
+Links are counted where they are found and sent on as numbers and as edges of spanning trees, never as pairs.
 """
 
 from __future__ import annotations
@@ -15,25 +16,28 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import buckets, pack, rows, texts, unpack, written
+from weft.llm.common import buckets, input_bytes, pack, rows, texts, unpack, written
 
 #: Words of an n-gram; least Jaccard of a pair.
 N, LEAST = 3, 0.6
 #: n-grams that a pair shares in its prefixes at least, if its sets are so large (larger ones share more); n-grams that more than SMALL documents have
 #: there make regions, others count for pairs.
 SHARED, SMALL = 16, 8
-#: Words known to the order of n-grams; documents joined at once in a cell; documents of a region that one task joins.
-WORDS, LEAF, REGION = 500_000, 512, 20_000
+#: Frequent n-grams known to the order of n-grams; documents joined at once in a cell; documents of a region that one task joins.
+GRAMS, LEAF, REGION = 1 << 20, 512, 20_000
+#: n-grams that a task holds before it sends them on.
+HELD = 2_000_000
 #: n-grams that two pivots share in their prefixes for their regions to be one.
 STRONG = 8
 #: Most ids of candidates that are sent to all tasks.
 BROADCAST = 1_000_000
 BLOCK = 1 << 20
+BODIES = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
+MET = ["p", "x", "least", "n", "kind", "mark"]
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -60,7 +64,7 @@ _powers = _Powers()
 
 
 class Block:
-    """Words and n-grams of some texts as hashes of their bytes: words are parted by white space, in lower case."""
+    """n-grams of some texts as hashes of their bytes: words are parted by white space, in lower case."""
 
     def __init__(self, batch: list[str | None], n: int = N):
         clean = [" ".join((x or "").lower().split()).encode("utf-8", "surrogatepass") for x in batch]
@@ -85,9 +89,6 @@ class Block:
     def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
 
-    def word_hashes(self) -> np.ndarray:
-        return self._hash(self.starts, self.ends)
-
     def gram_hashes(self) -> np.ndarray:
         return self._hash(self.starts[self.first], self.ends[self.last])
 
@@ -112,46 +113,87 @@ def _blocks(batch: pa.RecordBatch):
         yield own, held
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers plane by plane: high ones are mostly zeros, which compress to nothing."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(raw: memoryview, kind: type) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _cut(key: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
+    """Where the buckets begin and end among sorted keys of so many bits; a bucket is a range of keys."""
+    edges = [(b << bits) // n_buckets for b in range(n_buckets)]
+    return np.r_[np.searchsorted(key, np.array(edges, np.uint64)), len(key)]
+
+
+def _gram_counts(bits: int, n_buckets: int, n: int):
+    """(bucket, body): how often n-grams occur in the texts of a task, of their hashes the first bits."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            cut, out = _cut(key, bits, n_buckets), []
+            for b in range(n_buckets):
+                k = key[cut[b] : cut[b + 1]]
+                if len(k):
+                    out.append((b, pack(_planes(np.diff(k, prepend=np.uint64(0))), _planes(n[cut[b] : cut[b + 1]].astype(np.uint32)))))
+            return rows(out, BODIES)
+
+        for batch in batches:
+            for _, some in _blocks(batch):
+                held.append(Block(some, n).gram_hashes() >> np.uint64(64 - bits))
+                size += len(held[-1])
+                if size > HELD:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    return run
 
 
-def _word_documents(batches):
-    """(word, n): in how many rows of the task each word occurs."""
-    held = (np.empty(0, np.uint64), np.empty(0, np.int64))
-    waiting, size = [], 0
+def _gram_sums(batches):
+    """(gram, c): the logarithms of the frequencies of the n-grams of a partition that are at least four."""
+    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
     for batch in batches:
-        for _, some in _blocks(batch):
-            block = Block(some)
-            h = block.word_hashes()
-            ends = np.cumsum(block.words).tolist()
-            each = [np.unique(h[a:b]) for a, b in zip([0, *ends], ends)]
-            words, n = np.unique(np.concatenate([*each, np.empty(0, np.uint64)]), return_counts=True)
-            waiting.append((words, n))
-            size += len(words)
-            if size > 1_000_000:
-                held, waiting, size = _added([held, *waiting]), [], 0
-    words, n = _added([held, *waiting])
-    for at in range(0, len(words), 100_000):
-        yield pa.record_batch([pa.array(words[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], ["word", "n"])
-
-
-def word_classes(docs: DataFrame, most: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, classes): the logarithm of the number of documents of each word that many have, over all documents.
-
-    Words of fewer documents than a power of two, the least for which at most `most` words are left, are in class 0. The
-    classes only order n-grams: any order gives the same pairs.
+        for body in batch["body"]:
+            k, n = unpack(body.as_buffer())
+            keys.append(np.cumsum(_numbers(k, np.uint64), dtype=np.uint64))
+            counts.append(_numbers(n, np.uint32))
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    del keys, counts
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order].astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    n = np.add.reduceat(n, starts) if len(starts) else n
+    often = n >= 4
+    key, c = key[starts][often], np.log2(n[often]).astype(np.int8)
+    for at in range(0, len(key), 100_000):
+        yield pa.record_batch([pa.array(key[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], ["gram", "c"])
+
+
+def gram_classes(docs: DataFrame, bits: int, n_buckets: int, n: int, most: int = GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """(first bits of n-grams' hashes, classes): the logarithm of the frequency of frequent n-grams, over all documents.
+
+    n-grams less frequent than a power of two, the least for which at most `most` are left, are in class 0. The classes only
+    order n-grams: any order gives the same pairs.
     """
-    counts = written(docs.mapInArrow(_word_documents, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 16").select("word", F.floor(F.log2("n")).cast("int").alias("c")), "words")
+    counts = docs.mapInArrow(_gram_counts(bits, n_buckets, n), "bucket int, body binary").repartition(n_buckets, "bucket")
+    counts = written(counts.mapInArrow(_gram_sums, "gram bigint, c tinyint"), "grams")
     least, left = 63, 0
     for r in sorted(counts.groupBy("c").count().collect(), reverse=True):
         if left + r["count"] > most:
             break
         least, left = r.c, left + r["count"]
-    got = counts.where(F.col("c") >= least).toPandas()
-    words, order = (x := got.word.to_numpy(np.int64).view(np.uint64)), np.argsort(x)
-    return words[order], np.minimum(got.c.to_numpy(np.int64)[order], 62).astype(np.uint64)
+    got = counts.where(F.col("c") >= least).toArrow()
+    grams, c = got["gram"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order], c[order].astype(np.uint8)
 
 
 def needed(m, least: float):
@@ -170,79 +212,100 @@ def shares(small, large, least: float) -> tuple:
     return (all_of + 1) // 2, all_of // 2 + 1
 
 
-def _prefixes(words: np.ndarray, classes: np.ndarray, least: float, n: int, n_buckets: int):
+def _prefixes(grams: np.ndarray, classes: np.ndarray, bits: int, least: float, n: int, n_buckets: int):
+    """(bucket, body): prefixes of sets, parted by ranges of keys; and in bodies of their own the marks of all sets."""
+    wide = min(64, bits + 8)
+
     def run(batches):
-        keys, own, ids, sizes, held = [], [], [], [], 0
+        keys, own, ids, sizes, marks, held = [], [], [], [], [], 0
 
         def flush():
-            nonlocal keys, own, ids, sizes, held
-            key, doc, i, m = np.concatenate(keys), np.repeat(np.arange(len(ids)), own), np.array(ids, np.int64), np.array(sizes, np.int64)
+            nonlocal held
+            key, doc = np.concatenate(keys or [np.empty(0, np.uint64)]), np.repeat(np.arange(len(ids)), own)
+            i, m = np.array(ids, np.int64), np.array(sizes, np.int64)
             order = np.argsort(key)
             key, doc = key[order], doc[order]
-            bucket = _mix(key) % np.uint64(n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-            out = []
+            cut, out = _cut(key, wide, n_buckets), []
             for b in range(n_buckets):
-                some = order[cut[b] : cut[b + 1]]
-                if len(some):
+                some = slice(cut[b], cut[b + 1])
+                if cut[b + 1] > cut[b]:
                     docs, at = np.unique(doc[some], return_inverse=True)
-                    k = np.diff(key[some], prepend=np.uint64(0))
-                    # planes of bytes: the high ones of the differences are zeros, which compress to nothing
-                    out.append((b, pack(k.view(np.uint8).reshape(-1, 8).T.tobytes(), at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), np.diff(i[docs], prepend=0).tobytes(), m[docs].astype(np.uint32).tobytes())))
-            keys, own, ids, sizes, held = [], [], [], [], 0
-            return rows(out, pa.schema([("bucket", pa.int32()), ("body", pa.binary())]))
+                    out.append((b, pack(_planes(np.diff(key[some], prepend=np.uint64(0))), _planes(at.astype(np.uint32)), _planes(np.diff(i[docs], prepend=0)), _planes(m[docs].astype(np.uint32)))))
+            out.append((int(_mix(i[:1].view(np.uint64))[0] % np.uint64(n_buckets)), pack(i.tobytes(), b"".join(marks), m.tobytes())))
+            for x in (keys, own, ids, sizes, marks):
+                x.clear()
+            held = 0
+            return rows(out, BODIES)
 
         for batch in batches:
             doc_ids = batch["doc_id"].to_pylist()
             for at, some in _blocks(batch):
                 block = Block(some, n)
-                c = np.zeros(len(block.starts), np.uint64)
-                if len(words) and len(c):
-                    h = block.word_hashes()
-                    k = np.searchsorted(words, h)
-                    k[k == len(words)] = 0
-                    c = np.where(words[k] == h, classes[k], np.uint64(0))
-                rank = np.full(len(block.doc), 63, np.uint64)
-                for j in range(n):
-                    rank = np.minimum(rank, c[np.minimum(block.first + j, block.last)])
-                for i, s in zip(at, block.sets(rank << np.uint64(58) | block.gram_hashes() >> np.uint64(6))):
-                    if len(s):
-                        p = s[: len(s) - int(needed(len(s), least)) + int(more(len(s)))]
-                        keys.append(p)
-                        own.append(len(p))
-                        ids.append(doc_ids[i])
-                        sizes.append(len(s))
-                        held += len(p)
-                if held > 2_000_000:
+                h = block.gram_hashes()
+                rank = np.zeros(len(h), np.uint64)
+                if len(grams) and len(h):
+                    short = h >> np.uint64(64 - bits)
+                    k = np.searchsorted(grams, short)
+                    k[k == len(grams)] = 0
+                    rank = np.where(grams[k] == short, classes[k], np.uint8(0)).astype(np.uint64)
+                ends = np.cumsum(block.grams).tolist()
+                for i, a, b in zip(at, [0, *ends], ends):
+                    s, first = np.unique(h[a:b], return_index=True)
+                    ids.append(doc_ids[i])
+                    sizes.append(len(s))
+                    marks.append(_mark(s))
+                    p = max(0, len(s) - int(needed(len(s), least)) + int(more(len(s)))) if len(s) else 0
+                    c = rank[a:b][first]
+                    # the rarest first; sets are in order of hashes, which orders those of a class
+                    s = s[np.argsort(c, kind="stable")[:p]] if c.any() else s[:p]
+                    keys.append(s >> np.uint64(64 - wide))
+                    own.append(len(s))
+                    held += len(s)
+                if held > HELD or len(ids) > HELD // 16:
                     yield flush()
-        if held:
+        if ids:
             yield flush()
 
     return run
 
 
+def _summed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (p, x, least): each p and x once, with the least and the number of rows."""
+    p, x, least = np.concatenate(rows).T if rows else np.empty((3, 0), np.int64)
+    order = np.lexsort((x, p))
+    p, x, least = p[order], x[order], least[order]
+    starts = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (x[1:] != x[:-1])]) if len(p) else np.empty(0, np.int64)
+    return p[starts], x[starts], np.minimum.reduceat(least, starts) if len(starts) else least, np.diff(np.r_[starts, len(p)])
+
+
 def _meet(least: float):
-    """Of the prefixes of one partition: pairs with the number of rare n-grams they share, and members of pivots' regions."""
+    """Of the prefixes of one partition: pairs with the number of rare n-grams they share (kind 0), and members of pivots' regions
+    (1); besides the marks that came along (2): p is the document, n the size of its set."""
 
     def run(batches):
         keys, docs, sizes = [], [], []
         for batch in batches:
             for body in batch["body"]:
-                k, at, ids, m = unpack(body.as_buffer())
-                k = np.frombuffer(k, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
-                at = np.frombuffer(at, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-                keys.append(np.cumsum(k, dtype=np.uint64))
-                docs.append(np.cumsum(np.frombuffer(ids, np.int64))[at])
-                sizes.append(np.frombuffer(m, np.uint32)[at].astype(np.int64))
+                parts = unpack(body.as_buffer())
+                if len(parts) == 3:
+                    ids, marks, m = parts
+                    n, zeros = len(m) // 8, np.zeros(len(m) // 8, np.int64)
+                    yield pa.record_batch([np.frombuffer(ids, np.int64), zeros, zeros, np.frombuffer(m, np.int64), np.full(n, 2, np.int8), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(marks)]).cast(pa.binary())], names=MET)
+                    continue
+                k, at, ids, m = parts
+                at = _numbers(at, np.uint32)
+                keys.append(np.cumsum(_numbers(k, np.uint64), dtype=np.uint64))
+                docs.append(np.cumsum(_numbers(ids, np.int64))[at])
+                sizes.append(_numbers(m, np.uint32)[at])
         if not keys:
             return
-        key, doc, m = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
+        key, doc, m = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes).astype(np.int64)
+        del keys, docs, sizes
         order = np.lexsort((doc, key))
         key, doc, m = key[order], doc[order], m[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[starts, len(key)])
-        pairs, members = [np.empty((0, 4), np.int64)], [np.empty((0, 3), np.int64)]
+        pairs, members = [], []
         for g in range(2, SMALL + 1):
             at = starts[n == g]
             for i in range(g):
@@ -250,35 +313,35 @@ def _meet(least: float):
                     a, b = at + i, at + j
                     ok = (doc[a] != doc[b]) & (np.minimum(m[a], m[b]) >= needed(np.maximum(m[a], m[b]), least))
                     a, b = a[ok], b[ok]
-                    pairs.append(np.stack([doc[a], doc[b], shares(np.minimum(m[a], m[b]), np.maximum(m[a], m[b]), least)[0], np.ones(len(a), np.int64)], 1))
+                    pairs.append(np.stack([doc[a], doc[b], shares(np.minimum(m[a], m[b]), np.maximum(m[a], m[b]), least)[0]], 1))
         large = n > SMALL
         at = np.repeat(starts[large], n[large])
         inside = np.repeat(large, n)
         members.append(np.stack([doc[at], doc[inside], shares(needed(m[inside], least), m[inside], least)[1]], 1))
-        p = np.concatenate(pairs)
-        out = pd.DataFrame(p, columns=["p", "x", "least", "n"]).groupby(["p", "x"], as_index=False).agg({"least": "min", "n": "sum"}).assign(large=False)
-        q = pd.DataFrame(np.concatenate(members), columns=["p", "x", "least"]).groupby(["p", "x"], as_index=False).agg(least=("least", "min"), n=("least", "size")).assign(large=True)
-        for frame in (out, q):
-            for at in range(0, len(frame), 100_000):
-                yield pa.RecordBatch.from_pandas(frame.iloc[at : at + 100_000], preserve_index=False)
+        for kind, found in enumerate((pairs, members)):
+            columns = _summed(found)
+            for at in range(0, len(columns[0]), 100_000):
+                some = [c[at : at + 100_000] for c in columns]
+                yield pa.record_batch([*some, np.full(len(some[0]), kind, np.int8), pa.nulls(len(some[0]), pa.binary())], names=MET)
 
     return run
 
 
+def _mark(grams: np.ndarray) -> bytes:
+    """What stands for a whole set."""
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def _marked(n: int):
-    """Rows with a hash of the text's whole set; those whose set is empty go."""
+    """Rows with the mark of the text's set."""
 
     def run(batches):
         for batch in batches:
-            keep, marks = [], []
-            for at, some in _blocks(batch):
+            marks = []
+            for _, some in _blocks(batch):
                 block = Block(some, n)
-                for i, s in zip(at, block.sets(block.gram_hashes())):
-                    if len(s):
-                        keep.append(i)
-                        marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            own = batch.take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([own["doc_id"], own["text"], pa.array(marks, pa.binary())], ["doc_id", "text", "mark"])
+                marks += [_mark(s) for s in block.sets(block.gram_hashes())]
+            yield pa.record_batch([batch["doc_id"], batch["text"], pa.array(marks, pa.binary())], ["doc_id", "text", "mark"])
 
     return run
 
@@ -354,8 +417,9 @@ def _leaf(cell: Cell, docs: np.ndarray, near: np.ndarray, least: float, tell) ->
 
 
 def _join(cell: Cell, docs: np.ndarray, least: float, tell, depth: int = 0) -> None:
-    """All pairs of docs within the threshold, maybe some twice. Voronoi cells of a few pivots, each farthest from those before,
-    and the documents that the triangle inequality lets have a partner there; a cell that is hardly smaller isn't split again."""
+    """All pairs of docs within the threshold, each once: told in the first of the cells where its documents are at home. Voronoi
+    cells of a few pivots, each farthest from those before, and the documents that the triangle inequality lets have a partner
+    there; a cell that is hardly smaller isn't split again."""
     if len(docs) < 2:
         return
     pivots = [docs[0]]
@@ -370,6 +434,16 @@ def _join(cell: Cell, docs: np.ndarray, least: float, tell, depth: int = 0) -> N
         d = np.concatenate([d, cell.distances(docs, np.array(pivots[-1:]))], 1)
     home, own = d.argmin(1), d.min(1)
     r = 1 - least + 1e-9
+    homes = np.full(len(cell.size), -1)
+    homes[docs] = home
+
+    def first(k: int):
+        def told(a, b, o, u):
+            ok = np.minimum(homes[a], homes[b]) == k
+            tell(a[ok], b[ok], o[ok], u[ok])
+
+        return told
+
     for k in range(len(pivots)):
         at_home = home == k
         if not at_home.any():
@@ -379,39 +453,85 @@ def _join(cell: Cell, docs: np.ndarray, least: float, tell, depth: int = 0) -> N
         window = at_home | (d[:, k] <= own[at_home].max() + r) & (d[:, k] <= own + 2 * r)
         some = docs[window]
         if len(some) > 0.7 * len(docs) or depth > 20:
-            _leaf(cell, some, d[window, k], least, tell)
+            _leaf(cell, some, d[window, k], least, first(k))
         else:
-            _join(cell, some, least, tell, depth + 1)
+            _join(cell, some, least, first(k), depth + 1)
 
 
 def join_sets(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int, int, int]]:
     """(i, j, overlap, union) for all pairs of sets whose Jaccard is at least `least`, each once, i < j."""
-    out: dict[tuple[int, int], tuple[int, int]] = {}
+    out: list[tuple[int, int, int, int]] = []
 
     def tell(a, b, o, u):
-        for i, j, x, y in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), o.tolist(), u.tolist()):
-            out[i, j] = (x, y)
+        out.extend(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), o.tolist(), u.tolist()))
 
     if sets:
         _join(Cell(sets), np.arange(len(sets)), least, tell)
-    return sorted((i, j, x, y) for (i, j), (x, y) in out.items())
+    return sorted(out)
+
+
+class Links:
+    """Links between n documents as they are told: their number for each document, and which documents they connect."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.n = weights, np.zeros(len(weights), np.int64)
+        self.label = np.arange(len(weights))
+
+    def tell(self, a: np.ndarray, b: np.ndarray) -> None:
+        np.add.at(self.n, a, self.weights[b])
+        np.add.at(self.n, b, self.weights[a])
+        while True:
+            x, y = self.label[a], self.label[b]
+            apart = x != y
+            if not apart.any():
+                return
+            least = np.minimum(x, y)[apart]
+            np.minimum.at(self.label, x[apart], least)
+            np.minimum.at(self.label, y[apart], least)
+            while (self.label[self.label] != self.label).any():
+                self.label = self.label[self.label]
 
 
 def _region(least: float, n: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+    """Of the sets of one region, or of two of its blocks: the links told there, as their number for each (with mark) and as edges
+    (without) that connect what they connect. A pair that meets in several regions counts in the least one."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mark", pa.binary()), ("links", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        # a row that repeats a document and its text counts once
-        once = {(i, t): k for k, (i, t) in enumerate(zip(table["x"].to_pylist(), table["text"].to_pylist()))}
+        # a row that repeats a document and its set counts once
+        once = {(i, t): k for k, (i, t) in enumerate(zip(table["x"].to_pylist(), table["mark"].to_pylist()))}
         table = table.take(pa.array(list(once.values()), pa.int64()))
-        ids, sets = table["x"].to_numpy(), []
+        ids, own, sets = table["x"].to_numpy(), int(table["p"][0].as_py()), []
+        block, apart = table["block"].to_numpy(), table["i"][0].as_py() != table["j"][0].as_py()
         for batch in table.select(["text"]).to_batches():
             for _, some in _blocks(batch):
-                block = Block(some, n)
-                sets += block.sets(block.gram_hashes())
-        found = np.array(join_sets(sets, least), np.int64).reshape(-1, 4)
-        a, b = ids[found[:, 0]], ids[found[:, 1]]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[:, 2] / np.maximum(found[:, 3], 1))], schema=schema)
+                part = Block(some, n)
+                sets += part.sets(part.gram_hashes())
+        lists: dict[tuple, int] = {}
+        kind = np.array([lists.setdefault(tuple(sorted(x)), len(lists)) for x in table["regions"].to_pylist()], np.int64)
+        lists_of = list(lists)
+        owned: dict[int, bool] = {}
+        links = Links(table["weight"].to_numpy())
+
+        def tell(a, b, o, u):
+            if apart:
+                ok = block[a] != block[b]
+                a, b = a[ok], b[ok]
+            if len(lists) > 1 or len(lists_of[0]) > 1:
+                both, at = np.unique(kind[a] * len(lists) + kind[b], return_inverse=True)
+                for k in both.tolist():
+                    if k not in owned:
+                        owned[k] = min({*lists_of[k // len(lists)]} & {*lists_of[k % len(lists)]}) == own
+                ok = np.array([owned[k] for k in both.tolist()], bool)[at]
+                a, b = a[ok], b[ok]
+            links.tell(a, b)
+
+        _join(Cell(sets), np.arange(len(sets)), least, tell)
+        some, lower = np.flatnonzero(links.n), np.flatnonzero(links.label != np.arange(len(ids)))
+        nulls = pa.nulls(len(some), pa.int64()), pa.nulls(len(lower), pa.binary()), pa.nulls(len(lower), pa.int64())
+        counts = [pa.array(ids[some]), nulls[0], table["mark"].take(pa.array(some)).combine_chunks(), pa.array(links.n[some])]
+        edges = [pa.array(ids[lower]), pa.array(ids[links.label[lower]]), nulls[1], nulls[2]]
+        return pa.concat_tables([pa.table(x, schema=schema) for x in (counts, edges)])
 
     return run
 
@@ -431,84 +551,94 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _few(ids: DataFrame) -> DataFrame:
+def _few(ids: DataFrame, most: int = BROADCAST) -> DataFrame:
     """A list of ids to join texts with: sent to all tasks only while it is small; beyond that the texts are shuffled to it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def _classes(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b, jaccard) of the least documents of equal sets, members (id, v) of those with partners or copies)."""
-    words, classes = word_classes(docs)
-    k = buckets(docs)
-    known = docs.where("doc_id is not null")
-    met = known.mapInArrow(_prefixes(words, classes, least, n, k), "bucket int, body binary").repartition(k, "bucket").mapInArrow(_meet(least), "p bigint, x bigint, least bigint, n bigint, large boolean")
-    met = written(met.groupBy("p", "x", "large").agg(F.min("least").alias("least"), F.sum("n").alias("n")), "met")
+def _linked(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members (id, v, mark, m): of each document and distinct set the least document with that set; counts (id, mark, links) of
+    sets with links to others, edges (a, b) that connect what links connect)."""
+    k, known = buckets(docs), docs.where("doc_id is not null")
+    bits = min(56, max(32, math.ceil(math.log2(max(1, input_bytes(docs)))) + 3))
+    grams, classes = gram_classes(known, bits, k, n)
+    met = known.mapInArrow(_prefixes(grams, classes, bits, least, n, k), "bucket int, body binary").repartition(k, "bucket").mapInArrow(_meet(least), "p bigint, x bigint, least bigint, n bigint, kind tinyint, mark binary")
+    met = written(met, "met")
+    # equal sets are one: the least document stands for them
+    marks = met.where("kind = 2").select(F.col("p").alias("v"), "mark", F.col("n").alias("m")).distinct()
+    first = marks.where("m > 0").groupBy("mark").agg(F.min("v").alias("id"), F.count("v").alias("weight"))
+    first = written(first, "first")
+    members = written(marks.join(first.select("mark", "id"), "mark", "left").select("id", "v", "mark", "m"), "members")
     # a pair shares enough rare n-grams, or each of its documents has enough common ones
-    pairs, stars = met.where("not large and n >= least"), met.where("large")
+    met = met.where("kind < 2").groupBy("p", "x", "kind").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+    met = written(met.withColumn("enough", F.col("n") >= F.col("least")).where("kind = 1 or enough"), "candidates")
+    pairs, stars = met.where("kind = 0"), met.where("kind = 1")
     enough = stars.groupBy("x").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least")
     own = [pairs.select("p", "x", "n"), pairs.select("p", F.col("p").alias("x"), "n"), stars.join(enough.select("x"), "x", "left_semi").select("p", "x", "n")]
-    regions = written(own[0].unionByName(own[1]).unionByName(own[2]).groupBy("p", "x").agg(F.max("n").alias("n")), "regions")
-    wanted = written(regions.select(F.col("x").alias("doc_id")).distinct(), "wanted")
-    marked = written(known.join(_few(wanted), "doc_id", "left_semi").mapInArrow(_marked(n), "doc_id bigint, text string, mark binary"), "marked")
-    # equal sets are one: the least document stands for them
-    least_of = marked.groupBy("mark").agg(F.min("doc_id").alias("id"))
-    members = written(marked.select("doc_id", "mark").join(least_of, "mark").select("id", F.col("doc_id").alias("v"), "mark").distinct(), "members")
-    of = lambda c: members.select(F.col("v").alias(c), F.col("id").alias(f"{c}_id"))
-    pairs = written(regions.join(of("p"), "p", "left").join(of("x"), "x").groupBy(F.coalesce("p_id", "p").alias("p"), F.col("x_id").alias("x")).agg(F.max("n").alias("n")), "pairs")
+    least_of = members.where("id is not null").select(F.col("v").alias("x"), "id", "mark").distinct()
+    regions = own[0].unionByName(own[1]).unionByName(own[2]).join(least_of, "x")
+    regions = written(regions.groupBy("p", F.col("id").alias("x"), "mark").agg(F.max("n").alias("n")), "regions")
     # regions whose pivots share many n-grams are one, so that a cluster of copies is joined once and not for each of its pivots
-    labels = components(pairs.where(F.col("n") >= STRONG).select(F.col("p").alias("a"), F.col("x").alias("b"))).select(F.col("a").alias("p"), "label")
-    own = written(pairs.join(labels, "p", "left").select(F.coalesce("label", "p").alias("p"), "x").distinct(), "own")
+    labels = components(regions.where(F.col("n") >= STRONG).select(F.col("p").alias("a"), F.col("x").alias("b"))).select(F.col("a").alias("p"), "label")
+    own = written(regions.join(labels, "p", "left").select(F.coalesce("label", "p").alias("p"), "x", "mark").distinct(), "own")
     # one too large for a task is joined block by block, each pair of blocks in a task of its own
     count = own.groupBy("p").count().where("count > 1").select("p", F.ceil(F.col("count") / REGION).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
-    spread = own.join(count, "p").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("p", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "x")
-    first = members.where("id = v").select(F.col("v").alias("doc_id"), "mark")
-    alone = marked.join(_few(first), ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("x"), "text")
-    near = alone.join(_few(written(spread, "spread")), "x").groupBy("p", "i", "j").applyInArrow(_region(least, n), "a bigint, b bigint, jaccard double").where("a != b")
-    return near.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), members
+    own = written(own.join(count, "p"), "own")
+    of = own.groupBy("x", "mark").agg(F.collect_set("p").alias("regions")).join(first.select("mark", "weight"), "mark")
+    spread = own.withColumn("block", F.pmod(F.xxhash64("x", "mark"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = written(spread.select("p", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"), "block", "x", "mark").join(of, ["x", "mark"]), "spread")
+    wanted = spread.select(F.col("x").alias("doc_id")).distinct()
+    alone = known.join(_few(wanted), "doc_id", "left_semi").mapInArrow(_marked(n), "doc_id bigint, text string, mark binary")
+    near = alone.withColumnRenamed("doc_id", "x").join(_few(spread, BROADCAST // 8), ["x", "mark"]).repartition(k, "p", "i", "j").groupBy("p", "i", "j").applyInArrow(_region(least, n), "a bigint, b bigint, mark binary, links bigint")
+    near = written(near, "near")
+    return members, near.where("mark is not null").groupBy(F.col("a").alias("id"), "mark").agg(F.sum("links").alias("links")), near.where("mark is null").select("a", "b")
+
+
+def _groups(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, label): the least document that links or copies connect each document with, of those that have any."""
+    return components(edges.unionByName(members.where("id != v").select(F.col("id").alias("a"), F.col("v").alias("b"))))
 
 
-def jaccard_pairs(docs: DataFrame, least: float = LEAST, n: int = N) -> DataFrame:
-    """(doc_a, doc_b, jaccard) for all pairs of documents, doc_a < doc_b, whose sets of word n-grams have a Jaccard of at least
-    `least`, which is rounded to 6 digits.
+def jaccard_links(docs: DataFrame, least: float = LEAST, n: int = N) -> DataFrame:
+    """(doc_id, class_id, links) for every document: how many others have a set of word n-grams within a Jaccard of `least` of its
+    own, and the least document that such links connect it with, over others maybe: itself, if it has none.
 
     Words are parted by white space and compared in lower case. A text of fewer than n words is one n-gram; null texts and
-    those without a word have no partners, not even each other. Rows of null doc_id are left out. Rows that repeat a doc_id
-    count as one document: once where their texts are equal, else with the best of its texts for each pair. An empty table gives
-    an empty one; columns other than doc_id and text aren't read.
+    those without a word have no links, not even to each other. Rows of null doc_id are left out. Rows that repeat a doc_id and
+    its n-grams count as one; a doc_id with several different texts counts as a document for each of them, all of one class, whose
+    links are added up. An empty table gives an empty one; columns other than doc_id and text aren't read.
     """
-    near, members = _classes(texts(docs), least, n)
-    members = members.select("id", "v").distinct()
-    across = near.join(members.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(members.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("va", "vb", "jaccard")
-    same = members.select("id", F.col("v").alias("va")).join(members.select("id", F.col("v").alias("vb")), "id").where("va < vb").select("va", "vb", F.lit(1.0).alias("jaccard"))
-    every = across.unionByName(same).where("va != vb").select(F.least("va", "vb").alias("doc_a"), F.greatest("va", "vb").alias("doc_b"), "jaccard")
-    return every.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    members, counts, edges = _linked(texts(docs), least, n)
+    copies = members.where("id is not null").groupBy("id", "mark").agg((F.count("v") - 1).alias("copies"))
+    links = members.join(copies, ["id", "mark"], "left").join(counts, ["id", "mark"], "left").groupBy(F.col("v").alias("doc_id")).agg(F.sum(F.coalesce("copies", F.lit(0)) + F.coalesce("links", F.lit(0))).alias("links"))
+    labels = _groups(members, edges).select(F.col("a").alias("doc_id"), "label")
+    return links.join(labels, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), "links")
 
 
 def duplicates(docs: DataFrame, least: float = LEAST, n: int = N) -> DataFrame:
-    """(doc_id, kept): the documents that go if of each group, connected by pairs, only the least doc_id stays."""
-    near, members = _classes(texts(docs), least, n)
-    labels = components(near.select("a", "b").unionByName(members.where("id != v").select(F.col("id").alias("a"), F.col("v").alias("b"))))
-    return labels.where("a != label").select(F.col("a").alias("doc_id"), F.col("label").alias("kept"))
+    """(doc_id, kept): the documents that go if of each group, connected by links, only the least doc_id stays."""
+    members, _, edges = _linked(texts(docs), least, n)
+    return _groups(members, edges).where("a != label").select(F.col("a").alias("doc_id"), F.col("label").alias("kept"))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST, n: int = N) -> DataFrame:
     """docs with one row of each group of near duplicates: the least doc_id of the group. Of rows with one doc_id and one text
     one stays; those of one doc_id and several texts stay or go together. Rows of null doc_id stay."""
-    kept = docs.join(duplicates(docs, least, n).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(_few(written(duplicates(docs, least, n).select("doc_id"), "gone")), "doc_id", "left_anti").select(docs.columns)
     again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    return kept.join(_few(again), "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(_few(again), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
-#: The same pairs by counting shared n-grams of all documents.
+#: The same by counting shared n-grams of all documents, and by following links.
 ORACLE = f"""
-WITH words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) END) AS g FROM words WHERE len(w) > 0),
 sizes AS (SELECT doc_id, count(*) AS m FROM grams GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(o / (x.m + y.m - o), 6) AS jaccard FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE o >= {LEAST} * (x.m + y.m - o) - 1e-9
+shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT doc_a, doc_b FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE o >= {LEAST} * (x.m + y.m - o) - 1e-9),
+reached AS (SELECT doc_a, doc_b FROM pairs UNION SELECT r.doc_a, p.doc_b FROM reached r JOIN pairs p ON r.doc_b = p.doc_a)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(doc_b) FROM reached r WHERE r.doc_a = d.doc_id), doc_id)) AS class_id, (SELECT count(*) FROM pairs p WHERE p.doc_a = d.doc_id) AS links
+FROM documents d WHERE doc_id IS NOT NULL
 """

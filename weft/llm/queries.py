@@ -24,7 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_scan": _on(secret_scan.secret_scan),
         "op7_piece_rounds": _on(piece_rounds.encode),
         "op8_best_fit_packing": _on(packing.best_fit_packing),
-        "op9_jaccard_pairs": _on(jaccard_join.jaccard_pairs),
+        "op9_jaccard_pairs": _on(jaccard_join.jaccard_links),
         "op10_page_tensors": _on(progressive_jpeg.page_tensors, "pages"),
     }
 
