@@ -3,14 +3,31 @@ import numpy as np
 from weft.llm import lattice as L
 
 
-def brute(rows, least):
-    out = {}
-    unit = [(i, np.array(v, np.float64) / np.linalg.norm(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.linalg.norm(v) > 0]
-    for i, a in unit:
-        for j, b in unit:
-            if i < j and len(a) == len(b) and a @ b >= least:
-                out[i, j] = max(out.get((i, j), -1), round(float(a @ b), 5))
-    return out
+def brute(rows, least=L.LEAST):
+    """(links of each vec_id, groups) by comparing every vector with every other."""
+    items = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)})
+    links, label = {i: 0 for i, _ in rows if i is not None}, {i: i for i, _ in rows if i is not None}
+    pairs = []
+    for dim in {len(v) for _, v in items}:
+        some = [(i, v) for i, v in items if len(v) == dim]
+        x = np.array([v for _, v in some])
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        pairs += [(some[a][0], some[b][0]) for a, b in np.argwhere(np.triu(x @ x.T >= least - 1e-9, 1))]
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    for _ in range(len(rows)):
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    return links, label
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, 3, 1) for i, v in rows], "vec_id bigint, embedding array<double>, id int, links int").repartition(3)
 
 
 def test_nearest_point():
@@ -21,30 +38,27 @@ def test_nearest_point():
     assert ((2 * p) % 1 == 0).all() and (p.sum(1) % 2 == 0).all() and len(np.unique(L.neighbours(), axis=0)) == 240
 
 
-def test_pairs_and_recall(spark):
+def test_links_against_brute_force(spark):
     rng, rows = np.random.default_rng(1), []
-    for c in range(150):
+    for c in range(120):
         x = rng.normal(size=32)
         for _ in range(rng.integers(1, 7)):
-            rows.append((len(rows), (x + rng.normal(size=32) * rng.choice([0.02, 0.1, 0.25])).tolist()))
-    rows += [(len(rows) + 1, rows[0][1]), (len(rows) + 2, rows[0][1]), rows[5], (None, rows[0][1]), (9001, None), (9002, []), (9003, [0.0] * 32), (9004, [1.0, None]), (9005, [float("nan")] * 32), (9006, [1.0, 2.0]), (9007, [2.0, 4.0])]
-    vectors = spark.createDataFrame([(i, v, 3, 1) for i, v in rows], "vec_id bigint, embedding array<double>, id int, cell int").repartition(3)
-    got = {(r.vec_a, r.vec_b): round(r.cosine, 5) for r in L.near_pairs(vectors).collect()}
-    want = brute(rows, L.LEAST)
-    edge = {k for k, v in want.items() if abs(v - L.LEAST) < 1e-5}
-    assert all(k in want and abs(want[k] - v) < 2e-5 for k, v in got.items() if k not in edge)
-    assert len(got.keys() & want.keys()) >= 0.9 * len(want) and (0, len(rows) - 10) in got and (9006, 9007) in got
-    assert L.near_pairs(vectors.limit(0)).count() == 0
-
-
-def test_recall_on_the_table(spark):
-    table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    rows = table.select("vec_id", "embedding").toPandas()
-    x = np.stack(rows.embedding).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids, want = rows.vec_id.to_numpy(), set()
-    for at in range(0, len(x), 2000):
-        a, b = np.nonzero(x[at : at + 2000] @ x.T >= L.LEAST)
-        want |= {(int(ids[i + at]), int(ids[j])) for i, j in zip(a, b) if ids[i + at] < ids[j]}
-    got = {(r.vec_a, r.vec_b) for r in L.near_pairs(table).collect()}
-    assert len(got & want) >= 0.9 * len(want) > 0 and len(got - want) <= 2
+            rows.append((len(rows), (x + rng.normal(size=32) * rng.choice([0.02, 0.05])).tolist()))
+    rows += [(len(rows) + 1, rows[0][1]), (len(rows) + 2, rows[0][1]), rows[5], (None, rows[0][1]), (9001, None), (9002, []), (9003, [0.0] * 32), (9004, [1.0, None]), (9005, [float("nan")] * 32), (9006, [1.0, 2.0]), (9007, [2.0, 4.0]), (9006, rows[1][1]), (9008, [1e200] * 3), (9009, [1e-200] * 3)]
+    got = {r.vec_id: r for r in L.near_links(table(spark, rows)).collect()}
+    links, label = brute(rows)
+    assert got.keys() == links.keys() and all(r.links <= links[i] for i, r in got.items())
+    assert sum(r.links for r in got.values()) >= 0.98 * sum(links.values()) > 500
+    assert sum(got[i].class_id == label[i] for i in got) >= 0.98 * len(got) and got[9009].class_id == 9008 and got[9007].links == 1
+    assert L.near_links(table(spark, rows).limit(0)).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    for dim in (8, 16, 64, 200):
+        rng, rows = np.random.default_rng(dim), []
+        for c in np.linspace(0.951, 0.97, 400):
+            x, y = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+            rows += [(len(rows), x.tolist()), (len(rows) + 1, (c * x + np.sqrt(1 - c * c) * y).tolist())]
+        links, _ = brute(rows)
+        got = sum(r.links for r in L.near_links(table(spark, rows)).collect())
+        assert 0.9 * sum(links.values()) <= got <= sum(links.values()) and sum(links.values()) >= 800

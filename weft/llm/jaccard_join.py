@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import buckets, input_bytes, pack, rows, texts, unpack, written
+from weft.llm.common import Links, buckets, components, input_bytes, pack, rows, texts, unpack, written
 
 #: Words of an n-gram; least Jaccard of a pair.
 N, LEAST = 3, 0.6
@@ -470,28 +470,6 @@ def join_sets(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, i
     return sorted(out)
 
 
-class Links:
-    """Links between n documents as they are told: their number for each document, and which documents they connect."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.n = weights, np.zeros(len(weights), np.int64)
-        self.label = np.arange(len(weights))
-
-    def tell(self, a: np.ndarray, b: np.ndarray) -> None:
-        np.add.at(self.n, a, self.weights[b])
-        np.add.at(self.n, b, self.weights[a])
-        while True:
-            x, y = self.label[a], self.label[b]
-            apart = x != y
-            if not apart.any():
-                return
-            least = np.minimum(x, y)[apart]
-            np.minimum.at(self.label, x[apart], least)
-            np.minimum.at(self.label, y[apart], least)
-            while (self.label[self.label] != self.label).any():
-                self.label = self.label[self.label]
-
-
 def _region(least: float, n: int):
     """Of the sets of one region, or of two of its blocks: the links told there, as their number for each (with mark) and as edges
     (without) that connect what they connect. A pair that meets in several regions counts in the least one."""
@@ -536,21 +514,6 @@ def _region(least: float, n: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, label): the least vertex that edges (a, b) connect each vertex with."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
-    # labels fall to the least of the neighbours', then to the label of the label, until none falls any more
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label")), "labels")
-    while True:
-        lower = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("lower"))
-        step = labels.join(lower, "a").select("a", "label", F.least("label", "lower").alias("new"))
-        jump = labels.select(F.col("a").alias("new"), F.col("label").alias("further"))
-        new = written(step.join(jump, "new", "left").select("a", "label", F.least("new", F.coalesce("further", "new")).alias("new")), "labels")
-        labels = new.select("a", F.col("new").alias("label"))
-        if new.where("new != label").isEmpty():
-            return labels
-
-
 def _few(ids: DataFrame, most: int = BROADCAST) -> DataFrame:
     """A list of ids to join texts with: sent to all tasks only while it is small; beyond that the texts are shuffled to it."""
     return F.broadcast(ids) if ids.count() <= most else ids

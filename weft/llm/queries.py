@@ -19,7 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_surrogates": _on(pii.surrogates),
         "op2_token_counts": _on(token_counts.token_counts),
         "op3_language_id": _on(langid.language_id),
-        "op4_lattice_near_pairs": _on(lattice.near_pairs, "embeddings"),
+        "op4_lattice_near_pairs": _on(lattice.near_links, "embeddings"),
         "op5_token_store": _on(token_store.token_store),
         "op6_secret_scan": _on(secret_scan.secret_scan),
         "op7_piece_rounds": _on(piece_rounds.encode),
