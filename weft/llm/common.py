@@ -42,8 +42,20 @@ def buckets(df: DataFrame, each: int = 16 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(input_bytes(df) / each))
 
 
+#: Rows of documents that Python workers are sent at once; Spark's 10,000 are many megabytes of text for each worker and its JVM.
+BATCH = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH rows for Python workers, unless the session has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of a table of documents; whatever other columns it has can't clash with an operator's own."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

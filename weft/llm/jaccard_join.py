@@ -30,12 +30,12 @@ SHARED, SMALL = 16, 8
 #: Frequent n-grams known to the order of n-grams; documents joined at once in a cell; documents of a region that one task joins.
 GRAMS, LEAF, REGION = 1 << 20, 512, 20_000
 #: n-grams that a task holds before it sends them on.
-HELD = 1_000_000
+HELD = 500_000
 #: n-grams that two pivots share in their prefixes for their regions to be one.
 STRONG = 8
 #: Most ids of candidates that are sent to all tasks.
 BROADCAST = 1_000_000
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BODIES = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
 MET = ["p", "x", "least", "n", "kind", "mark"]
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

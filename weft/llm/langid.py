@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import hashed_sample, texts
+from weft.llm.common import hashed_sample, small_batches, texts
 
 #: Most labelled documents the classifier is fitted on; hash bits of the features; longest n-gram; least confidence kept, of
 #: texts with at least so many letters: a word or two may belong to several languages and is no reason to reject a document.
@@ -208,7 +208,12 @@ def language_id(docs: DataFrame, most: int = SAMPLE, least: float = LEAST) -> Da
 
 
 def keep_identified(docs: DataFrame, most: int = SAMPLE, least: float = LEAST) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) without the rows that aren't accepted; lang is the language found."""
+    """docs (doc_id, text, lang, source, n_chars) without the rows that aren't accepted; lang is the language found.
+
+    A null or empty text has no letters and goes; rows that repeat another, and null doc_ids, are judged like any; an empty table
+    gives an empty one; other columns are left out.
+    """
+    small_batches(docs.sparkSession)
     model = train(docs, most)
     keep = ["doc_id", "text", "source", "n_chars"]
     found = docs.select(*keep).mapInArrow(_identify(model, least, keep), "doc_id bigint, text string, source string, n_chars bigint, lang string, confidence double, accepted boolean")

@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from weft.llm.common import rows, texts
+from weft.llm.common import rows, small_batches, texts
 
 NAMES = r"api[_-]?key|access[_-]?key|secret(?:[_-]?(?:access[_-]?)?key)?|client[_-]?secret|private[_-]?key|auth[_-]?token|access[_-]?token|token|passw(?:or)?d|passwd|pwd"
 NOISE = r"[^\w\s\"'=:]{0,8}"
@@ -432,7 +432,11 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with the secrets of column text replaced and n_chars counted anew; no row goes, other columns stay as they are."""
+    """docs with the secrets of column text replaced and n_chars counted anew; no row goes, other columns stay as they are.
+
+    Null and empty texts, null doc_ids and repeated rows stay as they are; an empty table gives an empty one.
+    """
+    small_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
 
     def run(batches):
