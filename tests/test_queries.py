@@ -12,7 +12,7 @@ from weft import plans
 from weft.plans import relational
 
 AT = "/root/testdata/sf0.001"
-NAMES = ["filter_like_ilike", "project_case_coalesce", "arithmetic_null_div", "join_full", "join_theta_left", "agg_filter", "agg_regr", "agg_cube", "win_range", "win_filter", "sort_nulls", "except_all", "cte_recursive_all", "fn_string", "fn_datetime", "tf_json_each", "fts_bm25", "fts_and_or_not", "fuse_log_odds", "knn", "spatial_within", "path_filter", "graph_traverse", "graph_pattern", "stream_session"]
+NAMES = ["filter_like_ilike", "project_case_coalesce", "arithmetic_null_div", "join_full", "join_theta_left", "agg_filter", "agg_regr", "agg_cube", "win_range", "win_filter", "sort_nulls", "except_all", "cte_recursive_all", "fn_string", "fn_datetime", "tf_json_each", "fts_bm25", "fts_and_or_not", "fuse_log_odds", "knn", "spatial_within", "path_filter", "graph_traverse", "graph_pattern", "stream_session", "graph_hits", "session_regexp", "session_json", "session_window_filter", "dml_upsert", "sql_fuse_log_odds", "sql_match_join", "cypher_optional", "api_knn"]
 
 
 def plain(v):

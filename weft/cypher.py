@@ -259,43 +259,88 @@ class Cypher:
                 self.take()
                 sets[self.take().upper()] += self._assignments()
             if merge:
-                saved, kinds = self.rows, dict(self.kind)
-                bound = set(saved.columns)
-                self._in_match = set()
-                hit = self._bind(saved, bound, nodes[0])
-                for k, e in enumerate(edges):
-                    hit = self._hop(hit, bound, nodes[k][0], e, nodes[k + 1])
-                hit = settled(hit)
-                if not hit.isEmpty():
-                    self.rows = hit
-                    self._apply(sets["MATCH"])
-                    if not self.taken(","):
-                        return
-                    continue
-                self.rows, self.kind = saved, kinds
-            self.rows = settled(self.rows)
-            for name, label, props in nodes:
-                if name in self.rows.columns:
-                    continue
-                top = self.graph.vertices.agg(F.max("id")).first()[0] or 0
-                v = F.struct((F.row_number().over(_one()) + top).cast("bigint").alias("id"), F.lit(label or "").alias("label"), self._properties(props).alias("properties"))
-                self.rows = settled(self.rows.withColumn(name, v))
-                self.kind[name] = "vertex"
-                self.graph = Graph(settled(self.graph.vertices.unionByName(self.rows.select(f"`{name}`.*"))), self.graph.edges)
-            for k, (name, labels, props, direction, _) in enumerate(edges):
-                a, b = nodes[k][0], nodes[k + 1][0]
-                if direction == "in":
-                    a, b = b, a
-                top = self.graph.edges.agg(F.max("edge_id")).first()[0] or 0
-                e = F.struct((F.row_number().over(_one()) + top).cast("bigint").alias("edge_id"), F.col(f"`{a}`.id").alias("src"), F.col(f"`{b}`.id").alias("dst"), F.lit(labels[0] if labels else "").alias("label"), self._properties(props).alias("properties"))
-                self.rows = settled(self.rows.withColumn(name, e))
-                self.kind[name] = "edge"
-                self.graph = Graph(self.graph.vertices, settled(self.graph.edges.unionByName(self.rows.select(f"`{name}`.*"))))
-            if merge:
-                self._apply(sets["CREATE"])
+                self._merge(nodes, edges, sets)
+                if not self.taken(","):
+                    return
+                continue
+            self._make(nodes, edges)
             if not self.taken(","):
                 return
 
+    def _make(self, nodes, edges) -> None:
+        """New vertices and edges of a path for every row, but for the vertices that it has."""
+        self.rows = settled(self.rows)
+        for name, label, props in nodes:
+            if name in self.rows.columns:
+                continue
+            top = self.graph.vertices.agg(F.max("id")).first()[0] or 0
+            v = F.struct((F.row_number().over(_one()) + top).cast("bigint").alias("id"), F.lit(label or "").alias("label"), self._properties(props).alias("properties"))
+            self.rows = settled(self.rows.withColumn(name, v))
+            self.kind[name] = "vertex"
+            self.graph = Graph(settled(self.graph.vertices.unionByName(self.rows.select(f"`{name}`.*"))), self.graph.edges)
+        for k, (name, labels, props, direction, _) in enumerate(edges):
+            a, b = nodes[k][0], nodes[k + 1][0]
+            if direction == "in":
+                a, b = b, a
+            top = self.graph.edges.agg(F.max("edge_id")).first()[0] or 0
+            e = F.struct((F.row_number().over(_one()) + top).cast("bigint").alias("edge_id"), F.col(f"`{a}`.id").alias("src"), F.col(f"`{b}`.id").alias("dst"), F.lit(labels[0] if labels else "").alias("label"), self._properties(props).alias("properties"))
+            self.rows = settled(self.rows.withColumn(name, e))
+            self.kind[name] = "edge"
+            self.graph = Graph(self.graph.vertices, settled(self.graph.edges.unionByName(self.rows.select(f"`{name}`.*"))))
+
+    def _found(self, rows: DataFrame, nodes, edges) -> DataFrame:
+        """Rows joined with the paths that they match; properties that depend on a row are compared after the join."""
+        bound, held = set(rows.columns), []
+        self._in_match = set()
+
+        def free(node):
+            name, label, props = node
+            held.extend((name, k, x) for k, x in props.items())
+            return name, label, {}
+
+        open_nodes = [free(n) for n in nodes]
+        open_edges = [(n, labels, {}, d, span) for n, labels, props, d, span in edges]
+        held += [(n, k, x) for n, _, props, _, _ in edges for k, x in props.items()]
+        rows = self._bind(rows, bound, open_nodes[0])
+        for k, e in enumerate(open_edges):
+            rows = self._hop(rows, bound, open_nodes[k][0], e, open_nodes[k + 1])
+        for name, k, x in held:
+            rows = rows.where(F.try_element_at(F.col(f"`{name}`.properties"), F.lit(k)) == x.cast("string"))
+        return settled(rows)
+
+    def _merge(self, nodes, edges, sets) -> None:
+        """MERGE row by row: rows that match the path take what they match; for those that don't, each path that they ask for is
+        made once, and ON CREATE applies to the rows it was made for."""
+        key = self.fresh()
+        before, kinds = settled(self.rows.withColumn(key, F.monotonically_increasing_id())), dict(self.kind)
+        hit = self._found(before, nodes, edges)
+        made_kinds = dict(self.kind)
+        missing = settled(before.join(hit.select(key), key, "left_anti"))
+        parts = []
+        if not hit.isEmpty():
+            self.rows = hit
+            self._apply(sets["MATCH"])
+            parts.append(self.rows)
+        if not missing.isEmpty():
+            # one row for each path that is asked for: what it takes from rows are the vertices at hand and the properties
+            asked = [F.col(f"`{n}`.id") for n, _, _ in nodes if n in before.columns] + [x.cast("string") for _, _, props in nodes for x in props.values()] + [x.cast("string") for _, _, props, _, _ in edges for x in props.values()]
+            first = missing.groupBy(F.to_json(F.array(*(F.coalesce(a.cast("string"), F.lit("")) for a in asked))) if asked else F.lit(1)).agg(F.min(key).alias(key)).select(key)
+            self.rows, self.kind = settled(missing.join(first, key, "left_semi")), dict(kinds)
+            self._make(nodes, edges)
+            self._apply(sets["CREATE"])
+            made = self.rows
+            again = missing.join(first, key, "left_anti")
+            parts.append(made)
+            again = settled(again)
+            if not again.isEmpty():
+                parts.append(self._found(again, nodes, edges))
+        self.kind = made_kinds
+        columns = [c for c in parts[0].columns if c != key]
+        out = parts[0].select(*(f"`{c}`" for c in columns))
+        for p in parts[1:]:
+            out = out.unionByName(p.select(*(f"`{c}`" for c in columns)))
+        self.rows = settled(out)
+
     def _properties(self, props: dict) -> Column:
         pairs = [y for k, x in props.items() for y in (F.lit(k), x.cast("string"))]
         return (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")

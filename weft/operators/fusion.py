@@ -50,6 +50,9 @@ def wide(signals: list[DataFrame], defaults: list[float] | None = None) -> DataF
     tagged = reduce(DataFrame.unionByName, [s.select(ID, SCORE, F.lit(i).alias("_of")) for i, s in enumerate(signals)])
     table = tagged.groupBy(ID).agg(*(F.max(F.when(F.col("_of") == i, F.col(SCORE))).alias(f"_p{i}") for i in range(len(signals))))
     if defaults is None:
+        from weft.operators.graph import settled
+
+        table = settled(table)  # read for the counts and for the scores
         n = table.agg(F.count("*").alias("n"), *(F.count(f"_p{i}").alias(f"c{i}") for i in range(len(signals)))).first()
         defaults = [coverage_default(n[f"c{i}"], n["n"]) for i in range(len(signals))]
     return table.select(ID, *(F.coalesce(f"_p{i}", F.lit(d)).alias(f"_p{i}") for i, d in enumerate(defaults)))

@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def hops(g: Graph, start: list[int] | DataFrame, most: int, labels: tuple[str, .
     spark = g.edges.sparkSession
     now = spark.createDataFrame([(int(i),) for i in start], "id bigint") if isinstance(start, list) else start
     reached = frontier = settled(now.distinct().withColumn("depth", F.lit(0)))
-    along = steps(g.labelled(*labels), direction).select("a", "b").distinct()
+    along = steps(g.labelled(*labels), direction).select("a", "b")
     for d in range(1, most + 1):
         new = frontier.join(along, frontier.id == along.a).select(F.col("b").alias("id")).distinct().join(reached.select("id"), "id", "left_anti")
         if allowed is not None:
@@ -107,7 +108,7 @@ def traverse(g: Graph, start: int, most: int, label: str | None = None, where: C
 
 def neighbours(g: Graph, start: int, most: int = 1, labels: tuple[str, ...] = (), direction: str = "out") -> DataFrame:
     """(id, label, properties, depth, path): breadth-first, the start excluded; of several shortest paths the least."""
-    along = steps(g.labelled(*labels), direction).select("a", "b").distinct()
+    along = steps(g.labelled(*labels), direction).select("a", "b")
     spark = g.edges.sparkSession
     reached = frontier = settled(spark.createDataFrame([(int(start), 0, [int(start)])], "id bigint, depth int, path array<bigint>"))
     for d in range(1, most + 1):
@@ -253,8 +254,10 @@ def path_query(g: Graph, expression: str, start: int | None = None) -> DataFrame
     nfa = automaton(expression)
     spark = g.edges.sparkSession
     table = spark.createDataFrame(sorted(nfa.moves), "s int, label string, t int")
-    along = g.labelled(*sorted({m[1] for m in nfa.moves})).select("src", "dst", "label").distinct().join(F.broadcast(table), "label").select("src", "s", "dst", "t")
+    along = g.labelled(*sorted({m[1] for m in nfa.moves})).select("src", "dst", "label").join(F.broadcast(table), "label").select("src", "s", "dst", "t")
     first = spark.createDataFrame([(int(start),)], "start bigint") if start is not None else g.vertices.select(F.col("id").alias("start"))
+    if start is None and nfa.start not in nfa.accept:  # only vertices that have a first step
+        first = first.join(along.where(F.col("s") == nfa.start).select(F.col("src").alias("start")), "start", "left_semi")
     seen = frontier = settled(first.select("start", F.col("start").alias("v"), F.lit(nfa.start).alias("q")))
     while not frontier.isEmpty():
         new = frontier.join(along, (F.col("v") == F.col("src")) & (F.col("q") == F.col("s"))).select("start", F.col("dst").alias("v"), F.col("t").alias("q")).distinct()
@@ -390,42 +393,29 @@ def hits(g: Graph, rounds: int = 100, tolerance: float = 1e-6, scaled: bool = Tr
 
 
 def betweenness(g: Graph) -> DataFrame:
-    """Brandes' centrality over directed edges, over (n - 1)(n - 2). Sources are spread over tasks; each task holds the whole
-    adjacency, so the graph's edges must fit a worker: larger ones need a sample of sources."""
-    import pyarrow as pa
-
-    adjacency: dict[int, list[int]] = {}
-    for r in g.edges.select("src", "dst").distinct().collect():
-        adjacency.setdefault(r.src, []).append(r.dst)
-    shared_adjacency = g.edges.sparkSession.sparkContext.broadcast(adjacency)
+    """Brandes' centrality over directed edges, over (n - 1)(n - 2), from all sources at once: rounds of joins carry (source, vertex,
+    paths) forward to the ends of all shortest paths, and dependencies back. Rows are the pairs of a source and what it reaches."""
+    along = settled(g.edges.select("src", "dst").distinct().where("src != dst"))
     n = g.vertices.count()
-
-    def run(batches):
-        near = shared_adjacency.value
-        for batch in batches:
-            total: dict[int, float] = {}
-            for s in batch["id"].to_pylist():
-                order, parents, paths, depth, queue = [], {s: []}, {s: 1.0}, {s: 0}, [s]
-                for v in queue:
-                    order.append(v)
-                    for w in near.get(v, ()):
-                        if w not in depth:
-                            depth[w], paths[w], parents[w] = depth[v] + 1, 0.0, []
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            parents[w].append(v)
-                back = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in parents[w]:
-                        back[v] += paths[v] / paths[w] * (1 + back[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + back[w]
-            yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.float64())], ["id", "b"])
-
-    got = g.vertices.select("id").mapInArrow(run, "id bigint, b double").groupBy("id").agg(F.sum("b").alias("b"))
+    levels = [settled(g.vertices.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("s", "v")
+    while not levels[-1].isEmpty():
+        new = levels[-1].join(along, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        levels.append(settled(new.join(seen, ["s", "v"], "left_anti")))
+        seen = seen.unionByName(levels[-1].select("s", "v"))
+    spark, back = g.edges.sparkSession, None
+    parts = [spark.createDataFrame([], "v bigint, b double")]
+    for k in range(len(levels) - 2, 0, -1):
+        level = levels[k]
+        own = level.withColumn("b", F.lit(0.0)) if back is None else level.join(back, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("b", F.lit(0.0)).alias("b"))
+        own = settled(own)
+        parts.append(own.select("v", "b"))
+        before = levels[k - 1].select("s", F.col("v").alias("u"), F.col("paths").alias("own"))
+        share = own.select("s", F.col("v").alias("w"), ((1 + F.col("b")) / F.col("paths")).alias("x")).join(along, F.col("w") == F.col("dst")).select("s", F.col("src").alias("u"), "x")
+        back = share.join(before, ["s", "u"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("own") * F.col("x")).alias("b"))
+    total = reduce(DataFrame.unionByName, parts).groupBy(F.col("v").alias("id")).agg(F.sum("b").alias("b"))
     scale = float((n - 1) * (n - 2)) if n > 2 else 1.0
-    return g.vertices.select("id").join(got, "id", "left").select(F.col("id").alias(ID), F.least(F.lit(1.0), F.coalesce("b", F.lit(0.0)) / scale).alias(SCORE))
+    return g.vertices.select("id").join(total, "id", "left").select(F.col("id").alias(ID), F.least(F.lit(1.0), F.coalesce("b", F.lit(0.0)) / scale).alias(SCORE))
 
 
 def message_passing(g: Graph, value: Column, rounds: int = 2, how: str = "mean") -> DataFrame:

@@ -6,13 +6,13 @@ so that a postings table stored by term is pruned by its statistics.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import analysis
-from weft.operators import fusion
+from weft.operators import fusion, graph
 from weft.operators.signals import ID, SCORE
 
 K1, B = 1.2, 0.75
@@ -20,30 +20,42 @@ K1, B = 1.2, 0.75
 
 @dataclass
 class Index:
-    """Postings (_doc_id, field, term, tf, dl) of text columns, with the statistics that scoring needs."""
+    """The tokens (_doc_id, field, tokens, dl) of text columns, a row for each document and field, or stored postings (_doc_id, field,
+    term, tf, dl)."""
 
-    postings: DataFrame
     analyzer: str
+    tokens: DataFrame | None = None
+    stored: DataFrame | None = None
+    #: Rows of the queries asked so far, by terms and field.
+    asked: dict = field(default_factory=dict)
 
     def terms(self, query: str) -> list[str]:
         return analysis.analyze(query, self.analyzer)
 
+    @property
+    def postings(self) -> DataFrame:
+        if self.stored is not None:
+            return self.stored
+        each = self.tokens.select(ID, "field", "dl", F.explode("tokens").alias("term"))
+        return each.groupBy(ID, "field", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+
 
 def index(docs: DataFrame, doc_id: str, fields: list[str], analyzer: str = "standard", path: str | None = None) -> Index:
-    """The index of some columns, written to `path` where one is given (partitioned by field, sorted by term) or else lazy.
+    """The index of some columns. Null texts have no postings.
 
-    Null texts have no postings. One shuffle: a document's tokens are counted by (document, field, term)."""
+    Without a path it is lazy: a query reads the texts once, counts its own terms within each row, and keeps these counts, a few
+    numbers a row, in the shared folder; statistics and scores come from them. With one, postings are written there (partitioned
+    by field, sorted by term), of which queries read their terms."""
     column = analysis.column(analyzer)
     parts = None
     for f in fields:
         own = docs.select(F.col(doc_id).cast("bigint").alias(ID), F.lit(f).alias("field"), column(F.col(f)).alias("tokens")).where("tokens is not null")
         parts = own if parts is None else parts.unionByName(own)
-    each = parts.select(ID, "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = each.groupBy(ID, "field", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    ix = Index(analyzer, parts.withColumn("dl", F.size("tokens")).where("dl > 0"))
     if path:
-        postings.sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(path)
-        postings = docs.sparkSession.read.parquet(path)
-    return Index(postings, analyzer)
+        ix.postings.sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(path)
+        return Index(analyzer, stored=docs.sparkSession.read.parquet(path))
+    return ix
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -58,6 +70,8 @@ def bm25_term(tf: Column, dl: Column, avgdl: Column, weight: Column, k1: float =
 def _matched(ix: Index, query: str, field: str | None) -> DataFrame:
     """Postings of the query's terms with n, avgdl and df; a term that the query repeats counts that often."""
     terms = ix.terms(query)
+    if ix.stored is None:
+        return _counted(ix, terms, field)
     own = ix.postings if field is None else ix.postings.where(F.col("field") == field)
     corpus = own.groupBy("field", ID).agg(F.first("dl").alias("dl")).groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     hits = own.where(F.col("term").isin(sorted(set(terms))))
@@ -71,6 +85,28 @@ def _matched(ix: Index, query: str, field: str | None) -> DataFrame:
     return hits.join(F.broadcast(stats), ["field", "term"]).join(F.broadcast(corpus), "field").withColumn("boost", weight)
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
+def _counted(ix: Index, terms: list[str], field: str | None) -> DataFrame:
+    """_matched of an index that stores nothing: the counts of the terms in each row, written once and read for all that follows."""
+    own, distinct = ix.tokens if field is None else ix.tokens.where(F.col("field") == field), sorted(set(terms))
+    key = (tuple(distinct), field)
+    if key not in ix.asked:
+        tf = F.array(*(F.size(F.filter("tokens", _is(t))) for t in distinct)) if distinct else F.array().cast("array<int>")
+        counts = graph.settled(own.select(ID, "field", "dl", tf.alias("tfs")))
+        df = [F.sum((F.col("tfs")[i] > 0).cast("bigint")).alias(f"df{i}") for i in range(len(distinct))]
+        stats = [(r.field, r.n, r.avgdl, [r[f"df{i}"] for i in range(len(distinct))]) for r in counts.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *df).collect()]
+        ix.asked[key] = counts, stats
+    counts, stats = ix.asked[key]
+    # one row a field
+    corpus = counts.sparkSession.createDataFrame(stats, "field string, n bigint, avgdl double, dfs array<bigint>")
+    each = F.arrays_zip(F.array(*map(F.lit, distinct)).alias("term"), F.array(*(F.lit(float(terms.count(t))) for t in distinct)).alias("boost"), F.col("tfs").alias("tf"), F.col("dfs").alias("df")) if distinct else F.array().cast("array<struct<term:string,boost:double,tf:int,df:bigint>>")
+    hits = counts.where(F.exists("tfs", lambda x: x > 0)).join(F.broadcast(corpus), "field")
+    return hits.select(ID, "field", "dl", "n", "avgdl", F.explode(each).alias("_h")).select(ID, "field", F.col("_h.term").alias("term"), F.col("_h.tf").alias("tf"), "dl", F.col("_h.df").alias("df"), "n", "avgdl", F.col("_h.boost").alias("boost")).where("tf > 0")
+
+
 def bm25(ix: Index, query: str, field: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """The BM25 signal: documents with any of the query's terms, scores summed over terms (and fields)."""
     score = bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("boost") * idf(F.col("n"), F.col("df")), k1, b)

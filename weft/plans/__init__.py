@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.plans import relational, search
+from weft.plans import relational, search, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,8 @@ def _sql(name: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _sql(name) for name in relational.SQL} | search.RUN
+    return {name: _sql(name) for name in relational.SQL} | search.RUN | sessions.RUN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: relational.oracle(name) for name in relational.SQL} | search.SQL
+    return {name: relational.oracle(name) for name in relational.SQL} | search.SQL | sessions.SQL

@@ -37,7 +37,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_natural_using": "SELECT n_regionkey, a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey <> b.n_nationkey",
     "join_multiway": "SELECT r.r_name, s.s_suppkey, CAST(count(*) AS BIGINT) AS lines, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, s.s_suppkey",
     "join_semi": ("SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000", "SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000"),
-    "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
+    "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000", "SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey"),
     "join_sort_merge": ("SELECT /*+ MERGE(o) */ l_orderkey, l_linenumber, o_orderdate FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey", "SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey"),
     "join_lateral": "SELECT c.c_custkey, t.top FROM customer c, LATERAL (SELECT max(o.o_totalprice) AS top FROM orders o WHERE o.o_custkey = c.c_custkey) t WHERE t.top IS NOT NULL",
     # --- aggregates
@@ -55,7 +55,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "agg_stats": "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS ss, round(stddev_pop(l_quantity), 6) AS sp, round(var_samp(l_quantity), 6) AS vs, round(var_pop(l_quantity), 6) AS vp FROM lineitem GROUP BY l_returnflag",
     "agg_regr": "SELECT l_returnflag, round(corr(l_extendedprice, l_quantity), 6) AS r, round(covar_pop(l_extendedprice, l_quantity), 3) AS cp, round(covar_samp(l_extendedprice, l_quantity), 3) AS cs, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_avgx(l_extendedprice, l_quantity), 6) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 4) AS ay, round(regr_sxx(l_extendedprice, l_quantity), 3) AS sxx, round(regr_sxy(l_extendedprice, l_quantity), 1) AS sxy, round(regr_slope(l_extendedprice, l_quantity), 5) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS icept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY l_returnflag",
     "agg_percentile": "SELECT l_returnflag, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS med, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS p90 FROM lineitem GROUP BY l_returnflag",
-    "agg_mode": "SELECT n_regionkey, mode() WITHIN GROUP (ORDER BY b) AS m FROM (SELECT n_regionkey, n_nationkey % 1 AS b FROM nation) t GROUP BY n_regionkey",
+    "agg_mode": "SELECT p_brand, mode() WITHIN GROUP (ORDER BY w) AS m FROM (SELECT p_brand, CASE WHEN p_size < 30 THEN 'small' ELSE p_type END AS w FROM part) t GROUP BY p_brand",
     "agg_rollup": "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "agg_cube": "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "agg_grouping_sets": "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
@@ -84,19 +84,19 @@ SQL: dict[str, str | tuple[str, str]] = {
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
-    "except": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier",
+    "except": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "cte": "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 150000) SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM big GROUP BY o_custkey",
     "cte_multi": "WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT avg(s) AS m FROM a) SELECT a.k, round(a.s, 2) AS s FROM a, b WHERE a.s > b.m",
     "cte_recursive_all": "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
     "in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)",
-    "not_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "not_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "exists_correlated": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 20)",
-    "not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     "scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
     "scalar_subquery_correlated": "SELECT c_custkey, (SELECT CAST(count(*) AS BIGINT) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n FROM customer c",
     "derived_table": "SELECT t.k, t.n FROM (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey) t WHERE t.n > 5",
-    "quantified_all": ("SELECT s_suppkey FROM supplier WHERE s_acctbal >= (SELECT max(c_acctbal) FROM customer WHERE c_nationkey = 1) OR s_acctbal < (SELECT min(c_acctbal) FROM customer)", "SELECT s_suppkey FROM supplier WHERE s_acctbal >= ALL (SELECT c_acctbal FROM customer WHERE c_nationkey = 1) OR s_acctbal < ALL (SELECT c_acctbal FROM customer)"),
+    "quantified_all": ("SELECT s_suppkey FROM supplier WHERE s_acctbal >= (SELECT max(c_acctbal) FROM customer WHERE c_acctbal < 5000) OR s_acctbal < (SELECT min(c_acctbal) FROM customer)", "SELECT s_suppkey FROM supplier WHERE s_acctbal >= ALL (SELECT c_acctbal FROM customer WHERE c_acctbal < 5000) OR s_acctbal < ALL (SELECT c_acctbal FROM customer)"),
     # --- scalar functions by family
     "fn_string": ("SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, char_length(p_name) AS n, trim(BOTH 'p' FROM p_name) AS t, replace(p_name, 'a', 'X') AS r, substring(p_name, 2, 3) AS s, concat_ws('/', p_brand, p_type) AS cw, left(p_name, 3) AS lf, right(p_name, 3) AS rt, translate(p_name, 'abc', 'xy') AS tr, ascii(p_name) AS a, position('a' IN p_name) AS po, octet_length(p_name) AS ol, md5(p_name) AS m, lpad(p_name, 5, '*') AS lp, rpad(p_name, 30, '-') AS rp, repeat(p_brand, 2) AS re, reverse(p_name) AS rv, split_part(p_type, ' ', 2) AS sp, startswith(p_name, 'p') AS st, overlay(p_name PLACING 'ZZ' FROM 2 FOR 1) AS ov FROM part", "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, CAST(length(p_name) AS INT) AS n, trim(p_name, 'p') AS t, replace(p_name, 'a', 'X') AS r, substring(p_name, 2, 3) AS s, concat_ws('/', p_brand, p_type) AS cw, left(p_name, 3) AS lf, right(p_name, 3) AS rt, translate(p_name, 'abc', 'xy') AS tr, ascii(p_name) AS a, CAST(position('a' IN p_name) AS INT) AS po, CAST(strlen(p_name) AS INT) AS ol, md5(p_name) AS m, lpad(p_name, 5, '*') AS lp, rpad(p_name, 30, '-') AS rp, repeat(p_brand, 2) AS re, reverse(p_name) AS rv, split_part(p_type, ' ', 2) AS sp, starts_with(p_name, 'p') AS st, substring(p_name, 1, 1) || 'ZZ' || substring(p_name, 3) AS ov FROM part"),
     "fn_regex": ("SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_') AS r, regexp_extract(p_brand, '([0-9]+)', 1) AS d, regexp_like(p_name, '^p') AS m, split(p_type, ' ') AS parts FROM part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_', 'g') AS r, regexp_extract(p_brand, '([0-9]+)', 1) AS d, regexp_matches(p_name, '^p') AS m, string_split(p_type, ' ') AS parts FROM part"),
@@ -104,11 +104,11 @@ SQL: dict[str, str | tuple[str, str]] = {
     "fn_trig": "SELECT n_nationkey, round(sin(n_nationkey), 8) AS s, round(cos(n_nationkey), 8) AS c, round(tan(n_nationkey), 6) AS t, round(asin(CAST(n_nationkey AS DOUBLE) / 30), 8) AS asn, round(acos(CAST(n_nationkey AS DOUBLE) / 30), 8) AS acs, round(atan(n_nationkey), 8) AS atn, round(atan2(n_nationkey, 3), 8) AS a2, round(degrees(n_nationkey), 6) AS d, round(radians(n_nationkey), 8) AS r FROM nation",
     "fn_datetime": ("SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, hour(o_orderdate) AS h, dayofweek(o_orderdate) - 1 AS dow, dayofyear(o_orderdate) AS doy, quarter(o_orderdate) AS q, weekofyear(o_orderdate) AS w, unix_timestamp(o_orderdate) AS ep, date_trunc('month', o_orderdate) AS mt, make_date(year(o_orderdate), 1, 1) AS jan, datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS dd, date_format(o_orderdate, 'yyyy-MM-dd') AS f FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(hour(o_orderdate) AS INT) AS h, CAST(dayofweek(o_orderdate) AS INT) AS dow, CAST(dayofyear(o_orderdate) AS INT) AS doy, CAST(quarter(o_orderdate) AS INT) AS q, CAST(weekofyear(o_orderdate) AS INT) AS w, CAST(epoch(o_orderdate) AS BIGINT) AS ep, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS mt, make_date(year(o_orderdate), 1, 1) AS jan, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS INT) AS dd, strftime(o_orderdate, '%Y-%m-%d') AS f FROM orders"),
     "fn_json": ("SELECT event_id, get_json_object(props, '$.k') AS k, json_object_keys(props) AS keys FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_keys(props) AS keys FROM events"),
-    "fn_array": ("SELECT vec_id, size(embedding) AS n, array_append(slice(embedding, 1, 2), 0.5F) AS a, array_remove(array(1, 2, vec_id % 3), 1) AS r, array_contains(array(1, 2, 3), label) AS c, concat(array(1), array(label)) AS cat FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, list_append(embedding[1:2], CAST(0.5 AS FLOAT)) AS a, list_filter([1, 2, vec_id % 3], lambda x: x <> 1) AS r, list_contains([1, 2, 3], label) AS c, list_concat([1], [label]) AS cat FROM embeddings"),
+    "fn_array": ("SELECT vec_id, size(embedding) AS n, array_append(embedding, 0.5F) AS a, array_remove(array(1, 2, vec_id % 3), 1) AS r, array_contains(array(1, 2, 3), label) AS c, concat(array(1), array(label)) AS cat FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, list_append(embedding, CAST(0.5 AS FLOAT)) AS a, list_filter([1, 2, vec_id % 3], lambda x: x <> 1) AS r, list_contains([1, 2, 3], label) AS c, list_concat([1], [label]) AS cat FROM embeddings"),
     "fn_encode": ("SELECT n_nationkey, base64(encode(n_name, 'UTF-8')) AS b, lower(hex(n_name)) AS h, decode(unbase64(base64(encode(n_name, 'UTF-8'))), 'UTF-8') AS back FROM nation", "SELECT n_nationkey, to_base64(encode(n_name)) AS b, lower(hex(encode(n_name))) AS h, n_name AS back FROM nation"),
     # --- table functions
     "tf_generate_series": ("SELECT id AS n FROM range(3, 40, 4)", "SELECT CAST(generate_series AS BIGINT) AS n FROM generate_series(3, 39, 4)"),
-    "tf_unnest": ("SELECT vec_id, pos, e FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 3)) t AS pos, e", "SELECT vec_id, CAST(i - 1 AS INT) AS pos, embedding[i] AS e FROM embeddings, (SELECT unnest([1, 2, 3]) AS i) t"),
+    "tf_unnest": ("SELECT vec_id, pos, e FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, e", "SELECT vec_id, CAST(i - 1 AS INT) AS pos, embedding[i] AS e FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) t"),
     "tf_regexp_split": ("SELECT p_partkey, w FROM part LATERAL VIEW explode(split(p_type, ' +')) t AS w", "SELECT p_partkey, unnest(string_split_regex(p_type, ' +')) AS w FROM part"),
     "tf_json_each": ("SELECT event_id, t.key, t.value FROM (SELECT event_id, props FROM events) e LATERAL VIEW explode(from_json(props, 'map<string,string>')) t AS key, value", "SELECT event_id, j.key AS key, json_extract_string(props, '$.' || j.key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) j"),
     # --- TPC-H shaped reports

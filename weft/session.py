@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from weft import dialect, sources
 from weft.dialect import Token, closing, literal, significant, split, text_of, tokens, type_of
-from weft.functions import analysis, query_string
+from weft.functions import analysis, postgres, query_string
 from weft.operators import fusion, graph, nested, signals, spatial, text, vector
 from weft.operators.graph import Graph, settled
 from weft.operators.signals import ID, SCORE
@@ -69,6 +69,7 @@ class Session:
         self.params: dict[str, dict] = {}
         self.saved: list[tuple[str, State]] = []
         self.tag = f"weft-{uuid.uuid4().hex[:8]}"
+        postgres.register(spark)
 
     # --- tables and documents
 
@@ -591,6 +592,11 @@ class Session:
         s = self._table_functions(s)
         s = self._where(s)
         self._views(s + " information_schema" if "information_schema_" in s else s)
+        whole: dict[str, bool] = {}
+        for df in [*(t.df for t in self.state.tables.values()), *self.foreign.values()]:
+            for c, kind in df.dtypes:
+                whole[c.lower()] = whole.get(c.lower(), True) and kind in ("tinyint", "smallint", "int", "bigint")
+        dialect.integers.set(frozenset(c for c, yes in whole.items() if yes))
         with_fns = dialect.rewrite(s)
         if m := re.search(r"(?is)^\s*with\s+recursive\b.*\bunion\b(?!\s+all)", with_fns):
             return self._recursive(with_fns)
@@ -629,26 +635,33 @@ class Session:
         ats = [i for i in range(starts[0], len(ts)) if ts[i].text == "@@"] if starts else []
         if not calls and not ats:
             return s
-        base = self._searched(ts)
-        made, out, i = [], list(ts[: starts[0]]), starts[0]
+        base, alias = self._searched(ts, calls, ats)
+        made, scores, out, i = [], [], list(ts[: starts[0]]), starts[0]
         while i < len(ts):
             if i in calls:
                 o = next(k for k in range(i + 1, len(ts)) if ts[k].text == "(")
                 end = closing(ts, o)
                 made.append(self.signal(text_of(ts[i : end + 1]), base))
-                out.append(Token("word", self._member(made[-1], base)))
+                scores.append(not self._negated(ts, starts[0], i))
+                out.append(Token("word", self._member(made[-1], alias or base)))
                 i = end + 1
                 continue
             nxt = next((k for k in range(i + 1, len(ts)) if ts[k].kind != "space"), None)
             if ts[i].kind == "word" and nxt is not None and ts[nxt].text == "@@":
                 q = next(k for k in range(nxt + 1, len(ts)) if ts[k].kind == "string")
                 made.append(self.match_query(base, None if low[i] == "_all" else low[i], literal(ts[q].text)))
-                out.append(Token("word", self._member(made[-1], base)))
+                scores.append(not self._negated(ts, starts[0], i))
+                while out and out[-1].text == "." or len(out) > 1 and out[-2].text == ".":  # the column's table
+                    out.pop()
+                if alias and out and out[-1].low == alias:
+                    out.pop()
+                out.append(Token("word", self._member(made[-1], alias or base)))
                 i = q + 1
                 continue
             out.append(ts[i])
             i += 1
-        score = signals.union(*made) if len(made) > 1 else made[0]
+        counted = [m for m, yes in zip(made, scores) if yes]
+        score = signals.union(*counted) if len(counted) > 1 else counted[0] if counted else made[0].where("false")
         key = self.key(base)
         view = f"_scored_{uuid.uuid4().hex}"
         joined = self.table(base).join(score.withColumnRenamed(ID, "_sid"), F.col(key).cast("bigint") == F.col("_sid"), "left").drop("_sid")
@@ -667,14 +680,41 @@ class Session:
     def _member(self, s: DataFrame, base: str) -> str:
         view = f"_signal_{uuid.uuid4().hex}"
         s.select(ID).createOrReplaceTempView(view)
-        return f"({ID} IN (SELECT {ID} FROM {view}))"
+        return f"({base}.{ID} IN (SELECT {ID} FROM {view}))"
 
-    def _searched(self, ts: list[Token]) -> str:
-        """The table of FROM that the query's signals are about: the first that is known."""
-        for t in ts:
-            if t.kind in ("word", "quoted") and (n := t.text.strip('"').lower()) in {**self.state.tables, **self.foreign}:
-                return n
-        raise SQLError("a signal needs a table")
+    def _negated(self, ts: list[Token], where: int, at: int) -> bool:
+        """Whether the call at `at` stands under an odd number of NOTs."""
+        odd, depths, before = False, [False], ""
+        for t in ts[where + 1 : at]:
+            if t.kind == "space":
+                continue
+            if t.text == "(":
+                depths.append(depths[-1] != (before == "not"))
+            elif t.text == ")":
+                depths.pop()
+            before = t.low
+        odd = depths[-1] != (before == "not")
+        return odd
+
+    def _searched(self, ts: list[Token], calls: list[int], ats: list[int]) -> tuple[str, str | None]:
+        """(table, alias) that the query's signals are about: the one that qualifies a signal's column, or else the first of FROM."""
+        known, found = {**self.state.tables, **self.foreign}, []
+        s = significant(ts)
+        for k, t in enumerate(s):
+            if t.kind in ("word", "quoted") and (n := t.text.strip('"').lower()) in known and k and (s[k - 1].low in ("from", "join") or s[k - 1].text == ","):
+                after = s[k + 1 + (s[k + 1].low == "as")] if k + 2 < len(s) else None
+                named = after is not None and after.kind == "word" and after.low not in ("where", "join", "inner", "left", "right", "full", "cross", "natural", "order", "group", "limit", "on", "using", "union", "having", "as")
+                found.append((n, after.low if named else None))
+        if not found:
+            raise SQLError("a signal needs a table")
+        for at in [*calls, *ats]:
+            near = ts[at : at + 5] if at in calls else ts[max(0, at - 5) : at]
+            for a, b in zip(significant(near), significant(near)[1:]):
+                if b.text == ".":
+                    for n, alias in found:
+                        if a.low in (n, alias):
+                            return n, alias
+        return found[0]
 
     def match_query(self, base: str, column: str | None, query: str) -> DataFrame:
         """The signal of column @@ 'query'."""
@@ -700,7 +740,7 @@ class Session:
         named = {k.lower(): literal(v) for a in args if (m := re.match(r"(?is)^(\w+)\s*(?:=>|:=)\s*(.*)$", a)) for k, v in [m.groups()]}
         args = [a for a in args if not re.match(r"(?is)^\w+\s*(?:=>|:=)", a)]
         df, key = self.table(base), self.key(base)
-        word = lambda a: a.strip("'\"").lower() if a else None
+        word = lambda a: a.strip("'\"").lower().rpartition(".")[2] if a else None
         is_signal = lambda a: (m := re.match(r"^(\w+)\s*\(", a)) and m[1].lower() in SIGNALS
         inner = lambda xs: [self.signal(a, base, True) for a in xs if is_signal(a)]
         g = lambda n=None: self.graph(n or base)
@@ -823,7 +863,9 @@ class Session:
                 columns = re.match(r"(?is)^\s+as\s*\(([^)]*)\)|^\s+as\s+\w+\s*\(([^)]*)\)", tail) if ts[i].low == "cypher" else None
                 df = self._rows(ts[i].low, args)
                 if columns:
-                    df = df.toDF(*(c.split()[0] for c in (columns[1] or columns[2]).split(",")))
+                    named = [c.split() for c in (columns[1] or columns[2]).split(",")]
+                    df = df.toDF(*(c[0] for c in named))
+                    df = df.select(*(F.col(c[0]).cast(dialect.TYPES[c[1].lower()]).alias(c[0]) if len(c) > 1 and c[1].lower() in dialect.TYPES else F.col(c[0]) for c in named))
                     end += len(tokens(tail[: columns.end()]))
                 df.createOrReplaceTempView(view)
                 out.append(Token("word", f"* FROM {view}" if before == "select" else view + ("" if re.match(r"(?is)^\s+(as\s+)?(?!where|order|limit|join|group|on\b|left|inner|cross)\w+", text_of(ts[end + 1 :])) else f" {ts[i].low}")))
