@@ -6,6 +6,8 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from weft.llm import packing, piece_rounds, pretokens, token_counts, token_store
 
 TEXTS = [None, "", " ", "a", "a  b\n\n c ", "don't  stop", "x" * 5000, "äöü ß " * 3000, "\x00\x1c 　́🙂 日本語 12 ²Ⅷ", "same", "same"]
@@ -50,6 +52,17 @@ def test_token_store_round_trip(docs, spark, tmp_path):
     for r in some:
         assert encoding.decode(token_store.decode(r.frame, kept[r.dict_hash], encoding.n_vocab).tolist()) == by[r.doc_id]
     assert token_store.token_store(docs.limit(0)).count() == 0
+    whole = token_store.token_store(docs).collect()
+    (own,) = [r for r in whole if r.shard is None]
+    assert len(whole) == docs.count() + 1 and own.dict_hash == token_store.digest(own.frame)
+    for r in whole:
+        if r.shard is not None and r.doc_id in by:
+            assert encoding.decode(token_store.decode(r.frame, own.frame, encoding.n_vocab).tolist()) == (by[r.doc_id] or "")
+    twice, again = docs.unionByName(docs), str(tmp_path / "again")
+    token_store.write_store(twice.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))), again)
+    assert spark.read.parquet(f"{again}/index").count() == 2 * docs.count() + 1 and token_store.read_store(spark, again, [4, -5]).count() == 2
+    token_store.write_store(docs.limit(0), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none" / "index")).count() == 0
 
 
 def test_dictionary_helps(spark):

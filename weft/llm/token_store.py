@@ -100,27 +100,52 @@ def frames(docs: DataFrame, dictionary: bytes, vocabulary: str = pretokens.BPE_F
 
 
 def token_store(docs: DataFrame, vocabulary: str = pretokens.BPE_FILE, most: int = SAMPLE, size: int = DICT_BYTES) -> DataFrame:
-    return frames(docs, train_dictionary(docs, vocabulary, most, size), vocabulary)
+    """The store as one table: the rows of frames(), and one row with the trained dictionary as its frame, by its dict_hash; its
+    other columns are null. An empty table, whose dictionary is empty, gives an empty one; for the rest see frames()."""
+    dictionary = train_dictionary(docs, vocabulary, most, size)
+    made = frames(docs, dictionary, vocabulary)
+    if not dictionary:
+        return made
+    own = docs.sparkSession.createDataFrame([(None, None, None, None, None, digest(dictionary), bytearray(dictionary))], made.schema)
+    return made.unionByName(own)
+
+
+def _shards(vocabulary: str, dictionary: bytes, level: int):
+    """(shard, payload, entries): the frames of each batch one after another, and where each lies."""
+    one = _frames(vocabulary, dictionary, level)
+    entry = pa.list_(pa.struct([("doc_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int32()), ("n_tokens", pa.int32())]))
+
+    def shards(batches):
+        for batch in one(batches):
+            if batch.num_rows:
+                entries = [{k: batch[k][i].as_py() for k in ("doc_id", "offset", "length", "n_tokens")} for i in range(batch.num_rows)]
+                payload = b"".join(batch["frame"].to_pylist())
+                yield pa.record_batch([pa.array([batch["shard"][0].as_py()], pa.int64()), pa.array([payload], pa.binary()), pa.array([entries], entry)], ["shard", "payload", "entries"])
+
+    return shards
 
 
 def write_store(docs: DataFrame, at: str, vocabulary: str = pretokens.BPE_FILE, most: int = SAMPLE, size: int = DICT_BYTES) -> None:
-    """The store as three tables under `at`: shards (shard, payload), index, and dictionaries (dict_hash, dictionary)."""
+    """The store as three tables under `at`: shards (shard, payload, entries), index (doc_id, shard, offset, length, n_tokens,
+    dict_hash), and dictionaries (dict_hash, dictionary). A narrow pass over docs, and one over the entries of the shards.
+
+    Null doc_ids and repeated ones have an entry for each row; an empty table gives empty shards and an empty index.
+    """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, vocabulary, most, size)
     spark.createDataFrame([(digest(dictionary), bytearray(dictionary))], "dict_hash string, dictionary binary").write.parquet(f"{at}/dictionaries")
-    frames(docs, dictionary, vocabulary).write.parquet(f"{at}/frames")
-    made = spark.read.parquet(f"{at}/frames")
-    made.drop("frame").write.parquet(f"{at}/index")
-    # a shard's frames lie in one partition: concatenated in order of offset, without a sort over the table
-    parts = made.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("offset", "frame"))).alias("x"))
-    joined = F.aggregate("x", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["frame"]))
-    parts.select("shard", joined.alias("payload")).write.option("compression", "none").parquet(f"{at}/shards")
+    made = texts(docs).mapInArrow(_shards(vocabulary, dictionary, LEVEL), "shard bigint, payload binary, entries array<struct<doc_id:bigint,offset:bigint,length:int,n_tokens:int>>")
+    # small row groups, so that a reader of some shards skips the others by their statistics
+    made.write.option("compression", "none").option("parquet.block.size", 1 << 20).parquet(f"{at}/shards")
+    spark.read.parquet(f"{at}/shards").select("shard", F.explode("entries").alias("e")).select("e.*", "shard", F.lit(digest(dictionary)).alias("dict_hash")).write.parquet(f"{at}/index")
 
 
 def read_store(spark: SparkSession, at: str, ids: list[int]) -> DataFrame:
-    """(doc_id, frame, dict_hash) of some documents: the index says where, and only those bytes are taken from the payload."""
+    """(doc_id, frame, dict_hash) of some documents: the index says in which shards they are and where, other shards' row groups are
+    skipped, and only the frames' bytes are decoded. Ids that the store lacks have no row, repeated ones a row for each."""
     index = spark.read.parquet(f"{at}/index").where(F.col("doc_id").isin(ids))
-    shards = spark.read.parquet(f"{at}/shards")
+    of = [r.shard for r in index.select("shard").distinct().collect()]  # no more than ids, or their repetitions
+    shards = spark.read.parquet(f"{at}/shards").select("shard", "payload").where(F.col("shard").isin(of))
     frame = F.substring("payload", F.col("offset").cast("int") + 1, F.col("length"))
     return index.join(shards, "shard").select("doc_id", frame.alias("frame"), "dict_hash")
 
