@@ -2,7 +2,7 @@ import re
 
 import corpus_pipeline as pipeline
 from weft.llm import packing, pretokens
-from tests.llm.test_jaccard import pairs_of
+from tests.llm.test_jaccard import links_of
 
 AT = "/root/testdata/sf0.001"
 
@@ -16,11 +16,7 @@ def test_stage_by_stage(spark):
     assert len(told) >= 0.99 * len(rows) and all(told[i].text == rows[i].text for i in told)
 
     kept = pipeline.near_duplicates(spark, found, AT)
-    label = {i: i for i in told}
-    pairs = pairs_of([(i, r.text) for i, r in told.items()])
-    for _ in range(20):
-        for a, b, _ in pairs:
-            label[a] = label[b] = min(label[a], label[b])
+    label = {i: c for i, c, _ in links_of([(i, r.text) for i, r in told.items()])}
     one = {r.doc_id: r for r in kept.collect()}
     assert set(one) == {i for i in told if label[i] == i} and kept.columns == docs.columns
 
