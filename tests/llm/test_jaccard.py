@@ -98,3 +98,47 @@ def test_oracle(spark):
     want = sorted(duckdb.execute(J.ORACLE).fetchall())
     got = sorted(tuple(r) for r in J.jaccard_links(spark.read.parquet(f"{at}/documents.parquet")).collect())
     assert got == want and any(n for _, _, n in got)
+
+
+def rows_written(monkeypatch):
+    """Rows of each intermediate table, as they are written."""
+    found, written = {}, J.written
+
+    def count(df, name):
+        found[name] = (out := written(df, name)).count()
+        return out
+
+    monkeypatch.setattr(J, "written", count)
+    return found
+
+
+def test_copies_meet_nothing(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for k in range(60):
+        text = " ".join(str(rng.randrange(400)) for _ in range(120))
+        rows += [(100 * c + k, text) for c in range(12)]
+        rows.append((5000 + k, text + " changed"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = rows_written(monkeypatch)
+    assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == links_of(rows)
+    assert found["met"] < 400 and found["spread"] <= 120
+    monkeypatch.setattr(J, "BROADCAST", 0)  # the texts that are left are written
+    assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == links_of(rows) and found["one"] == 120
+
+
+def test_rare_first_beyond_the_known_frequencies(spark, monkeypatch):
+    rng, rows = random.Random(6), []
+    phrases = [[f"p{k}w{j}" for j in range(3)] for k in range(60)]
+    for i in range(150):
+        own = [w for k in rng.sample(range(60), 30) for w in phrases[k]]
+        rows.append((i, " ".join(own + [f"d{i}w{j}" for j in range(150)])))
+    rows.append((150, rows[7][1] + " changed"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(J, "GRAMS", 3)  # as if all n-grams were those of a large corpus
+    order = J.gram_order(docs, 32, 4, J.N)
+    block = J.Block([" ".join(x) for x in phrases] + [f"d{i}w5 d{i}w6 d{i}w7" for i in range(150)])
+    ranks = order.ranks(block.gram_hashes())
+    assert (ranks[:60] > 0).all() and (ranks[60:] == 0).mean() > 0.8 and len(order.grams) <= 3
+    found = rows_written(monkeypatch)
+    assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == links_of(rows)
+    assert found["spread"] <= 4

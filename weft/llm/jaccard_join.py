@@ -27,8 +27,11 @@ N, LEAST = 3, 0.6
 #: n-grams that a pair shares in its prefixes at least, if its sets are so large (larger ones share more); n-grams that more than SMALL documents have
 #: there make regions, others count for pairs.
 SHARED, SMALL = 16, 8
-#: Frequent n-grams known to the order of n-grams; documents joined at once in a cell; documents of a region that one task joins.
-GRAMS, LEAF, REGION = 1 << 20, 512, 20_000
+#: n-grams whose frequency the order of n-grams knows; bits of the table of others that occur OFTEN at least, as a logarithm, and how many it has for each
+#: while it is smaller.
+GRAMS, TABLE, SPARSE, OFTEN = 1 << 20, 28, 16, 3
+#: Documents joined at once in a cell; documents of a region that one task joins.
+LEAF, REGION = 512, 20_000
 #: n-grams that a task holds before it sends them on.
 HELD = 500_000
 #: n-grams that two pivots share in their prefixes for their regions to be one.
@@ -37,7 +40,7 @@ STRONG = 8
 BROADCAST = 1_000_000
 BLOCK = 1 << 18
 BODIES = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
-MET = ["p", "x", "least", "n", "kind", "mark"]
+MET = ["p", "x", "least", "n", "kind"]
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -177,23 +180,71 @@ def _gram_sums(batches):
         yield pa.record_batch([pa.array(key[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], ["gram", "c"])
 
 
-def gram_classes(docs: DataFrame, bits: int, n_buckets: int, n: int, most: int = GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """(first bits of n-grams' hashes, classes): the logarithm of the frequency of frequent n-grams, over all documents.
+class Order:
+    """An order of n-grams that has the rare ones first: ranks by their hashes. Any order gives the same pairs."""
 
-    n-grams less frequent than a power of two, the least for which at most `most` are left, are in class 0. The classes only
-    order n-grams: any order gives the same pairs.
+    def __init__(self, bits: int, grams: np.ndarray, classes: np.ndarray, wide: int, table: np.ndarray):
+        self.bits, self.grams, self.classes, self.wide, self.table = bits, grams, classes, wide, table
+
+    def ranks(self, h: np.ndarray) -> np.ndarray:
+        """The logarithm of the frequency where it is known, else 1 for frequent n-grams and those that share their bit, else 0."""
+        rank = np.zeros(len(h), np.uint8)
+        if len(self.table):
+            cell = h >> np.uint64(64 - self.wide)
+            rank = self.table[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7)).astype(np.uint8)) & 1
+        if len(self.grams):
+            short = h >> np.uint64(64 - self.bits)
+            k = np.searchsorted(self.grams, short)
+            k[k == len(self.grams)] = 0
+            rank = np.where(self.grams[k] == short, self.classes[k], rank)
+        return rank
+
+
+def _table_parts(bits: int, wide: int):
+    """(at, part): bytes of a table of 2**wide bits, those of the n-grams of each batch set."""
+
+    def run(batches):
+        for batch in batches:
+            cells = np.unique(batch["gram"].to_numpy() >> (bits - wide))
+            at, parts = [], []
+            for some in np.split(cells, np.flatnonzero(np.diff(cells) > 1 << 16) + 1) if len(cells) else []:
+                flags = np.zeros(8 * ((some[-1] >> 3) - (some[0] >> 3) + 1), bool)
+                flags[some - (some[0] >> 3 << 3)] = True
+                at.append(some[0] >> 3)
+                parts.append(np.packbits(flags).tobytes())
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(parts, pa.binary())], ["at", "part"])
+
+    return run
+
+
+def gram_order(docs: DataFrame, bits: int, n_buckets: int, n: int, most: int | None = None) -> Order:
+    """The order of n-grams by their frequencies over all of docs.
+
+    The driver and the tasks know the frequencies of at most `most` n-grams: those that have a power of two at least, the least
+    that leaves so few. In a larger corpus that power is higher, and n-grams below it are many of those that any document has;
+    of them a table of bits tells the frequent ones from the rare.
     """
     counts = docs.mapInArrow(_gram_counts(bits, n_buckets, n), "bucket int, body binary").repartition(n_buckets, "bucket")
     counts = written(counts.mapInArrow(_gram_sums, "gram bigint, c tinyint"), "grams")
-    least, left = 63, 0
+    least, left, rest = 63, 0, 0
     for r in sorted(counts.groupBy("c").count().collect(), reverse=True):
-        if left + r["count"] > most:
+        if not rest and left + r["count"] <= (GRAMS if most is None else most):
+            least, left = r.c, left + r["count"]
+        elif r.c >= OFTEN:
+            rest += r["count"]
+        else:
             break
-        least, left = r.c, left + r["count"]
     got = counts.where(F.col("c") >= least).toArrow()
     grams, c = got["gram"].to_numpy().view(np.uint64), got["c"].to_numpy()
     order = np.argsort(grams)
-    return grams[order], c[order].astype(np.uint8)
+    wide, table = min(TABLE, max(3, math.ceil(math.log2(SPARSE * max(1, rest))))), np.empty(0, np.uint8)
+    if rest:
+        table = np.zeros(1 << wide - 3, np.uint8)
+        parts = counts.where((F.col("c") >= OFTEN) & (F.col("c") < least)).select("gram").mapInArrow(_table_parts(bits, wide), "at bigint, part binary").toArrow()
+        for batch in parts.to_batches():
+            for at, part in zip(batch["at"].to_pylist(), batch["part"].to_pylist()):
+                table[at : at + len(part)] |= np.frombuffer(part, np.uint8)
+    return Order(bits, grams[order], c[order].astype(np.uint8), wide, table)
 
 
 def needed(m, least: float):
@@ -212,12 +263,12 @@ def shares(small, large, least: float) -> tuple:
     return (all_of + 1) // 2, all_of // 2 + 1
 
 
-def _prefixes(grams: np.ndarray, classes: np.ndarray, bits: int, least: float, n: int, n_buckets: int):
-    """(bucket, body): prefixes of sets, parted by ranges of keys; and in bodies of their own the marks of all sets."""
-    wide = min(64, bits + 8)
+def _prefixes(order_of: Order, least: float, n: int, n_buckets: int):
+    """(bucket, body): prefixes of sets, parted by ranges of keys."""
+    wide = min(64, order_of.bits + 8)
 
     def run(batches):
-        keys, own, ids, sizes, marks, held = [], [], [], [], [], 0
+        keys, own, ids, sizes, held = [], [], [], [], 0
 
         def flush():
             nonlocal held
@@ -231,8 +282,7 @@ def _prefixes(grams: np.ndarray, classes: np.ndarray, bits: int, least: float, n
                 if cut[b + 1] > cut[b]:
                     docs, at = np.unique(doc[some], return_inverse=True)
                     out.append((b, pack(_planes(np.diff(key[some], prepend=np.uint64(0))), _planes(at.astype(np.uint32)), _planes(np.diff(i[docs], prepend=0)), _planes(m[docs].astype(np.uint32)))))
-            out.append((int(_mix(i[:1].view(np.uint64))[0] % np.uint64(n_buckets)), pack(i.tobytes(), b"".join(marks), m.tobytes())))
-            for x in (keys, own, ids, sizes, marks):
+            for x in (keys, own, ids, sizes):
                 x.clear()
             held = 0
             return rows(out, BODIES)
@@ -242,18 +292,12 @@ def _prefixes(grams: np.ndarray, classes: np.ndarray, bits: int, least: float, n
             for at, some in _blocks(batch):
                 block = Block(some, n)
                 h = block.gram_hashes()
-                rank = np.zeros(len(h), np.uint64)
-                if len(grams) and len(h):
-                    short = h >> np.uint64(64 - bits)
-                    k = np.searchsorted(grams, short)
-                    k[k == len(grams)] = 0
-                    rank = np.where(grams[k] == short, classes[k], np.uint8(0)).astype(np.uint64)
+                rank = order_of.ranks(h)
                 ends = np.cumsum(block.grams).tolist()
                 for i, a, b in zip(at, [0, *ends], ends):
                     s, first = np.unique(h[a:b], return_index=True)
                     ids.append(doc_ids[i])
                     sizes.append(len(s))
-                    marks.append(_mark(s))
                     p = max(0, len(s) - int(needed(len(s), least)) + int(more(len(s)))) if len(s) else 0
                     c = rank[a:b][first]
                     # the rarest first; sets are in order of hashes, which orders those of a class
@@ -280,19 +324,13 @@ def _summed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def _meet(least: float):
     """Of the prefixes of one partition: pairs with the number of rare n-grams they share (kind 0), and members of pivots' regions
-    (1); besides the marks that came along (2): p is the document, n the size of its set."""
+    (1)."""
 
     def run(batches):
         keys, docs, sizes = [], [], []
         for batch in batches:
             for body in batch["body"]:
-                parts = unpack(body.as_buffer())
-                if len(parts) == 3:
-                    ids, marks, m = parts
-                    n, zeros = len(m) // 8, np.zeros(len(m) // 8, np.int64)
-                    yield pa.record_batch([np.frombuffer(ids, np.int64), zeros, zeros, np.frombuffer(m, np.int64), np.full(n, 2, np.int8), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(marks)]).cast(pa.binary())], names=MET)
-                    continue
-                k, at, ids, m = parts
+                k, at, ids, m = unpack(body.as_buffer())
                 at = _numbers(at, np.uint32)
                 keys.append(np.cumsum(_numbers(k, np.uint64), dtype=np.uint64))
                 docs.append(np.cumsum(_numbers(ids, np.int64))[at])
@@ -322,7 +360,7 @@ def _meet(least: float):
             columns = _summed(found)
             for at in range(0, len(columns[0]), 100_000):
                 some = [c[at : at + 100_000] for c in columns]
-                yield pa.record_batch([*some, np.full(len(some[0]), kind, np.int8), pa.nulls(len(some[0]), pa.binary())], names=MET)
+                yield pa.record_batch([*some, np.full(len(some[0]), kind, np.int8)], names=MET)
 
     return run
 
@@ -332,6 +370,20 @@ def _mark(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def _sized(n: int):
+    """(v, mark, m): of each document the mark and the size of its set."""
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for _, some in _blocks(batch):
+                block = Block(some, n)
+                sets += [(_mark(s), len(s)) for s in block.sets(block.gram_hashes())]
+            yield pa.record_batch([batch["doc_id"], pa.array([x for x, _ in sets], pa.binary()), pa.array([m for _, m in sets], pa.int64())], ["v", "mark", "m"])
+
+    return run
+
+
 def _marked(n: int):
     """Rows with the mark of the text's set."""
 
@@ -524,16 +576,22 @@ def _linked(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame
     sets with links to others, edges (a, b) that connect what links connect)."""
     k, known = buckets(docs), docs.where("doc_id is not null")
     bits = min(56, max(32, math.ceil(math.log2(max(1, input_bytes(docs)))) + 3))
-    grams, classes = gram_classes(known, bits, k, n)
-    met = known.mapInArrow(_prefixes(grams, classes, bits, least, n, k), "bucket int, body binary").repartition(k, "bucket").mapInArrow(_meet(least), "p bigint, x bigint, least bigint, n bigint, kind tinyint, mark binary")
-    met = written(met, "met")
     # equal sets are one: the least document stands for them
-    marks = met.where("kind = 2").select(F.col("p").alias("v"), "mark", F.col("n").alias("m")).distinct()
+    marks = written(known.mapInArrow(_sized(n), "v bigint, mark binary, m bigint"), "marks").distinct()
     first = marks.where("m > 0").groupBy("mark").agg(F.min("v").alias("id"), F.count("v").alias("weight"))
     first = written(first, "first")
     members = written(marks.join(first.select("mark", "id"), "mark", "left").select("id", "v", "mark", "m"), "members")
+    # the others don't meet any: else n-grams of one text would be as frequent as its copies, and all of its regions full of them
+    copies = written(members.groupBy("v").agg(F.max(F.col("id") == F.col("v")).alias("first")).where("not first").select(F.col("v").alias("doc_id")), "copies")
+    count, one = copies.count(), known
+    if count:
+        one = known.join(_few(copies), "doc_id", "left_anti")
+    if count > BROADCAST:
+        one = written(one, "one")
+    met = one.mapInArrow(_prefixes(gram_order(one, bits, k, n), least, n, k), "bucket int, body binary").repartition(k, "bucket").mapInArrow(_meet(least), "p bigint, x bigint, least bigint, n bigint, kind tinyint")
+    met = written(met, "met")
     # a pair shares enough rare n-grams, or each of its documents has enough common ones
-    met = met.where("kind < 2").groupBy("p", "x", "kind").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+    met = met.groupBy("p", "x", "kind").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
     met = written(met.withColumn("enough", F.col("n") >= F.col("least")).where("kind = 1 or enough"), "candidates")
     pairs, stars = met.where("kind = 0"), met.where("kind = 1")
     enough = stars.groupBy("x").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least")
