@@ -142,3 +142,17 @@ def test_rare_first_beyond_the_known_frequencies(spark, monkeypatch):
     found = rows_written(monkeypatch)
     assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == links_of(rows)
     assert found["spread"] <= 4
+
+
+def test_common_grams_of_no_pair_send_no_texts(spark, monkeypatch):
+    rng, rows = random.Random(7), []
+    phrases = [[f"p{k}w{j}" for j in range(6)] for k in range(1600)]
+    for i in range(400):  # each phrase is in some twelve documents, and two documents share one or two
+        rows.append((i, " ".join(w for k in rng.sample(range(1600), 50) for w in phrases[k])))
+    rows += [(500 + i, rows[i][1] + " changed") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found, want = rows_written(monkeypatch), links_of(rows)
+    assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == want
+    assert found["candidates"] > 2000 and found["spread"] <= 100
+    monkeypatch.setattr(J, "MIDDLE", 12)  # some are left to pairs
+    assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == want

@@ -3,8 +3,8 @@
 Distance is 1 - Jaccard, a metric. Documents become sets of hashed word n-grams. Unrelated documents are all at distance 1 from
 each other, so pivots must be near what they part: they are documents themselves, found by shared n-grams. In a global order
 that puts rare n-grams first, two documents within the threshold share n-grams among their first ones (the prefix);
-a common one makes its least document a pivot and all documents that have it members of the pivot's region, a rare one just
-counts for the pairs that share it. Within a region, pivots create Voronoi cells; a document is replicated to every other cell
+a common one makes all documents that have it members of a region, a rare one just counts for the pairs that share it. Members
+that can share enough with no other don't count, and texts are sent to regions only for those that can. Within a region, pivots create Voronoi cells; a document is replicated to every other cell
 that the triangle inequality doesn't rule out; cells are split again until they are small or can't be split, and then joined by
 counting shared n-grams. Any pair within the threshold meets in some cell, and every link told has been verified on whole sets.
 Links are counted where they are found and sent on as numbers and as edges of spanning trees, never as pairs.
@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import Links, buckets, components, input_bytes, pack, rows, texts, unpack, written
@@ -36,6 +36,8 @@ LEAF, REGION = 512, 20_000
 HELD = 500_000
 #: n-grams that two pivots share in their prefixes for their regions to be one.
 STRONG = 8
+#: Times that regions lose members who meet too few; documents of regions that are left to pairs.
+ROUNDS, MIDDLE = 3, 64
 #: Most ids of candidates that are sent to all tasks.
 BROADCAST = 1_000_000
 BLOCK = 1 << 18
@@ -260,7 +262,8 @@ def more(m):
 def shares(small, large, least: float) -> tuple:
     """(s, l): of the n-grams that a pair with sets of these sizes shares in its prefixes, s are rare or else l are common."""
     all_of = np.minimum(more(small), needed(large, least))
-    return (all_of + 1) // 2, all_of // 2 + 1
+    rare = (all_of + 3) // 4
+    return rare, all_of - rare + 1
 
 
 def _prefixes(order_of: Order, least: float, n: int, n_buckets: int):
@@ -323,8 +326,7 @@ def _summed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _meet(least: float):
-    """Of the prefixes of one partition: pairs with the number of rare n-grams they share (kind 0), and members of pivots' regions
-    (1)."""
+    """Of the prefixes of one partition: pairs with the number of rare n-grams they share (kind 0), and members of regions (1)."""
 
     def run(batches):
         keys, docs, sizes = [], [], []
@@ -353,9 +355,11 @@ def _meet(least: float):
                     a, b = a[ok], b[ok]
                     pairs.append(np.stack([doc[a], doc[b], shares(np.minimum(m[a], m[b]), np.maximum(m[a], m[b]), least)[0]], 1))
         large = n > SMALL
-        at = np.repeat(starts[large], n[large])
+        # its two least documents name a region: of one alone, those of all its n-grams would be a large one
+        at = starts[large]
+        name = _mix(_mix(doc[at].view(np.uint64)) + doc[at + 1].view(np.uint64)).view(np.int64)
         inside = np.repeat(large, n)
-        members.append(np.stack([doc[at], doc[inside], shares(needed(m[inside], least), m[inside], least)[1]], 1))
+        members.append(np.stack([np.repeat(name, n[large]), doc[inside], shares(needed(m[inside], least), m[inside], least)[1]], 1))
         for kind, found in enumerate((pairs, members)):
             columns = _summed(found)
             for at in range(0, len(columns[0]), 100_000):
@@ -571,6 +575,41 @@ def _few(ids: DataFrame, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def _several(stars: DataFrame) -> DataFrame:
+    """Members of regions (p, x, n, least) that can share enough there, with all n-grams of x and the size of p.
+
+    A pair shares `least` common n-grams of each of its documents, in regions where both are. So regions of one document don't
+    count, nor do documents with too few n-grams in the others, and leaving them out can leave others alone.
+    """
+    of = Window.partitionBy("x")
+    for k in range(ROUNDS):
+        stars = stars.select("*", F.sum("n").over(of).alias("all")).withColumn("least", F.min("least").over(of)).where("all >= least")
+        stars = written(stars, "stars")
+        if k + 1 < ROUNDS:
+            stars = stars.select("p", "x", "n", "least").join(stars.groupBy("p").agg(F.count("x").alias("size")).where("size > 1"), "p")
+    return stars
+
+
+def _crossed(stars: DataFrame) -> DataFrame:
+    """Members (p, x, n) of regions that are needed for all pairs with enough common n-grams to meet.
+
+    Texts are sent to each of them, so regions of up to MIDDLE documents are left to the pairs that can share enough: the n-grams
+    they share in such regions, and those in larger ones, are counted. A pair that only larger ones hold meets without them.
+    """
+    stars = _several(stars)
+    few, many = stars.where(F.col("size") <= MIDDLE), stars.where(F.col("size") > MIDDLE)
+    few = few.join(many.groupBy("x").agg(F.sum("n").alias("rest")), "x", "left").select("p", "x", "n", "least", F.coalesce("rest", F.lit(0)).alias("rest"))
+    other = few.select("p", *(F.col(c).alias(f"{c}_") for c in ("x", "n", "least", "rest")))
+    pairs = few.join(other, "p").where("x < x_").groupBy("x", "x_").agg(F.sum(F.least("n", "n_")).alias("shared"), F.min(F.struct("p", "n", "n_")).alias("at"), F.max(F.greatest("least", "least_")).alias("least"), F.max(F.least("rest", "rest_")).alias("rest"))
+    pairs = written(pairs.where("shared + rest >= least").select("x", "x_", "at.*"), "crossed")
+    # of what is left a document needs no region after all but `least` - 1 of its n-grams, in one order for all documents: had it
+    # left the first that a pair shares, the pair would share fewer; small regions come first
+    many = _several(many.select("p", "x", "n", "least"))
+    before = F.sum("n").over(Window.partitionBy("x").orderBy("size", "p")) - F.col("n")
+    many = many.withColumn("before", before).where("before <= all - least")
+    return pairs.select("p", "x", "n").unionByName(pairs.select("p", F.col("x_").alias("x"), F.col("n_").alias("n"))).distinct().unionByName(many.select("p", "x", "n"))
+
+
 def _linked(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members (id, v, mark, m): of each document and distinct set the least document with that set; counts (id, mark, links) of
     sets with links to others, edges (a, b) that connect what links connect)."""
@@ -594,8 +633,9 @@ def _linked(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame
     met = met.groupBy("p", "x", "kind").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
     met = written(met.withColumn("enough", F.col("n") >= F.col("least")).where("kind = 1 or enough"), "candidates")
     pairs, stars = met.where("kind = 0"), met.where("kind = 1")
-    enough = stars.groupBy("x").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least")
-    own = [pairs.select("p", "x", "n"), pairs.select("p", F.col("p").alias("x"), "n"), stars.join(enough.select("x"), "x", "left_semi").select("p", "x", "n")]
+    own = [pairs.select("p", "x", "n"), pairs.select("p", F.col("p").alias("x"), "n"), _crossed(stars)]
+    # texts of one document are no pair, but meet too
+    own.append(marks.groupBy("v").count().where("count > 1").select(F.col("v").alias("p"), F.col("v").alias("x"), F.lit(0).cast("bigint").alias("n")))
     least_of = members.where("id is not null").select(F.col("v").alias("x"), "id", "mark").distinct()
     regions = own[0].unionByName(own[1]).unionByName(own[2]).join(least_of, "x")
     regions = written(regions.groupBy("p", F.col("id").alias("x"), "mark").agg(F.max("n").alias("n")), "regions")
