@@ -3,6 +3,7 @@ import bz2
 import gzip
 import lzma
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -232,3 +233,28 @@ def test_whole_pages_are_pictured():
     for at in (1, 5003, len(html) - 2):
         other = jpeg.decode(jpeg.encode(jpeg.picture("u", html[:at] + "~" + html[at + 1 :]))[0])
         assert other.shape == seen.shape and (other != seen).any()
+
+
+def test_scans_of_many_pages_at_once(monkeypatch):
+    rng, pages = np.random.default_rng(8), []
+    for k in range(24):
+        text = "".join(map(chr, rng.integers(32, 126, int(rng.integers(0, 3000))))) if k % 3 else "<p>a</p>" * 60
+        pages.append(jpeg.picture(str(k), text))
+    pages.append(np.full((1500, 1500, 3), 90, np.uint8))  # a run of more than 32,767 blocks
+    both = jpeg.encode_all(pages, 90)
+    for spec in jpeg.SCANS:
+        if spec[1]:
+            blocks = [q[spec[0][0]].reshape(-1, 64) for _, q in both]
+            want = [jpeg._write_scan(x.tolist(), spec) for x in blocks]
+            got = jpeg._write_ac(np.concatenate(blocks[:-1]), np.repeat(np.arange(24), [len(x) for x in blocks[:-1]]), 24, spec)
+            assert got == want[:-1] and jpeg._write_ac(blocks[-1], np.zeros(len(blocks[-1]), int), 1, spec) == want[-1:]
+    read = [jpeg.Decoder(data).coefficients() for data, _ in both]
+    monkeypatch.setattr(jpeg.Decoder, "_ac_refine", jpeg.Decoder._ac_refine_by_numbers)
+    assert all((a == b).all() for (data, _), own in zip(both, read) for a, b in zip(jpeg.Decoder(data).coefficients(), own))
+    began = time.process_time()
+    jpeg.encode_all(pages[:24] * 4, 90)
+    together, began = time.process_time() - began, time.process_time()
+    for spec in jpeg.SCANS:
+        for _, q in both[:24] * 4 if spec[1] else []:
+            jpeg._write_scan(q[spec[0][0]].reshape(-1, 64).tolist(), spec)
+    assert together < 0.7 * (time.process_time() - began)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,10 @@ K = np.arange(8)
 COSINE = np.cos((2 * K[:, None] + 1) * K[None, :] * np.pi / 16) * np.where(K == 0, np.sqrt(0.125), 0.5)
 
 
+#: Bits of a refining code, with the sign that follows if it is of a new coefficient.
+SPENT = [(code >> 8) + (code & 15 > 0) for code in range(17 << 8)]
+
+
 class Corrupt(ValueError):
     """A file that isn't a progressive or baseline JPEG of 8 bits and 1 or 3 components, or that ends too early."""
 
@@ -30,15 +34,19 @@ class Bits:
     """A scan's bits, as 32 of them from each byte on, so that a read costs the same in a large scan; stuffed zeros are gone,
     restart markers end a segment."""
 
-    __slots__ = ("at", "bits", "n")
+    __slots__ = ("at", "bits", "bytes", "n")
 
     def __init__(self, raw: bytes):
         raw = raw.replace(b"\xff\x00", b"\xff")
         self.n = 8 * len(raw)
         b = np.frombuffer(raw + b"\xff" * 11, np.uint8).astype(np.int64)
-        self.bits = (b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]).tolist()
+        self.bytes, self.bits = b, (b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]).tolist()
         self.at = 0
 
+    def single(self, at: np.ndarray) -> np.ndarray:
+        """The bits at some places."""
+        return self.bytes[at >> 3] >> (7 - (at & 7)) & 1
+
 
 def _table(counts: bytes, symbols: bytes) -> list[int]:
     """Of each 16-bit prefix, code length << 8 | symbol; 0 where no code begins so."""
@@ -58,6 +66,14 @@ def _cached_table(counts: bytes, symbols: bytes) -> list[int]:
     return _table(counts, symbols)
 
 
+@lru_cache(maxsize=64)
+def _order(mcus: tuple[int, int], shapes: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(which, i) of the blocks of an interleaved scan: of shapes (h, v, blocks_x) which component, and which block of it."""
+    my, mx = (x.ravel() for x in np.indices(mcus))
+    parts = [(k, (my * v + y) * blocks_x + mx * h + x) for k, (h, v, blocks_x) in enumerate(shapes) for y in range(v) for x in range(h)]
+    return np.tile([k for k, _ in parts], len(my)), np.stack([i for _, i in parts], 1).ravel()
+
+
 class Component:
     def __init__(self, name: int, h: int, v: int, q: int):
         self.name, self.h, self.v, self.q = name, h, v, q
@@ -65,7 +81,7 @@ class Component:
 
 
 class Decoder:
-    """Reads one file; coefficients: for each component a list of blocks, each of 64 numbers in zigzag order."""
+    """Reads one file; coefficients: for each component an array of blocks, each of 64 numbers in zigzag order."""
 
     def __init__(self, data: bytes):
         self.data, self.quant, self.huffman = data, {}, {}
@@ -136,7 +152,7 @@ class Decoder:
         for c in self.components:
             c.blocks_x, c.blocks_y = self.mcus_x * c.h, self.mcus_y * c.v
             c.own_x, c.own_y = -(-(-(-self.width * c.h // self.hmax)) // 8), -(-(-(-self.height * c.v // self.vmax)) // 8)
-            c.blocks = [[0] * 64 for _ in range(c.blocks_x * c.blocks_y)]
+            c.blocks = np.zeros((c.blocks_x * c.blocks_y, 64), np.int64)
 
     def _scan(self, body: bytes, at: int) -> int:
         n = body[0]
@@ -162,12 +178,14 @@ class Decoder:
         segments.append(data[begin:end])
         if n == 1:
             c = chosen[0]
-            order = [[(c, y * c.blocks_x + x)] for y in range(c.own_y) for x in range(c.own_x)]
+            each, index = 1, (np.arange(c.own_y)[:, None] * c.blocks_x + np.arange(c.own_x)).ravel()
+            which = np.zeros(len(index), np.int64)
         else:
-            order = [[(c, (my * c.v + y) * c.blocks_x + mx * c.h + x) for c in chosen for y in range(c.v) for x in range(c.h)] for my in range(self.mcus_y) for mx in range(self.mcus_x)]
-        step = self.restart or len(order)
+            each = sum(c.v * c.h for c in chosen)
+            which, index = _order((self.mcus_y, self.mcus_x), tuple((c.h, c.v, c.blocks_x) for c in chosen))
+        step = (self.restart or len(index)) * each
         for k, raw in enumerate(segments):
-            units = [u for mcu in order[k * step : (k + 1) * step] for u in mcu]
+            units = chosen, which[k * step : (k + 1) * step], index[k * step : (k + 1) * step]
             bits = Bits(raw)
             if not self.progressive:
                 self._baseline(bits, units)
@@ -175,6 +193,8 @@ class Decoder:
                 if last:
                     raise Corrupt("DC and AC in one scan")
                 self._dc_first(bits, units, low) if high == 0 else self._dc_refine(bits, units, low)
+            elif n > 1:
+                raise Corrupt("AC of several components in one scan")
             elif high == 0:
                 self._ac_first(bits, units, first, last, low)
             else:
@@ -186,33 +206,41 @@ class Decoder:
 
     def _dc_first(self, bits: Bits, units, low: int):
         stream, at = bits.bits, 0
-        before = {c.name: 0 for c, _ in units}
-        for c, i in units:
-            code = self.huffman[c.dc][stream[at >> 3] >> (32 - (at & 7) - 16) & 0xFFFF]
+        chosen, which, index = units
+        tables, before, found = [self.huffman.get(c.dc) for c in chosen], [0] * len(chosen), []
+        for k in which.tolist():
+            if tables[k] is None:
+                raise KeyError(chosen[k].dc)
+            code = tables[k][stream[at >> 3] >> (32 - (at & 7) - 16) & 0xFFFF]
             at += code >> 8
             size = code & 0xFF
             if size:
                 v = stream[at >> 3] >> (32 - (at & 7) - size) & ((1 << size) - 1)
                 at += size
-                before[c.name] += v if v >> (size - 1) else v - (1 << size) + 1
-            c.blocks[i][0] = before[c.name] << low
+                before[k] += v if v >> (size - 1) else v - (1 << size) + 1
+            found.append(before[k] << low)
+        values = np.array(found, np.int64)
+        for k, c in enumerate(chosen):
+            c.blocks[index[which == k], 0] = values[which == k]
         bits.at = at
 
     def _dc_refine(self, bits: Bits, units, low: int):
-        stream = bits.bits
-        for at, (c, i) in enumerate(units):
-            if stream[at >> 3] >> (31 - (at & 7)) & 1:
-                c.blocks[i][0] |= 1 << low
-        bits.at = len(units)
+        chosen, which, index = units
+        one = bits.single(np.arange(len(index))) << low
+        for k, c in enumerate(chosen):
+            c.blocks[index[which == k], 0] |= one[which == k]
+        bits.at = len(index)
 
     def _ac_first(self, bits: Bits, units, first: int, last: int, low: int):
         stream, at, run = bits.bits, 0, 0
-        table = self.huffman[16 | units[0][0].ac] if units else None
-        for c, i in units:
+        (c,), _, index = units
+        table = self.huffman[16 | c.ac] if len(index) else None
+        places, values = [], []
+        for i in index.tolist():
             if run:
                 run -= 1
                 continue
-            block, k = c.blocks[i], first
+            base, k = i << 6, first
             while k <= last:
                 code = table[stream[at >> 3] >> (32 - (at & 7) - 16) & 0xFFFF]
                 at += code >> 8
@@ -221,7 +249,10 @@ class Decoder:
                     k += zeros
                     v = stream[at >> 3] >> (32 - (at & 7) - size) & ((1 << size) - 1)
                     at += size
-                    block[k] = (v if v >> (size - 1) else v - (1 << size) + 1) << low if v >> (size - 1) else -((1 << size) - 1 - v << low)
+                    if k > 63:
+                        raise IndexError("list assignment index out of range")
+                    places.append(base + k)
+                    values.append(v << low if v >> (size - 1) else -((1 << size) - 1 - v << low))
                     k += 1
                 elif zeros == 15:
                     k += 16
@@ -233,14 +264,86 @@ class Decoder:
                         run += stream[at >> 3] >> (32 - (at & 7) - zeros) & ((1 << zeros) - 1)
                         at += zeros
                     break
+        c.blocks.ravel()[np.array(places, np.int64)] = values
         bits.at = at
 
     def _ac_refine(self, bits: Bits, units, first: int, last: int, low: int):
+        if not self._ac_refine_by_codes(bits, units, first, last, low):
+            self._ac_refine_by_numbers(bits, units, first, last, low)
+
+    def _ac_refine_by_codes(self, bits: Bits, units, first: int, last: int, low: int) -> bool:
+        """A step for each code and none for each coefficient: the zeros that a code passes tell where it ends, the others that
+        lie between have a bit each, read at the end. False, and nothing changed, if a code passes its block's end."""
+        (c,), _, index = units
+        n, wide = len(index), last - first + 1
+        if not n or wide < 1 or last > 63:
+            return False
+        table, stream, at = self.huffman[16 | c.ac], bits.bits, 0
+        own = c.blocks[index, first : last + 1]
+        there = own != 0
+        zero = np.flatnonzero(~there).tolist()
+        passed = [0, *np.cumsum(wide - there.sum(1)).tolist()]  # zeros before each block
+        zero += [1 << 62] * 16
+        ats, stops = [], []  # of each code: where its corrections begin and the coefficient that it ends at, negated if that isn't new
+        b = f = z = 0
+        end = wide
+        try:
+            while b < n:
+                code = table[stream[at >> 3] >> (16 - (at & 7)) & 0xFFFF]
+                zeros = code >> 4 & 15
+                if code & 15 or zeros == 15:
+                    at += SPENT[code]
+                    z += zeros
+                    t = zero[z]
+                    if t >= end:
+                        return False
+                    z += 1
+                    ats.append(at)
+                    stops.append(t if code & 15 else ~t)
+                    at += t - f - zeros
+                    f = t + 1
+                    if f == end:
+                        b += 1
+                        end += wide
+                else:
+                    if code == 0:
+                        return False
+                    at += code >> 8
+                    run = 1 << zeros
+                    if zeros:
+                        run += stream[at >> 3] >> (32 - (at & 7) - zeros) & run - 1
+                        at += zeros
+                    b = min(b + run, n)
+                    t = b * wide
+                    ats.append(at)
+                    stops.append(-t)
+                    at += t - f - passed[b] + z
+                    f, z = t, passed[b]
+                    end = f + wide
+            begun, stop = np.array(ats), np.array(stops)
+            new = stop >= 0
+            stop = np.where(new, stop, ~stop)
+            nonzero = np.flatnonzero(there)
+            till = np.searchsorted(nonzero, stop, "right")
+            count = np.diff(till, prepend=0)
+            bit = bits.single(np.repeat(begun - till + count, count) + np.arange(len(nonzero)))
+            places, values = stop[new], (2 * bits.single(begun[new] - 1) - 1) << low
+        except IndexError:
+            return False
+        v = own[there]
+        own[there] = v + np.where((bit == 1) & (np.abs(v) >> low & 1 == 0), np.sign(v) << low, 0)
+        own.ravel()[places] = values
+        c.blocks[index, first : last + 1] = own
+        bits.at = at
+        return True
+
+    def _ac_refine_by_numbers(self, bits: Bits, units, first: int, last: int, low: int):
         stream, at, run = bits.bits, 0, 0
-        table = self.huffman[16 | units[0][0].ac] if units else None
+        (c,), _, index = units
+        table, blocks = self.huffman[16 | c.ac] if len(index) else None, c.blocks.tolist()
         one = 1 << low
-        for c, i in units:
-            block, k = c.blocks[i], first
+        for i in index.tolist():
+            block, k = blocks[i], first
             if not run:
                 while k <= last:
                     code = table[stream[at >> 3] >> (32 - (at & 7) - 16) & 0xFFFF]
@@ -281,13 +384,15 @@ class Decoder:
                         at += 1
                     k += 1
                 run -= 1
+        c.blocks[:] = blocks
         bits.at = at
 
     def _baseline(self, bits: Bits, units):
         stream, at = bits.bits, 0
-        before = {c.name: 0 for c, _ in units}
-        for c, i in units:
-            block, k = c.blocks[i], 0
+        chosen, which, index = units
+        before = {c.name: 0 for c in chosen}
+        for c, i in zip([chosen[k] for k in which.tolist()], index.tolist()):
+            block, k = [0] * 64, 0
             while k < 64:
                 code = self.huffman[c.dc if k == 0 else 16 | c.ac][stream[at >> 3] >> (32 - (at & 7) - 16) & 0xFFFF]
                 if code == 0:
@@ -307,11 +412,12 @@ class Decoder:
                     v = before[c.name]
                 block[k] = v
                 k += 1
+            c.blocks[i] = block
         bits.at = at
 
     def coefficients(self) -> list[np.ndarray]:
         """For each component its quantised coefficients, blocks_y x blocks_x x 64 in zigzag order."""
-        return [np.array(c.blocks, np.int64).reshape(c.blocks_y, c.blocks_x, 64) for c in self.components]
+        return [c.blocks.reshape(c.blocks_y, c.blocks_x, 64) for c in self.components]
 
     def rgb(self) -> np.ndarray:
         """height x width x 3, uint8."""
@@ -358,6 +464,8 @@ COUNTS = bytes([0] * 7 + [255, 0] + [0] * 7)
 DC_COUNTS = bytes([0, 0, 0, 12] + [0] * 12)
 BASE_QUANT = np.array([16, 11, 12, 14, 12, 10, 16, 14, 13, 14, 18, 17, 16, 19, 24, 40, 26, 24, 22, 22, 24, 49, 35, 37, 29, 40, 58, 51, 61, 60, 57, 51, 56, 55, 64, 72, 92, 78, 64, 68, 87, 69, 55, 56, 80, 109, 81, 87, 95, 98, 103, 104, 103, 62, 77, 113, 121, 112, 100, 120, 92, 101, 103, 99])
 SYMBOLS = bytes(range(255))
+#: Samples of pictures that are written at once.
+TOGETHER = 1 << 20
 #: (components, first, last, high, low): the usual ten scans of a colour file.
 SCANS = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 2), ((2,), 1, 63, 0, 1), ((1,), 1, 63, 0, 1), ((0,), 6, 63, 0, 2), ((0,), 1, 63, 2, 1), ((0, 1, 2), 0, 0, 1, 0), ((2,), 1, 63, 1, 0), ((1,), 1, 63, 1, 0), ((0,), 1, 63, 1, 0)]
 
@@ -384,24 +492,10 @@ def _magnitude(w: Writer, v: int, size: int):
     w.put(v if v > 0 else v + (1 << size) - 1, size)
 
 
-def _write_scan(blocks: list[list[int]], spec: tuple, interleaved: list[tuple[int, int]] | None, all_blocks) -> bytes:
-    chosen, first, last, high, low = spec
+def _write_scan(blocks: list[list[int]], spec: tuple) -> bytes:
+    """An AC scan of one page, coefficient by coefficient."""
+    _, first, last, high, low = spec
     w = Writer()
-    if first == 0:
-        before = dict.fromkeys(chosen, 0)
-        for c, i in interleaved:
-            v = all_blocks[c][i][0]
-            if high:
-                w.put(v >> low & 1, 1)
-                continue
-            v >>= low
-            d = v - before[c]
-            before[c] = v
-            size = abs(d).bit_length()
-            w.put(size, 4)
-            if size:
-                _magnitude(w, d, size)
-        return w.done()
     run, waiting = 0, []  # blocks to skip; their correction bits
 
     def flush():
@@ -482,31 +576,138 @@ def _padded(p: np.ndarray, h: int, w: int) -> np.ndarray:
     return np.pad(p, ((0, h - p.shape[0]), (0, w - p.shape[1])), "edge")
 
 
+def _packed(value: np.ndarray, n: np.ndarray, stream: np.ndarray, streams: int) -> list[bytes]:
+    """The streams of numbers of n bits each, in order, filled up with ones to whole bytes."""
+    bits = np.bincount(stream, n, streams).astype(np.int64)
+    size = (bits + 7) // 8
+    begin = np.cumsum(size) - size
+    pad = 8 * size - bits
+    # each number lies in one or two words of 64 bits
+    at = np.r_[np.cumsum(n) - n + np.repeat(8 * begin - (np.cumsum(bits) - bits), np.bincount(stream, minlength=streams)), 8 * begin + bits]
+    v, over = np.r_[value, (1 << pad) - 1].astype(np.uint64), (at & 63) + np.r_[n, pad] - 64
+    words = np.zeros(int(size.sum()) // 8 + 2, np.uint64)
+    np.add.at(words, at >> 6, np.where(over > 0, v >> np.maximum(over, 0).astype(np.uint64), v << np.maximum(-over, 0).clip(0, 63).astype(np.uint64)))
+    two = over > 0
+    np.add.at(words, (at[two] >> 6) + 1, v[two] << (64 - over[two]).astype(np.uint64))
+    raw = words.astype(">u8").tobytes()
+    return [raw[i : i + k].replace(b"\xff", b"\xff\x00") for i, k in zip(begin.tolist(), size.tolist())]
+
+
+#: Of small numbers their bits; ZRL[q]: q times the code for 16 zeros.
+LENGTH = np.array([k.bit_length() for k in range(1 << 16)])
+ZRL = np.array([0, 0xF0, 0xF0F0, 0xF0F0F0])
+
+
+def _write_ac(blocks: np.ndarray, page: np.ndarray, pages: int, spec: tuple) -> list[bytes]:
+    """What _write_scan gives for each page's blocks, of all pages at once."""
+    chosen, first, last, high, low = spec
+    wide, some = last - first + 1, blocks[:, first : last + 1]
+    own = np.abs(some) >> low
+    new = own == 1 if high else own > 0
+    row, k = np.nonzero(new)
+    ahead = np.r_[False, row[1:] == row[:-1]] if len(row) else np.empty(0, bool)
+    before = np.where(ahead, np.r_[0, k[:-1]] if len(k) else k, -1)
+    final = np.full(len(blocks), -1)
+    final[row] = k
+    # a run of blocks that end early begins where one has something new, or the one before ends late or is another page's
+    early = final < wide - 1
+    begins = early & ((final >= 0) | np.r_[True, (page[1:] != page[:-1]) | ~early[:-1]])
+    at = np.flatnonzero(begins)
+    group = np.cumsum(begins) - 1
+    run = np.bincount(group[early], minlength=len(at)).astype(np.int64)
+    size = LENGTH[np.minimum(run, 65535)] - 1
+    values, lengths, keys, hard = [size << 4 + size | run - (1 << size)], [8 + size], [2 * (64 * at + 63)], page[at[run >= 32767]].tolist()
+    sign = some[row, k] > 0
+    if not high:
+        zeros, v = k - before - 1, own[row, k]
+        n = LENGTH[v]
+        values.append(ZRL[zeros >> 4] << 8 + n | ((zeros & 15) << 4 | n) << n | np.where(sign, v, v ^ (1 << n) - 1))
+        lengths.append(8 * (zeros >> 4) + 8 + n)
+        keys.append(2 * (64 * row + k))
+    else:
+        zero = np.cumsum(own == 0, 1)
+        zeros = zero[row, k] - np.where(before >= 0, zero[row, before], 0)
+        values.append(((zeros & 15) << 4 | 1) << 1 | sign)
+        lengths.append(np.full(len(row), 9))
+        keys.append(2 * (64 * row + k))
+        # each sixteenth zero since the last new one, before the final one
+        seen = np.zeros(own.shape, np.int64)
+        seen[row, k] = zero[row, k]
+        seen = zero - np.maximum.accumulate(seen, 1)
+        r, i = np.nonzero((own == 0) & (seen % 16 == 0) & (np.arange(wide) < final[:, None]))
+        values.append(np.full(len(r), 0xF0))
+        lengths.append(np.full(len(r), 8))
+        keys.append(2 * (64 * r + i))
+        # corrections follow the next code of their block, or else its run
+        codes = np.sort(np.concatenate(keys[1:]))
+        r, i = np.nonzero(own > 1)
+        e = np.r_[codes, 1 << 62][np.searchsorted(codes, 2 * (64 * r + i))]
+        late = e >= 128 * (r + 1)
+        e[late] = 2 * (64 * at[group[r[late]]] + 63)
+        values.append(own[r, i] & 1)
+        lengths.append(np.ones(len(r), np.int64))
+        keys.append(e + 1)
+        hard += page[at[np.bincount(group[r[late]], minlength=len(at)) > 900]].tolist()
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    out = _packed(np.concatenate(values)[order], np.concatenate(lengths)[order], page[key[order] >> 7], pages)
+    for p in set(hard):  # very long runs and many corrections are cut
+        out[p] = _write_scan(blocks[page == p].tolist(), spec)
+    return out
+
+
+def _write_dc(values: list[np.ndarray], high: int, low: int) -> list[bytes]:
+    """DC scans of pages: of each an array of MCUs by blocks, luma first, and the last two of chroma."""
+    if high:
+        flat = np.concatenate([v.ravel() for v in values]) >> low & 1
+        return _packed(flat, np.ones(len(flat), np.int64), np.repeat(np.arange(len(values)), [v.size for v in values]), len(values))
+    steps = []
+    for v in values:
+        v = v >> low
+        luma = v[:, :-2]
+        steps.append(np.concatenate([np.diff(luma.ravel(), prepend=0).reshape(luma.shape), np.diff(v[:, -2:], axis=0, prepend=0)], 1).ravel())
+    d = np.concatenate(steps)
+    n = LENGTH[np.abs(d)]
+    return _packed(n << n | np.where(d > 0, d, d + (1 << n) - 1), 4 + n, np.repeat(np.arange(len(values)), [len(x) for x in steps]), len(values))
+
+
 def encode(rgb: np.ndarray, quality: int = 75, halved: bool = True) -> tuple[bytes, list[np.ndarray]]:
     """(a progressive JPEG of an RGB image, the quantised coefficients in it); chroma is of half size if `halved`."""
+    return encode_all([rgb], quality, halved)[0]
+
+
+def encode_all(images: list[np.ndarray], quality: int = 75, halved: bool = True) -> list[tuple[bytes, list[np.ndarray]]]:
+    """encode() of several images, whose scans are written at once."""
     quant = np.clip((BASE_QUANT * (5000 / quality if quality < 50 else 200 - 2 * quality) + 50) // 100, 1, 255).astype(np.int64)
-    x = rgb.astype(float)
-    y = x @ [0.299, 0.587, 0.114]
-    b, r = (x[:, :, 2] - y) / 1.772 + 128, (x[:, :, 0] - y) / 1.402 + 128
     f = 2 if halved else 1
-    my, mx = -(-y.shape[0] // (8 * f)), -(-y.shape[1] // (8 * f))
-    planes = [_padded(p, 8 * f * my, 8 * f * mx) for p in (y, b, r)]
-    if halved:
-        planes[1:] = [p.reshape(8 * my, 2, 8 * mx, 2).mean((1, 3)) for p in planes[1:]]
-    quantised = [_blocks(p, quant) for p in planes]
-    flat = [q.reshape(-1, 64).tolist() for q in quantised]
-    order = [(0, (f * i + dy) * f * mx + f * j + dx) if c == 0 else (c, i * mx + j) for i in range(my) for j in range(mx) for c, n in ((0, f), (1, 1), (2, 1)) for dy in range(n) for dx in range(n)]
-    own_y, own_x = -(-y.shape[0] // 8), -(-y.shape[1] // 8)  # a scan of luma alone leaves out blocks that only fill up
-    luma = [flat[0][i * f * mx + j] for i in range(own_y) for j in range(own_x)]
+    found, dc, scanned = [], [], [[], [], []]
+    for rgb in images:
+        x = rgb.astype(float)
+        y = x @ [0.299, 0.587, 0.114]
+        b, r = (x[:, :, 2] - y) / 1.772 + 128, (x[:, :, 0] - y) / 1.402 + 128
+        my, mx = -(-y.shape[0] // (8 * f)), -(-y.shape[1] // (8 * f))
+        planes = [_padded(p, 8 * f * my, 8 * f * mx) for p in (y, b, r)]
+        if halved:
+            planes[1:] = [p.reshape(8 * my, 2, 8 * mx, 2).mean((1, 3)) for p in planes[1:]]
+        quantised = [_blocks(p, quant).reshape(-1, 64) for p in planes]
+        luma = quantised[0].reshape(my, f, mx, f, 64)
+        dc.append(np.concatenate([luma[..., 0].transpose(0, 2, 1, 3).reshape(my * mx, f * f), quantised[1][:, :1], quantised[2][:, :1]], 1))
+        own_y, own_x = -(-y.shape[0] // 8), -(-y.shape[1] // 8)  # a scan of luma alone leaves out blocks that only fill up
+        for k, q in enumerate((quantised[0].reshape(f * my, f * mx, 64)[:own_y, :own_x].reshape(-1, 64), *quantised[1:])):
+            scanned[k].append(q)
+        found.append([q.reshape(f * my if k == 0 else my, -1, 64) for k, q in enumerate(quantised)])
+    numbers = np.arange(len(images))
+    blocks, page = [np.concatenate(q) for q in scanned], [np.repeat(numbers, [len(x) for x in q]) for q in scanned]
+    written = [_write_dc(dc, spec[3], spec[4]) if spec[1] == 0 else _write_ac(blocks[spec[0][0]], page[spec[0][0]], len(images), spec) for spec in SCANS]
     seg = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
-    out = [b"\xff\xd8", seg(0xDB, b"\0" + quant.astype(np.uint8).tobytes())]
-    out.append(seg(0xC2, b"\x08" + y.shape[0].to_bytes(2, "big") + y.shape[1].to_bytes(2, "big") + bytes([3, 1, 0x11 * f, 0, 2, 0x11, 0, 3, 0x11, 0])))
-    out.append(seg(0xC4, b"\0" + DC_COUNTS + bytes(range(12)) + b"\x10" + COUNTS + SYMBOLS))
-    for spec in SCANS:
-        chosen, first, last, high, low = spec
-        out.append(seg(0xDA, bytes([len(chosen)]) + b"".join(bytes([c + 1, 0]) for c in chosen) + bytes([first, last, high << 4 | low])))
-        out.append(_write_scan((luma if chosen == (0,) else flat[chosen[0]]), spec, order, flat))
-    return b"".join(out) + b"\xff\xd9", quantised
+    tables = seg(0xC4, b"\0" + DC_COUNTS + bytes(range(12)) + b"\x10" + COUNTS + SYMBOLS)
+    heads = [seg(0xDA, bytes([len(spec[0])]) + b"".join(bytes([c + 1, 0]) for c in spec[0]) + bytes([spec[1], spec[2], spec[3] << 4 | spec[4]])) for spec in SCANS]
+    out = []
+    for i, rgb in enumerate(images):
+        frame = seg(0xC2, b"\x08" + rgb.shape[0].to_bytes(2, "big") + rgb.shape[1].to_bytes(2, "big") + bytes([3, 1, 0x11 * f, 0, 2, 0x11, 0, 3, 0x11, 0]))
+        scans = b"".join(h + w[i] for h, w in zip(heads, written))
+        out.append((b"\xff\xd8" + seg(0xDB, b"\0" + quant.astype(np.uint8).tobytes()) + frame + tables + scans + b"\xff\xd9", found[i]))
+    return out
 
 
 def picture(url: str, html: str) -> np.ndarray:
@@ -531,7 +732,15 @@ def render(pages: DataFrame, quality: int = 75) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            made = [encode(picture(u or "", h or ""), quality)[0] for u, h in zip(batch["url"].to_pylist(), batch["html"].to_pylist())]
+            made, held, size = [], [], 0
+            for u, h in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
+                held.append(picture(u or "", h or ""))
+                size += held[-1].size
+                if size > TOGETHER:
+                    made += [data for data, _ in encode_all(held, quality)]
+                    held, size = [], 0
+            if held:
+                made += [data for data, _ in encode_all(held, quality)]
             yield pa.record_batch([batch["page_id"], pa.array(made, pa.binary())], ["page_id", "image"])
 
     some = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
