@@ -258,3 +258,42 @@ def test_scans_of_many_pages_at_once(monkeypatch):
         for _, q in both[:24] * 4 if spec[1] else []:
             jpeg._write_scan(q[spec[0][0]].reshape(-1, 64).tolist(), spec)
     assert together < 0.7 * (time.process_time() - began)
+
+
+def test_many_files_are_read_at_once(monkeypatch):
+    rng, pages = np.random.default_rng(10), []
+    for k in range(90):
+        text = "".join(map(chr, rng.integers(32, 126, int(rng.integers(0, 4000))))) if k % 3 else "<p>Erinst resh</p>" * (k + 1)
+        pages.append(jpeg.picture(str(k), text))
+    files = [data for data, _ in jpeg.encode_all(pages) + jpeg.encode_all(pages[:50], 95, False)]
+    for k in range(0, 300):  # cut, and changed within scans
+        data = bytearray(files[int(rng.integers(0, 90))])
+        at = int(rng.integers(data.index(b"\xff\xda"), len(data) - 2))
+        files.append(bytes(data[:at])) if k % 10 == 0 else files.append(bytes(data[:at] + bytes([data[at] ^ 1 << k % 8]) + data[at + 1 :]))
+    files += [b"", b"\xff\xd8\xff\xd9"]
+    monkeypatch.setattr(jpeg.Decoder, "_ac_refine", jpeg.Decoder._ac_refine_by_numbers)
+
+    def alone(data):
+        try:
+            return jpeg.decode(data)
+        except jpeg.Corrupt as e:
+            return e
+
+    want, read = list(map(alone, files)), []
+    own = jpeg.decode
+    monkeypatch.setattr(jpeg, "decode", lambda data: read.append(data) or own(data))
+    for few in (32, 1, 1 << 30):
+        monkeypatch.setattr(jpeg, "FEW", few)
+        read.clear()
+        got = jpeg.decode_all(files)
+        assert not set(read) & set(files[:140])
+        for a, b in zip(got, want):
+            assert str(a) == str(b) if isinstance(b, jpeg.Corrupt) else (a == b).all()
+    assert sum(isinstance(x, jpeg.Corrupt) for x in want) > 30 and sum(not isinstance(x, jpeg.Corrupt) for x in want[140:]) > 30
+    monkeypatch.undo()
+    files, began = files[:90] * 6, time.process_time()
+    jpeg.decode_all(files)
+    together, began = time.process_time() - began, time.process_time()
+    for data in files:
+        jpeg.decode(data)
+    assert together < 0.7 * (time.process_time() - began)

@@ -2,14 +2,16 @@
 
 Each scan of a file refines coefficient arrays: DC first and refinement, AC by spectral selection and successive approximation.
 After the last scan all blocks of a component are dequantised and inverse-transformed at once in numpy, chroma is upsampled
-to the image's size, and the colours are converted. The module also writes such files, for pages that have none and for tests.
+to the image's size, and the colours are converted. Files of the same scans and tables are read at once, a code of each at a
+step; others, and those with anything odd, one by one. The module also writes such files, for pages that have none and for tests.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from functools import cache, lru_cache
+from collections import defaultdict
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,16 @@ K = np.arange(8)
 COSINE = np.cos((2 * K[:, None] + 1) * K[None, :] * np.pi / 16) * np.where(K == 0, np.sqrt(0.125), 0.5)
 
 
+UNZIGZAG = np.argsort(ZIGZAG)
+
 #: Bits of a refining code, with the sign that follows if it is of a new coefficient.
 SPENT = [(code >> 8) + (code & 15 > 0) for code in range(17 << 8)]
+#: The largest coefficient of files that are read at once.
+MOST = (1 << 15) - 1
+#: What a refining code is: of a new coefficient, one that ends blocks, none.
+NEW, ENDS, NONE = 1 << 12, 1 << 13, 1 << 14
+#: Pixels or bytes of files that are read at once, and the number of files below which a step in Python for each is faster.
+AT_ONCE, FEW = 5 << 20, 32
 
 
 class Corrupt(ValueError):
@@ -39,13 +49,13 @@ class Bits:
     def __init__(self, raw: bytes):
         raw = raw.replace(b"\xff\x00", b"\xff")
         self.n = 8 * len(raw)
-        b = np.frombuffer(raw + b"\xff" * 11, np.uint8).astype(np.int64)
-        self.bytes, self.bits = b, (b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]).tolist()
+        self.bytes = np.frombuffer(raw + b"\xff" * 11, np.uint8)
+        self.bits = _window(self.bytes).tolist()
         self.at = 0
 
     def single(self, at: np.ndarray) -> np.ndarray:
         """The bits at some places."""
-        return self.bytes[at >> 3] >> (7 - (at & 7)) & 1
+        return self.bytes[at >> 3].astype(np.int64) >> (7 - (at & 7)) & 1
 
 
 def _table(counts: bytes, symbols: bytes) -> list[int]:
@@ -61,9 +71,22 @@ def _table(counts: bytes, symbols: bytes) -> list[int]:
     return out + [0] * ((1 << 16) - len(out))
 
 
+class Table(list):
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        return np.array(self)
+
+    @cached_property
+    def refining(self) -> np.ndarray:
+        """Of each prefix what it says in a refining scan: NEW, ENDS or NONE, zeros passed << 8 and bits spent."""
+        code = self.numbers
+        zeros, size = code >> 4 & 15, code & 15
+        return np.where(size > 0, NEW, np.where(zeros < 15, ENDS, 0)) | np.where(code == 0, NONE, 0) | zeros << 8 | np.array(SPENT)[code]
+
+
 @cache
-def _cached_table(counts: bytes, symbols: bytes) -> list[int]:
-    return _table(counts, symbols)
+def _cached_table(counts: bytes, symbols: bytes) -> Table:
+    return Table(_table(counts, symbols))
 
 
 @lru_cache(maxsize=64)
@@ -83,13 +106,15 @@ class Component:
 class Decoder:
     """Reads one file; coefficients: for each component an array of blocks, each of 64 numbers in zigzag order."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, wait: bool = False):
+        """If told to wait, its scans are only found and put into `waiting`."""
         self.data, self.quant, self.huffman = data, {}, {}
+        self.wait, self.waiting = wait, []
         self.components: list[Component] = []
         self.restart, self.scans = 0, 0
         try:
             self._segments()
-        except (IndexError, KeyError, ValueError, ZeroDivisionError) as e:
+        except (IndexError, KeyError, StopIteration, ValueError, ZeroDivisionError) as e:
             raise Corrupt(str(e)) from e
 
     def _segments(self):
@@ -152,7 +177,7 @@ class Decoder:
         for c in self.components:
             c.blocks_x, c.blocks_y = self.mcus_x * c.h, self.mcus_y * c.v
             c.own_x, c.own_y = -(-(-(-self.width * c.h // self.hmax)) // 8), -(-(-(-self.height * c.v // self.vmax)) // 8)
-            c.blocks = np.zeros((c.blocks_x * c.blocks_y, 64), np.int64)
+            c.blocks = None if self.wait else np.zeros((c.blocks_x * c.blocks_y, 64), np.int64)
 
     def _scan(self, body: bytes, at: int) -> int:
         n = body[0]
@@ -176,6 +201,11 @@ class Decoder:
             else:
                 break
         segments.append(data[begin:end])
+        if self.wait:
+            tables = [self.huffman.get(c.dc if first == 0 else 16 | c.ac) for c in chosen]
+            self.waiting.append(([self.components.index(c) for c in chosen], tables, (first, last, high, low), segments))
+            self.scans += 1
+            return end
         if n == 1:
             c = chosen[0]
             each, index = 1, (np.arange(c.own_y)[:, None] * c.blocks_x + np.arange(c.own_x)).ravel()
@@ -268,74 +298,15 @@ class Decoder:
         bits.at = at
 
     def _ac_refine(self, bits: Bits, units, first: int, last: int, low: int):
-        if not self._ac_refine_by_codes(bits, units, first, last, low):
-            self._ac_refine_by_numbers(bits, units, first, last, low)
-
-    def _ac_refine_by_codes(self, bits: Bits, units, first: int, last: int, low: int) -> bool:
-        """A step for each code and none for each coefficient: the zeros that a code passes tell where it ends, the others that
-        lie between have a bit each, read at the end. False, and nothing changed, if a code passes its block's end."""
         (c,), _, index = units
-        n, wide = len(index), last - first + 1
-        if not n or wide < 1 or last > 63:
-            return False
-        table, stream, at = self.huffman[16 | c.ac], bits.bits, 0
-        own = c.blocks[index, first : last + 1]
-        there = own != 0
-        zero = np.flatnonzero(~there).tolist()
-        passed = [0, *np.cumsum(wide - there.sum(1)).tolist()]  # zeros before each block
-        zero += [1 << 62] * 16
-        ats, stops = [], []  # of each code: where its corrections begin and the coefficient that it ends at, negated if that isn't new
-        b = f = z = 0
-        end = wide
-        try:
-            while b < n:
-                code = table[stream[at >> 3] >> (16 - (at & 7)) & 0xFFFF]
-                zeros = code >> 4 & 15
-                if code & 15 or zeros == 15:
-                    at += SPENT[code]
-                    z += zeros
-                    t = zero[z]
-                    if t >= end:
-                        return False
-                    z += 1
-                    ats.append(at)
-                    stops.append(t if code & 15 else ~t)
-                    at += t - f - zeros
-                    f = t + 1
-                    if f == end:
-                        b += 1
-                        end += wide
-                else:
-                    if code == 0:
-                        return False
-                    at += code >> 8
-                    run = 1 << zeros
-                    if zeros:
-                        run += stream[at >> 3] >> (32 - (at & 7) - zeros) & run - 1
-                        at += zeros
-                    b = min(b + run, n)
-                    t = b * wide
-                    ats.append(at)
-                    stops.append(-t)
-                    at += t - f - passed[b] + z
-                    f, z = t, passed[b]
-                    end = f + wide
-            begun, stop = np.array(ats), np.array(stops)
-            new = stop >= 0
-            stop = np.where(new, stop, ~stop)
-            nonzero = np.flatnonzero(there)
-            till = np.searchsorted(nonzero, stop, "right")
-            count = np.diff(till, prepend=0)
-            bit = bits.single(np.repeat(begun - till + count, count) + np.arange(len(nonzero)))
-            places, values = stop[new], (2 * bits.single(begun[new] - 1) - 1) << low
-        except IndexError:
-            return False
-        v = own[there]
-        own[there] = v + np.where((bit == 1) & (np.abs(v) >> low & 1 == 0), np.sign(v) << low, 0)
-        own.ravel()[places] = values
-        c.blocks[index, first : last + 1] = own
-        bits.at = at
-        return True
+        if len(index) and first <= last <= 63:
+            own = c.blocks[index, first : last + 1]
+            right, at = _refine(self.huffman[16 | c.ac], bits.bytes, own, np.array([0]), np.array([bits.n]), np.array([0, len(own)]), low)
+            if right[0]:
+                c.blocks[index, first : last + 1] = own
+                bits.at = int(at[0])
+                return
+        self._ac_refine_by_numbers(bits, units, first, last, low)
 
     def _ac_refine_by_numbers(self, bits: Bits, units, first: int, last: int, low: int):
         stream, at, run = bits.bits, 0, 0
@@ -419,42 +390,413 @@ class Decoder:
         """For each component its quantised coefficients, blocks_y x blocks_x x 64 in zigzag order."""
         return [c.blocks.reshape(c.blocks_y, c.blocks_x, 64) for c in self.components]
 
+    def shape(self) -> tuple:
+        """What files have in common whose pixels can be computed at once."""
+        return self.height, self.width, tuple((c.h, c.v, self.quant[c.q].tobytes()) for c in self.components)
+
     def rgb(self) -> np.ndarray:
         """height x width x 3, uint8."""
-        planes = [plane(q, self.quant[c.q]) for q, c in zip(self.coefficients(), self.components)]
+        return self.pixels(self.coefficients())
+
+    def pixels(self, coefficients: list[np.ndarray]) -> np.ndarray:
+        """The pixels of coefficients of this file, or of several of its shape() along a first axis."""
         full = []
-        for p, c in zip(planes, self.components):
-            p = p[: -(-self.height * c.v // self.vmax), : -(-self.width * c.h // self.hmax)]
-            full.append(upsample(p, self.vmax / c.v, self.hmax / c.h)[: self.height, : self.width])
+        for q, c in zip(coefficients, self.components):
+            p = plane(q, self.quant[c.q])[..., : -(-self.height * c.v // self.vmax), : -(-self.width * c.h // self.hmax)]
+            full.append(upsample(p, self.vmax / c.v, self.hmax / c.h)[..., : self.height, : self.width])
+        out = np.empty((*full[0].shape, 3), np.uint8)
         if len(full) == 1:
-            return np.repeat(full[0][:, :, None], 3, 2).round().clip(0, 255).astype(np.uint8)
+            out[:] = full[0].round().clip(0, 255)[..., None]
+            return out
         y, b, r = full[0], full[1] - 128, full[2] - 128
-        return np.stack([y + 1.402 * r, y - 0.344136 * b - 0.714136 * r, y + 1.772 * b], 2).round().clip(0, 255).astype(np.uint8)
+        for k, p in enumerate((y + 1.402 * r, y - 0.344136 * b - 0.714136 * r, y + 1.772 * b)):
+            out[..., k] = p.round(out=p).clip(0, 255, out=p)
+        return out
 
 
 def plane(quantised: np.ndarray, quant: np.ndarray) -> np.ndarray:
-    """A component's samples from its coefficients: all blocks are dequantised and inverse-transformed at once."""
-    h, w = quantised.shape[:2]
-    flat = np.zeros((h, w, 64))
-    flat[:, :, ZIGZAG] = quantised * quant
-    return (COSINE @ flat.reshape(h, w, 8, 8) @ COSINE.T).transpose(0, 2, 1, 3).reshape(8 * h, 8 * w) + 128
+    """A component's samples from its coefficients: all blocks are dequantised and inverse-transformed at once. Other axes may
+    come first."""
+    *more, h, w, _ = quantised.shape
+    flat = (quantised * quant).take(UNZIGZAG, -1).astype(float).reshape(-1, h, w, 8, 8)
+    return (COSINE @ flat @ COSINE.T).transpose(0, 1, 3, 2, 4).reshape(*more, 8 * h, 8 * w) + 128
 
 
 def upsample(p: np.ndarray, v: float, h: float) -> np.ndarray:
     """Linear interpolation between sample centres, to v and h times the size."""
-    for axis, f in ((0, v), (1, h)):
+    for axis, f in ((-2, v), (-1, h)):
         if f != 1:
             n = p.shape[axis]
             at = ((np.arange(round(n * f)) + 0.5) / f - 0.5).clip(0, n - 1)
             a = at.astype(int)
             b, t = np.minimum(a + 1, n - 1), at - a
-            shape = (-1, 1) if axis == 0 else (1, -1)
+            shape = (-1, 1) if axis == -2 else (1, -1)
             p = p.take(a, axis) * (1 - t.reshape(shape)) + p.take(b, axis) * t.reshape(shape)
     return p
 
 
 def decode(data: bytes) -> np.ndarray:
-    return Decoder(data).rgb()
+    d = Decoder(data)
+    if not _dequantised(d):
+        raise Corrupt("no quantisation table")
+    return d.rgb()
+
+
+# --- reading many files at once ----------------------------------------------------------------------------------------
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray | Corrupt]:
+    """decode() of several files; of those it raises Corrupt for, the error."""
+    out: list = [None] * len(files)
+    alike, shapes = defaultdict(list), defaultdict(list)
+    for i, data in enumerate(files):
+        try:
+            d = Decoder(data, wait=True)
+            if _plain(d):
+                alike[_signature(d)].append((i, d))
+        except Corrupt:
+            pass  # it is read alone, to find the same error
+    for group in alike.values():
+        while len(group) > 1:
+            size = np.cumsum([d.height * d.width for _, d in group])
+            n = max(1, int(np.searchsorted(size, AT_ONCE, "right")))
+            now, group = group[:n], group[n:]
+            if n == 1:
+                continue
+            shapes.clear()
+            for (i, d), right, q in zip(now, *_read_together([d for _, d in now])):
+                if right:
+                    shapes[d.shape()].append((i, d, q))
+            for same in shapes.values():
+                pixels = same[0][1].pixels([np.stack(q) for q in zip(*(q for _, _, q in same))])
+                for (i, _, _), x in zip(same, pixels):
+                    out[i] = x
+    for i, data in enumerate(files):
+        if out[i] is None:
+            try:
+                out[i] = decode(data)
+            except Corrupt as e:
+                out[i] = e
+    return out
+
+
+def _dequantised(d: Decoder) -> bool:
+    return all(len(d.quant.get(c.q, ())) == 64 for c in d.components)
+
+
+def _plain(d: Decoder) -> bool:
+    """Whether a file has only scans that _read_together knows: progressive ones without restarts."""
+    for chosen, tables, (first, last, high, low), segments in d.waiting:
+        coded = first > 0 or high == 0
+        if low > 13 or len(segments) > 1 or len(set(chosen)) < len(chosen) or coded and (tables[0] is None or any(t is not tables[0] for t in tables)):
+            return False
+        if last if first == 0 else len(chosen) > 1 or not first <= last <= 63:
+            return False
+    return d.progressive and not d.restart and _dequantised(d)
+
+
+def _signature(d: Decoder) -> tuple:
+    """What files have in common that can be read at once; tables are kept for good, so their ids tell them apart."""
+    return tuple((c.h, c.v) for c in d.components), tuple((*chosen, id(tables[0]) if first or not high else 0, first, last, high, low) for chosen, tables, (first, last, high, low), _ in d.waiting)
+
+
+def _read_together(files: list[Decoder]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """(which files were read without anything odd, of each the coefficients() of its components)."""
+    right = np.ones(len(files), bool)
+    parts = len(files[0].components)
+    wide, high = ([np.array([getattr(d.components[k], x) for d in files]) for k in range(parts)] for x in ("blocks_x", "blocks_y"))
+    begin = [np.r_[0, np.cumsum(w * h)] for w, h in zip(wide, high)]
+    blocks = [np.zeros((b[-1], 64), np.int16) for b in begin]
+
+    @cache
+    def places(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(where each file's blocks begin in a scan of component k alone, the blocks)."""
+        w, h = (np.array([getattr(d.components[k], x) for d in files]) for x in ("own_x", "own_y"))
+        at = np.r_[0, np.cumsum(w * h)]
+        i = np.arange(at[-1]) - np.repeat(at[:-1], w * h)
+        y, x = np.divmod(i, np.repeat(w, w * h))
+        return at, np.repeat(begin[k][:-1], w * h) + y * np.repeat(wide[k], w * h) + x
+
+    @cache
+    def interleaved(chosen: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each file's blocks begin in a scan of components, of each block which of them, and the block)."""
+        orders = [_order((d.mcus_y, d.mcus_x), tuple((d.components[k].h, d.components[k].v, d.components[k].blocks_x) for k in chosen)) for d in files]
+        n = [len(i) for _, i in orders]
+        which, index = (np.concatenate(x) for x in zip(*orders))
+        return np.r_[0, np.cumsum(n)], which, index + np.stack([begin[k][:-1] for k in chosen])[which, np.repeat(np.arange(len(files)), n)]
+
+    for s, (chosen, tables, (first, last, refines, low), _) in enumerate(files[0].waiting):
+        raws = [d.waiting[s][3][0].replace(b"\xff\x00", b"\xff") for d in files]
+        length = np.array([len(r) for r in raws])
+        stream = np.frombuffer((b"\xff" * 11).join([*raws, b""]), np.uint8)
+        start = 8 * (np.cumsum(length + 11) - length - 11)
+        end = start + 8 * length
+        if first == 0:
+            if len(chosen) == 1:
+                of, index = places(chosen[0])
+                which = np.zeros(len(index), np.int64)
+            else:
+                of, which, index = interleaved(tuple(chosen))
+            if refines:
+                at = start + np.diff(of)
+                # a scan that is too short is found by its end; what is read for it then doesn't matter
+                place = np.repeat(start - of[:-1], np.diff(of)) + np.arange(len(index))
+                bit = (stream.take(place >> 3, mode="clip") >> (7 - (place & 7)) & 1) << low
+                for j, k in enumerate(chosen):
+                    blocks[k][index[which == j], 0] |= bit[which == j].astype(np.int16)
+            else:
+                good, at, values = _dc_values(tables[0], stream, start, end, of, which, len(chosen), low)
+                right &= good
+                for j, k in enumerate(chosen):
+                    blocks[k][index[which == j], 0] = values[which == j]
+        else:
+            (k,) = chosen
+            of, index = places(k)
+            if refines:
+                own = blocks[k][index, first : last + 1]
+                good, at = _refine(tables[0], stream, own, start, end, of, low)
+                blocks[k][index, first : last + 1] = own
+            else:
+                good, at, place, values = _ac_values(tables[0], stream, start, end, of, last - first + 1, low)
+                block, i = np.divmod(place, last - first + 1)
+                blocks[k][index[block], first + i] = values
+            right &= good
+        right &= at <= end + 7
+    return right, [[blocks[k][begin[k][i] : begin[k][i + 1]].reshape(high[k][i], wide[k][i], 64) for k in range(parts)] for i in range(len(files))]
+
+
+def _window(stream: np.ndarray) -> np.ndarray:
+    """32 bits of a stream of bytes from each byte on."""
+    return np.ndarray(len(stream) - 3, ">u4", stream, strides=(1,)).astype(np.int64)
+
+
+def _some(window: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of n bits, 25 at most, at some places."""
+    return window.take(at >> 3, mode="clip") >> (32 - (at & 7) - n) & (1 << n) - 1
+
+
+def _chain(window: np.ndarray, steps: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where codes begin in streams that begin and end at some bits, and in which): each is followed by the next after its
+    step, whatever it means. What follows the last code that counts is told too."""
+    found, at, till = [], start, end
+    while len(at) >= FEW:
+        for _ in range(8):
+            found.append(at)
+            at = np.minimum(at + steps.take(window.take(at >> 3) >> (16 - (at & 7)) & 0xFFFF), till)
+        on = at < till
+        at, till = at[on], till[on]
+    if len(at):
+        steps = steps.tolist()
+        for x, z in zip(at.tolist(), till.tolist()):
+            base, own, one = x & ~7, window[x >> 3 : (z >> 3) + 1].tolist(), []
+            x, z = x - base, z - base
+            while x < z:
+                one.append(x)
+                x += steps[own[x >> 3] >> (16 - (x & 7)) & 0xFFFF]
+            found.append(np.array(one, np.int64) + base)
+    at = np.sort(np.concatenate(found))
+    stream = np.searchsorted(start, at, "right") - 1
+    on = at < end[stream]
+    return at[on], stream[on]
+
+
+def _dc_values(table: Table, stream: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, which: np.ndarray, parts: int, low: int):
+    """(which files are right, where their scans end, the values of the blocks) of first DC scans."""
+    table, window = table.numbers, _window(stream)
+    at, own = _chain(window, np.maximum((table >> 8) + (table & 0xFF), 1), start, end)
+    n, need = np.bincount(own, minlength=len(start)), np.diff(of)
+    right = n >= need
+    i = np.repeat(np.cumsum(n) - n - of[:-1], need) + np.arange(of[-1])
+    at = np.r_[at, 0].take(i, mode="clip")
+    code = table.take(_some(window, at, 16))
+    size = code & 0xFF
+    file = np.repeat(np.arange(len(start)), need)
+    # a code that there isn't has no bits; the tables of one file alone read on there
+    right[file[(code == 0) | (size > 16)]] = False
+    size = np.minimum(size, 16)
+    at = at + (code >> 8)
+    v = _some(window, at, size)
+    step = np.where((size > 0) & (v >> np.maximum(size - 1, 0) == 0), v - (1 << size) + 1, v)
+    values = np.empty(len(step), np.int64)
+    for k in range(parts):
+        mine = which == k
+        total = np.cumsum(step[mine])
+        first = np.searchsorted(file[mine], np.arange(len(start)))
+        values[mine] = total - np.r_[0, total].take(first)[file[mine]]
+    values <<= low
+    right[file[np.abs(values) > MOST]] = False
+    return right, (at + size)[of[1:] - 1], values.clip(-MOST, MOST)
+
+
+def _ac_values(table: Table, stream: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, wide: int, low: int):
+    """(which files are right, where their scans end, places among their blocks' coefficients, their values) of first AC scans.
+
+    How long a code is doesn't depend on where it stands. Coefficients are counted on over the ends of blocks; codes that end a
+    block begin at one's first coefficient or later, so that what they end is told by the coefficients since the code before."""
+    table, window = table.numbers, _window(stream)
+    zeros, size = table >> 4 & 15, table & 15
+    at, own = _chain(window, np.maximum((table >> 8) + np.where(size > 0, size, np.where(zeros < 15, zeros, 0)), 1), start, end)
+    code = table.take(_some(window, at, 16))
+    zeros, size = code >> 4 & 15, code & 15
+    at = at + (code >> 8)
+    ends = (size == 0) & (zeros < 15)
+    n = np.where(ends, 0, zeros + 1)
+    run = np.where(ends, (1 << zeros) + _some(window, at, np.where(ends, zeros, 0)), 0)
+    # parts of a file's codes, each up to one that ends blocks, the last one perhaps without
+    first = np.r_[True, ends[:-1] | (own[1:] != own[:-1])][: len(own)]
+    part, begins = np.cumsum(first) - 1, np.flatnonzero(first)
+    total = np.r_[0, np.cumsum(n)]
+    length = np.diff(np.r_[total[begins], total[-1]])
+    blocks = length // wide + np.add.reduceat(run, begins) if len(begins) else length
+    before = np.cumsum(blocks) - blocks
+    file = own[begins]
+    before += of[:-1][file] - before[np.searchsorted(file, file)]  # blocks before each part
+    f = before[part] * wide + total[:-1] - total[begins][part]
+    limit = of[1:][own] * wide
+    used = f < limit
+    right = np.zeros(len(start), bool)
+    after = np.where(ends, (f // wide + run) * wide, f + n)
+    at = at + np.where(ends, zeros, size)
+    stop = np.zeros(len(start), np.int64)
+    final = np.flatnonzero(used & (after >= limit))  # of each file the one code that completes its blocks
+    right[own[final]], stop[own[final]] = True, at[final]
+    right[own[used & ((code == 0) | ~ends & (f % wide + n > wide))]] = False
+    new = used & (size > 0) & right[own]
+    size, at = size[new], at[new] - size[new]
+    v = _some(window, at, size)
+    values = np.where(v >> (size - 1), v, v - (1 << size) + 1) << low
+    right[own[new][np.abs(values) > MOST]] = False
+    return right, stop, (f + zeros)[new], values.clip(-MOST, MOST)
+
+
+def _refine(table: Table, stream: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which files are right, where their scans end) of refining AC scans, which change `own`, the files' blocks, in place.
+
+    A step for each code of every file and none for each coefficient: the zeros that a code passes tell where it ends, the others
+    that lie between have a bit each, read at the end. A file isn't right if a code passes its block's end, or there is none."""
+    wide = own.shape[1]
+    there = own != 0
+    zero = np.ones(own.size + 16, bool)  # with some that no file has
+    np.equal(own.ravel(), 0, out=zero[:-16])
+    zero = np.flatnonzero(zero)
+    passed = np.searchsorted(zero, np.arange(0, own.size + 1, wide))  # zeros before each block
+    one = np.zeros(own.size - passed[-1], bool)  # bits of the others
+    window, limits = _window(stream), of[1:] * wide
+    right, wrong, stop = np.zeros(len(start), bool), np.zeros(len(start), bool), np.zeros(len(start), np.int64)
+    bit = lambda at: stream.take(at >> 3, mode="clip") >> (7 - (at & 7)) & 1
+
+    def read(codes: list[tuple]) -> None:
+        """What codes mean: of each its file, what it says, the first coefficient after the code before, the one after its last,
+        the zeros before the former, and where its corrections begin and end."""
+        file, code, f, till, z, begun, after = (np.concatenate(x) for x in zip(*codes))
+        limit = limits.take(file)
+        used = np.flatnonzero(f < limit)
+        if len(used) < len(f):
+            file, code, f, till, z, begun, after, limit = (x.take(used) for x in (file, code, f, till, z, begun, after, limit))
+        odd = (code >= NONE) | (code < ENDS) & (till > (f // wide + 1) * wide)
+        wrong[file[odd]] = True
+        full = np.flatnonzero(till == limit)
+        right[file[full]], stop[file[full]] = True, after[full]
+        count = after - begun
+        some = np.flatnonzero((count > 0) & ~odd)
+        count, first, from_ = count.take(some), f.take(some) - z.take(some), begun.take(some)
+        ahead = np.cumsum(count) - count
+        within = np.arange(ahead[-1] + count[-1] if len(some) else 0)
+        one[np.repeat(first - ahead, count) + within] = bit(np.repeat(from_ - ahead, count) + within)
+        new = np.flatnonzero((code & NEW > 0) & ~odd)
+        own.reshape(-1)[till.take(new) - 1] = (2 * bit(begun.take(new) - 1) - 1) << low
+
+    file = np.arange(len(start))
+    at, f, z, last = start, of[:-1] * wide, passed[of[:-1]], of[1:]
+    while len(file) >= FEW:
+        found = []
+        for _ in range(16):
+            code = table.refining.take(window.take(at >> 3, mode="clip") >> (16 - (at & 7)) & 0xFFFF)
+            zeros = code >> 8 & 15
+            begun, z2 = at + (code & 255), z + zeros
+            till = zero.take(z2, mode="clip")
+            after = begun + till
+            after -= f
+            after -= zeros
+            till += 1
+            z2 += 1
+            e = np.flatnonzero(code & ENDS)
+            if len(e):
+                n, b, g = zeros.take(e), begun.take(e), f.take(e)
+                block = np.minimum(g // wide + (1 << n) + _some(window, b, n), last.take(e))
+                b += n
+                t, past = block * wide, passed.take(block)
+                till[e], z2[e], begun[e] = t, past, b
+                after[e] = b + t - g - past + z.take(e)
+            found.append((file, code, f, till, z, begun, after))
+            at, f, z = after, till, z2
+        read(found)
+        on = f < last * wide
+        if not on.all():
+            file, at, f, z, last = file[on], at[on], f[on], z[on], last[on]
+    found = []
+    for i, *state in zip(file.tolist(), end[file].tolist(), at.tolist(), f.tolist(), z.tolist(), last.tolist()):
+        rest = _refine_one(table, window, zero, passed, wide, *state)
+        found.append((np.full(len(rest[0]), i), *rest))
+    if found:
+        read(found)
+    v = own[there]
+    own[there] = v + np.where(one & (np.abs(v) >> low & 1 == 0), np.sign(v) << low, v.dtype.type(0))
+    return right & ~wrong, stop
+
+
+def _refine_one(table: Table, window: np.ndarray, zero: np.ndarray, passed: np.ndarray, wide: int, stop: int, at: int, f: int, z: int, last: int) -> list[np.ndarray]:
+    """The rest of a file's codes for _refine: (what they say, coefficients they begin at, those after their last, zeros before the
+    former, bits their corrections begin and end at). It ends at whatever isn't right."""
+    base, byte, first = f // wide, at >> 3, f
+    zeros_left = zero[z : passed[last]].tolist() + [1 << 62] * 16
+    ahead = (passed[base : last + 1] - z).tolist()
+    stream, at = window[byte : (stop >> 3) + 8].tolist(), at - 8 * byte
+    codes, tills, passes, begun, after = [], [], [], [], []
+    n, end, b, z, begin = last - base, (base + 1) * wide, 0, 0, z
+    try:
+        while b < n:
+            code = table[stream[at >> 3] >> (16 - (at & 7)) & 0xFFFF]
+            zeros = code >> 4 & 15
+            if code & 15 or zeros == 15:
+                at += SPENT[code]
+                z += zeros
+                t = zeros_left[z]
+                if t >= end:
+                    break
+                z += 1
+                codes.append(NEW if code & 15 else 0)
+                passes.append(z)
+                begun.append(at)
+                at += t - f - zeros
+                f = t + 1
+                tills.append(f)
+                after.append(at)
+                if f == end:
+                    b += 1
+                    end += wide
+            else:
+                if code == 0:
+                    break
+                at += code >> 8
+                run = 1 << zeros
+                if zeros:
+                    run += stream[at >> 3] >> (32 - (at & 7) - zeros) & run - 1
+                    at += zeros
+                b = min(b + run, n)
+                t = (base + b) * wide
+                codes.append(ENDS)
+                begun.append(at)
+                tills.append(t)
+                at += t - f - ahead[b] + z
+                f, z = t, ahead[b]
+                passes.append(z)
+                after.append(at)
+                end = f + wide
+    except IndexError:
+        pass
+    codes, f, till, z, begun, after = (np.array(x, np.int64) for x in (codes, [first, *tills[:-1]] if tills else [], tills, [0, *passes[:-1]] if passes else [], begun, after))
+    return [codes, f, till, z + begin, begun + 8 * byte, after + 8 * byte]
 
 
 # --- writing -----------------------------------------------------------------------------------------------------------
@@ -573,23 +915,42 @@ def _blocks(p: np.ndarray, quant: np.ndarray) -> np.ndarray:
 
 
 def _padded(p: np.ndarray, h: int, w: int) -> np.ndarray:
-    return np.pad(p, ((0, h - p.shape[0]), (0, w - p.shape[1])), "edge")
+    return p.take(np.minimum(np.arange(h), p.shape[0] - 1), 0).take(np.minimum(np.arange(w), p.shape[1] - 1), 1)
 
 
-def _packed(value: np.ndarray, n: np.ndarray, stream: np.ndarray, streams: int) -> list[bytes]:
-    """The streams of numbers of n bits each, in order, filled up with ones to whole bytes."""
-    bits = np.bincount(stream, n, streams).astype(np.int64)
+def _packed(value: np.ndarray, n: np.ndarray, stream: np.ndarray, streams: int, more: np.ndarray | None = None, ones: np.ndarray | None = None) -> list[bytes]:
+    """The streams of numbers of n bits each, in order, filled up with ones to whole bytes. After each number there may be more
+    single bits, in order those of `ones`."""
+    wide = n if more is None else n + more
+    end = np.cumsum(wide)
+    count = np.bincount(stream, minlength=streams)
+    bits = np.diff(np.r_[0, end][np.r_[0, np.cumsum(count)]])
     size = (bits + 7) // 8
     begin = np.cumsum(size) - size
     pad = 8 * size - bits
-    # each number lies in one or two words of 64 bits
-    at = np.r_[np.cumsum(n) - n + np.repeat(8 * begin - (np.cumsum(bits) - bits), np.bincount(stream, minlength=streams)), 8 * begin + bits]
-    v, over = np.r_[value, (1 << pad) - 1].astype(np.uint64), (at & 63) + np.r_[n, pad] - 64
     words = np.zeros(int(size.sum()) // 8 + 2, np.uint64)
-    np.add.at(words, at >> 6, np.where(over > 0, v >> np.maximum(over, 0).astype(np.uint64), v << np.maximum(-over, 0).clip(0, 63).astype(np.uint64)))
-    two = over > 0
-    np.add.at(words, (at[two] >> 6) + 1, v[two] << (64 - over[two]).astype(np.uint64))
+
+    def put(value: np.ndarray, n: np.ndarray, at: np.ndarray) -> None:
+        """Numbers at increasing places: each lies in one or two words of 64 bits."""
+        value, word, left = value.astype(np.uint64), at >> 6, 64 - (at & 63) - n
+        if len(word):
+            first = np.r_[0, np.flatnonzero(word[1:] != word[:-1]) + 1]
+            own = value << np.maximum(left, 0).astype(np.uint64)
+            two = np.flatnonzero(left < 0)
+            over = -left[two]
+            own[two] = value[two] >> over.astype(np.uint64)
+            words[word[first]] |= np.bitwise_or.reduceat(own, first)
+            words[word[two] + 1] |= value[two] << (64 - over).astype(np.uint64)
+
+    at = end - wide + np.repeat(8 * begin - (np.cumsum(bits) - bits), count)
+    put(value, n, at)
+    some = np.flatnonzero(pad)  # with no bits there is no place either
+    put((1 << pad[some]) - 1, pad[some], 8 * begin[some] + bits[some])
     raw = words.astype(">u8").tobytes()
+    if more is not None and len(ones):
+        single = np.zeros(8 * len(raw), np.uint8)
+        single[np.repeat(at + n - np.cumsum(more) + more, more) + np.arange(len(ones))] = ones
+        raw = (np.frombuffer(raw, np.uint8) | np.packbits(single)).tobytes()
     return [raw[i : i + k].replace(b"\xff", b"\xff\x00") for i, k in zip(begin.tolist(), size.tolist())]
 
 
@@ -601,12 +962,14 @@ ZRL = np.array([0, 0xF0, 0xF0F0, 0xF0F0F0])
 def _write_ac(blocks: np.ndarray, page: np.ndarray, pages: int, spec: tuple) -> list[bytes]:
     """What _write_scan gives for each page's blocks, of all pages at once."""
     chosen, first, last, high, low = spec
-    wide, some = last - first + 1, blocks[:, first : last + 1]
+    wide, some = last - first + 1, np.ascontiguousarray(blocks[:, first : last + 1], np.int16).ravel()
     own = np.abs(some) >> low
-    new = own == 1 if high else own > 0
-    row, k = np.nonzero(new)
-    ahead = np.r_[False, row[1:] == row[:-1]] if len(row) else np.empty(0, bool)
-    before = np.where(ahead, np.r_[0, k[:-1]] if len(k) else k, -1)
+    fresh = own == 1 if high else own > 0
+    new = np.flatnonzero(fresh)  # places of coefficients, of all blocks in a row
+    row = new // wide
+    k = new - row * wide
+    ahead = np.diff(row, prepend=-1) == 0
+    before = np.where(ahead, np.r_[0, k[:-1]][: len(k)], -1)
     final = np.full(len(blocks), -1)
     final[row] = k
     # a run of blocks that end early begins where one has something new, or the one before ends late or is another page's
@@ -617,40 +980,50 @@ def _write_ac(blocks: np.ndarray, page: np.ndarray, pages: int, spec: tuple) ->
     run = np.bincount(group[early], minlength=len(at)).astype(np.int64)
     size = LENGTH[np.minimum(run, 65535)] - 1
     values, lengths, keys, hard = [size << 4 + size | run - (1 << size)], [8 + size], [2 * (64 * at + 63)], page[at[run >= 32767]].tolist()
-    sign = some[row, k] > 0
+    sign = some[new] > 0
     if not high:
-        zeros, v = k - before - 1, own[row, k]
+        zeros, v = k - before - 1, own[new].astype(np.int64)
         n = LENGTH[v]
         values.append(ZRL[zeros >> 4] << 8 + n | ((zeros & 15) << 4 | n) << n | np.where(sign, v, v ^ (1 << n) - 1))
         lengths.append(8 * (zeros >> 4) + 8 + n)
         keys.append(2 * (64 * row + k))
     else:
-        zero = np.cumsum(own == 0, 1)
-        zeros = zero[row, k] - np.where(before >= 0, zero[row, before], 0)
+        zero = own == 0
+        passed = np.zeros(len(own) + 1, np.int32)  # zeros before each coefficient
+        np.cumsum(zero, out=passed[1:])
+        since = passed[new - k + before + 1]
+        zeros = passed[new] - since
         values.append(((zeros & 15) << 4 | 1) << 1 | sign)
         lengths.append(np.full(len(row), 9))
         keys.append(2 * (64 * row + k))
         # each sixteenth zero since the last new one, before the final one
-        seen = np.zeros(own.shape, np.int64)
-        seen[row, k] = zero[row, k]
-        seen = zero - np.maximum.accumulate(seen, 1)
-        r, i = np.nonzero((own == 0) & (seen % 16 == 0) & (np.arange(wide) < final[:, None]))
+        n = zeros >> 4
+        far = np.repeat(since + 16 - 16 * (np.cumsum(n) - n), n) + 16 * np.arange(n.sum()) - 1
+        far = np.flatnonzero(zero)[far] if len(far) else far
+        r = far // wide
         values.append(np.full(len(r), 0xF0))
         lengths.append(np.full(len(r), 8))
-        keys.append(2 * (64 * r + i))
-        # corrections follow the next code of their block, or else its run
-        codes = np.sort(np.concatenate(keys[1:]))
-        r, i = np.nonzero(own > 1)
-        e = np.r_[codes, 1 << 62][np.searchsorted(codes, 2 * (64 * r + i))]
-        late = e >= 128 * (r + 1)
-        e[late] = 2 * (64 * at[group[r[late]]] + 63)
-        values.append(own[r, i] & 1)
-        lengths.append(np.ones(len(r), np.int64))
-        keys.append(e + 1)
-        hard += page[at[np.bincount(group[r[late]], minlength=len(at)) > 900]].tolist()
+        keys.append(2 * (far + (64 - wide) * r))
+        # corrections follow the next code of their block, or else its run: how many follow each, by keys
+        fresh[far] = True
+        codes = np.flatnonzero(fresh)
+        place = np.flatnonzero(own > 1)
+        ahead = np.cumsum(fresh, dtype=np.int32)[place]
+        r = place // wide
+        late = np.r_[codes, 1 << 60][ahead] >= wide * (r + 1)
+        follow = np.bincount(ahead[~late], minlength=len(codes))
+        runs = np.bincount(group[r[late]], minlength=len(at))
+        hard += page[at[runs > 900]].tolist()
+        ones = own[place] & 1
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
-    out = _packed(np.concatenate(values)[order], np.concatenate(lengths)[order], page[key[order] >> 7], pages)
+    more = None
+    if high:
+        # codes and runs lie between each other as in `key`
+        run_ = order < len(at)
+        more = np.empty(len(order), np.int64)
+        more[run_], more[~run_] = runs[order[run_]], follow
+    out = _packed(np.concatenate(values)[order], np.concatenate(lengths)[order], page[key[order] >> 7], pages, more, ones if high else None)
     for p in set(hard):  # very long runs and many corrections are cut
         out[p] = _write_scan(blocks[page == p].tolist(), spec)
     return out
@@ -688,7 +1061,7 @@ def encode_all(images: list[np.ndarray], quality: int = 75, halved: bool = True)
         my, mx = -(-y.shape[0] // (8 * f)), -(-y.shape[1] // (8 * f))
         planes = [_padded(p, 8 * f * my, 8 * f * mx) for p in (y, b, r)]
         if halved:
-            planes[1:] = [p.reshape(8 * my, 2, 8 * mx, 2).mean((1, 3)) for p in planes[1:]]
+            planes[1:] = [(p[::2, ::2] + p[::2, 1::2] + p[1::2, ::2] + p[1::2, 1::2]) / 4 for p in planes[1:]]
         quantised = [_blocks(p, quant).reshape(-1, 64) for p in planes]
         luma = quantised[0].reshape(my, f, mx, f, 64)
         dc.append(np.concatenate([luma[..., 0].transpose(0, 2, 1, 3).reshape(my * mx, f * f), quantised[1][:, :1], quantised[2][:, :1]], 1))
@@ -719,8 +1092,10 @@ def picture(url: str, html: str) -> np.ndarray:
     shade = np.zeros(h * w)
     shade[: len(raw)] = raw
     tint = np.frombuffer(hashlib.sha256(url.encode("utf-8", "surrogatepass")).digest()[:6], np.uint8) / 255 - 0.5
-    ramp = np.linspace(0, 1, w)[None, :, None] * tint[:3] + np.linspace(0, 1, h)[:, None, None] * tint[3:]
-    return (shade.reshape(h, w, 1) + 40 * ramp).clip(0, 255).astype(np.uint8)
+    out = np.linspace(0, 1, w)[None, :, None] * tint[:3] + np.linspace(0, 1, h)[:, None, None] * tint[3:]
+    out *= 40
+    out += shade.reshape(h, w, 1)
+    return out.clip(0, 255, out=out).astype(np.uint8)
 
 
 # --- tables ------------------------------------------------------------------------------------------------------------
@@ -756,19 +1131,14 @@ def tensors(media: DataFrame, key: str = "page_id", image: str = "image") -> Dat
 
     def run(batches):
         for batch in batches:
-            h, w, rgb, error = [], [], [], []
-            for data in batch["image"]:
-                x, why = None, None
-                if (data := data.as_py()) is not None:
-                    try:
-                        x = decode(data)
-                    except Corrupt as e:
-                        why = str(e) or "corrupt"
-                h.append(x.shape[0] if x is not None else None)
-                w.append(x.shape[1] if x is not None else None)
-                rgb.append(x.tobytes() if x is not None else None)
-                error.append(why)
-            yield pa.record_batch([batch["key"], pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(rgb, pa.binary()), pa.array(error, pa.string())], [key, "height", "width", "rgb", "error"])
+            files = batch["image"].to_pylist()
+            ends = np.cumsum([len(data or b"") for data in files]) // AT_ONCE
+            for begin, n in zip(*np.unique(ends, return_index=True, return_counts=True)[1:]):
+                some = files[begin : begin + n]
+                read = iter(decode_all([data for data in some if data is not None]))
+                found = [None if data is None else next(read) for data in some]
+                h, w, rgb, error = zip(*((None, None, None, x and (str(x) or "corrupt")) if x is None or isinstance(x, Corrupt) else (*x.shape[:2], x.tobytes(), None) for x in found))
+                yield pa.record_batch([batch["key"][begin : begin + n], pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(rgb, pa.binary()), pa.array(error, pa.string())], [key, "height", "width", "rgb", "error"])
 
     some = media.select(F.col(key).cast("bigint").alias("key"), F.col(image).cast("binary").alias("image"))
     return some.mapInArrow(run, f"{key} bigint, height int, width int, rgb binary, error string")
