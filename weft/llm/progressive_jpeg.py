@@ -31,8 +31,8 @@ SPENT = [(code >> 8) + (code & 15 > 0) for code in range(17 << 8)]
 #: The largest coefficient of files that are read at once.
 MOST = (1 << 15) - 1
 #: What a refining code is: of a new coefficient, one that ends blocks, none.
-NEW, ENDS, NONE = 1 << 12, 1 << 13, 1 << 14
-#: Pixels or bytes of files that are read at once, and the number of files below which a step in Python for each is faster.
+NEW, ENDS, NONE = 1 << 8, 1 << 9, 1 << 10
+#: Pixels of files that are read at once (they are taken from eight times as many bytes), and the number of files below which a step in Python for each is faster.
 AT_ONCE, FEW = 5 << 20, 32
 
 
@@ -78,10 +78,10 @@ class Table(list):
 
     @cached_property
     def refining(self) -> np.ndarray:
-        """Of each prefix what it says in a refining scan: NEW, ENDS or NONE, zeros passed << 8 and bits spent."""
+        """Of each prefix what it says in a refining scan: zeros passed << 11, NEW, ENDS or NONE, and bits spent."""
         code = self.numbers
         zeros, size = code >> 4 & 15, code & 15
-        return np.where(size > 0, NEW, np.where(zeros < 15, ENDS, 0)) | np.where(code == 0, NONE, 0) | zeros << 8 | np.array(SPENT)[code]
+        return np.where(size > 0, NEW, np.where(zeros < 15, ENDS, 0)) | np.where(code == 0, NONE, 0) | zeros << 11 | np.array(SPENT)[code]
 
 
 @cache
@@ -449,9 +449,10 @@ def decode_all(files: list[bytes]) -> list[np.ndarray | Corrupt]:
     """decode() of several files; of those it raises Corrupt for, the error."""
     out: list = [None] * len(files)
     alike, shapes = defaultdict(list), defaultdict(list)
-    for i, data in enumerate(files):
+    # those of about the same length take about as many steps
+    for i in sorted(range(len(files)), key=lambda i: -len(files[i])):
         try:
-            d = Decoder(data, wait=True)
+            d = Decoder(files[i], wait=True)
             if _plain(d):
                 alike[_signature(d)].append((i, d))
         except Corrupt:
@@ -687,19 +688,19 @@ def _refine(table: Table, stream: np.ndarray, own: np.ndarray, start: np.ndarray
 
     def read(codes: list[tuple]) -> None:
         """What codes mean: of each its file, what it says, the first coefficient after the code before, the one after its last,
-        the zeros before the former, and where its corrections begin and end."""
-        file, code, f, till, z, begun, after = (np.concatenate(x) for x in zip(*codes))
+        the others that aren't zero before the former, and where its corrections begin and end."""
+        file, code, f, till, first, begun, after = (np.concatenate(x) for x in zip(*codes))
         limit = limits.take(file)
         used = np.flatnonzero(f < limit)
         if len(used) < len(f):
-            file, code, f, till, z, begun, after, limit = (x.take(used) for x in (file, code, f, till, z, begun, after, limit))
-        odd = (code >= NONE) | (code < ENDS) & (till > (f // wide + 1) * wide)
+            file, code, f, till, first, begun, after, limit = (x.take(used) for x in (file, code, f, till, first, begun, after, limit))
+        odd = (code & NONE > 0) | (code & ENDS == 0) & (till > (f // wide + 1) * wide)
         wrong[file[odd]] = True
         full = np.flatnonzero(till == limit)
         right[file[full]], stop[file[full]] = True, after[full]
         count = after - begun
         some = np.flatnonzero((count > 0) & ~odd)
-        count, first, from_ = count.take(some), f.take(some) - z.take(some), begun.take(some)
+        count, first, from_ = count.take(some), first.take(some), begun.take(some)
         ahead = np.cumsum(count) - count
         within = np.arange(ahead[-1] + count[-1] if len(some) else 0)
         one[np.repeat(first - ahead, count) + within] = bit(np.repeat(from_ - ahead, count) + within)
@@ -708,32 +709,41 @@ def _refine(table: Table, stream: np.ndarray, own: np.ndarray, start: np.ndarray
 
     file = np.arange(len(start))
     at, f, z, last = start, of[:-1] * wide, passed[of[:-1]], of[1:]
+    c = f - z
     while len(file) >= FEW:
         found = []
         for _ in range(16):
             code = table.refining.take(window.take(at >> 3, mode="clip") >> (16 - (at & 7)) & 0xFFFF)
-            zeros = code >> 8 & 15
-            begun, z2 = at + (code & 255), z + zeros
+            z2, begun = z + (code >> 11), at + (code & 255)
             till = zero.take(z2, mode="clip")
-            after = begun + till
-            after -= f
-            after -= zeros
+            c2 = till - z2
+            after = begun + c2
+            after -= c
             till += 1
             z2 += 1
-            e = np.flatnonzero(code & ENDS)
+            e = (code & ENDS).nonzero()[0]
             if len(e):
-                n, b, g = zeros.take(e), begun.take(e), f.take(e)
-                block = np.minimum(g // wide + (1 << n) + _some(window, b, n), last.take(e))
-                b += n
-                t, past = block * wide, passed.take(block)
-                till[e], z2[e], begun[e] = t, past, b
-                after[e] = b + t - g - past + z.take(e)
-            found.append((file, code, f, till, z, begun, after))
-            at, f, z = after, till, z2
+                block = f.take(e) // wide
+                block += 1
+                n = code.take(e) >> 11
+                if n.any():
+                    b = begun.take(e)
+                    block = np.minimum(block + (1 << n) - 1 + _some(window, b, n), last.take(e))
+                    b += n
+                    begun[e] = b
+                t, past = block * wide, passed.take(block, mode="clip")
+                till[e], z2[e] = t, past
+                t -= past
+                c2[e] = t
+                t += begun.take(e)
+                t -= c.take(e)
+                after[e] = t
+            found.append((file, code, f, till, c, begun, after))
+            at, f, z, c = after, till, z2, c2
         read(found)
         on = f < last * wide
         if not on.all():
-            file, at, f, z, last = file[on], at[on], f[on], z[on], last[on]
+            file, at, f, z, c, last = file[on], at[on], f[on], z[on], c[on], last[on]
     found = []
     for i, *state in zip(file.tolist(), end[file].tolist(), at.tolist(), f.tolist(), z.tolist(), last.tolist()):
         rest = _refine_one(table, window, zero, passed, wide, *state)
@@ -746,13 +756,13 @@ def _refine(table: Table, stream: np.ndarray, own: np.ndarray, start: np.ndarray
 
 
 def _refine_one(table: Table, window: np.ndarray, zero: np.ndarray, passed: np.ndarray, wide: int, stop: int, at: int, f: int, z: int, last: int) -> list[np.ndarray]:
-    """The rest of a file's codes for _refine: (what they say, coefficients they begin at, those after their last, zeros before the
-    former, bits their corrections begin and end at). It ends at whatever isn't right."""
+    """The rest of a file's codes for _refine: (what they say, coefficients they begin at, those after their last, those that aren't
+    zero before the former, bits their corrections begin and end at). It ends at whatever isn't right."""
     base, byte, first = f // wide, at >> 3, f
     zeros_left = zero[z : passed[last]].tolist() + [1 << 62] * 16
     ahead = (passed[base : last + 1] - z).tolist()
     stream, at = window[byte : (stop >> 3) + 8].tolist(), at - 8 * byte
-    codes, tills, passes, begun, after = [], [], [], [], []
+    codes, tills, passes, begun = [], [], [], []
     n, end, b, z, begin = last - base, (base + 1) * wide, 0, 0, z
     try:
         while b < n:
@@ -766,12 +776,11 @@ def _refine_one(table: Table, window: np.ndarray, zero: np.ndarray, passed: np.n
                     break
                 z += 1
                 codes.append(NEW if code & 15 else 0)
-                passes.append(z)
                 begun.append(at)
+                passes.append(z)
                 at += t - f - zeros
                 f = t + 1
                 tills.append(f)
-                after.append(at)
                 if f == end:
                     b += 1
                     end += wide
@@ -791,12 +800,15 @@ def _refine_one(table: Table, window: np.ndarray, zero: np.ndarray, passed: np.n
                 at += t - f - ahead[b] + z
                 f, z = t, ahead[b]
                 passes.append(z)
-                after.append(at)
                 end = f + wide
     except IndexError:
         pass
-    codes, f, till, z, begun, after = (np.array(x, np.int64) for x in (codes, [first, *tills[:-1]] if tills else [], tills, [0, *passes[:-1]] if passes else [], begun, after))
-    return [codes, f, till, z + begin, begun + 8 * byte, after + 8 * byte]
+    # at the end of code and place there may be one more than of the others
+    code, till, z, begun = (np.array(x[: len(tills)], np.int64) for x in (codes, tills, passes, begun))
+    f = np.r_[first, till][:-1]
+    c = f - np.r_[0, z][:-1] - begin
+    begun += 8 * byte
+    return [code, f, till, c, begun, begun + till - z - begin - c]
 
 
 # --- writing -----------------------------------------------------------------------------------------------------------
@@ -911,19 +923,20 @@ def _blocks(p: np.ndarray, quant: np.ndarray) -> np.ndarray:
     """A component's quantised coefficients from its samples, whose sides are multiples of 8."""
     h, w = p.shape[0] // 8, p.shape[1] // 8
     f = COSINE.T @ (p - 128).reshape(h, 8, w, 8).transpose(0, 2, 1, 3) @ COSINE
-    return np.rint(f.reshape(h, w, 64)[:, :, ZIGZAG] / quant).astype(np.int64)
+    f = f.reshape(h, w, 64).take(ZIGZAG, 2)
+    f /= quant
+    return np.rint(f, out=f).astype(np.int64)
 
 
 def _padded(p: np.ndarray, h: int, w: int) -> np.ndarray:
     return p.take(np.minimum(np.arange(h), p.shape[0] - 1), 0).take(np.minimum(np.arange(w), p.shape[1] - 1), 1)
 
 
-def _packed(value: np.ndarray, n: np.ndarray, stream: np.ndarray, streams: int, more: np.ndarray | None = None, ones: np.ndarray | None = None) -> list[bytes]:
-    """The streams of numbers of n bits each, in order, filled up with ones to whole bytes. After each number there may be more
-    single bits, in order those of `ones`."""
+def _packed(value: np.ndarray, n: np.ndarray, count: np.ndarray, more: np.ndarray | None = None, ones: np.ndarray | None = None) -> list[bytes]:
+    """The streams of numbers of n bits each, in order and so many in each, filled up with ones to whole bytes. After each number
+    there may be more single bits, in order those of `ones`."""
     wide = n if more is None else n + more
     end = np.cumsum(wide)
-    count = np.bincount(stream, minlength=streams)
     bits = np.diff(np.r_[0, end][np.r_[0, np.cumsum(count)]])
     size = (bits + 7) // 8
     begin = np.cumsum(size) - size
@@ -964,8 +977,9 @@ def _write_ac(blocks: np.ndarray, page: np.ndarray, pages: int, spec: tuple) ->
     chosen, first, last, high, low = spec
     wide, some = last - first + 1, np.ascontiguousarray(blocks[:, first : last + 1], np.int16).ravel()
     own = np.abs(some) >> low
-    fresh = own == 1 if high else own > 0
-    new = np.flatnonzero(fresh)  # places of coefficients, of all blocks in a row
+    there = np.flatnonzero(own)  # places of coefficients, of all blocks in a row
+    fresh = own[there] == 1 if high else None
+    new = there[fresh] if high else there
     row = new // wide
     k = new - row * wide
     ahead = np.diff(row, prepend=-1) == 0
@@ -988,27 +1002,25 @@ def _write_ac(blocks: np.ndarray, page: np.ndarray, pages: int, spec: tuple) ->
         lengths.append(8 * (zeros >> 4) + 8 + n)
         keys.append(2 * (64 * row + k))
     else:
-        zero = own == 0
-        passed = np.zeros(len(own) + 1, np.int32)  # zeros before each coefficient
-        np.cumsum(zero, out=passed[1:])
-        since = passed[new - k + before + 1]
-        zeros = passed[new] - since
+        # zeros before each new one, and before what came before it
+        passed = new - np.flatnonzero(fresh)
+        since = np.where(ahead, np.r_[0, passed[:-1]][: len(passed)], row * wide - np.searchsorted(there, row * wide)) if len(row) else passed
+        zeros = passed - since
         values.append(((zeros & 15) << 4 | 1) << 1 | sign)
         lengths.append(np.full(len(row), 9))
         keys.append(2 * (64 * row + k))
         # each sixteenth zero since the last new one, before the final one
         n = zeros >> 4
         far = np.repeat(since + 16 - 16 * (np.cumsum(n) - n), n) + 16 * np.arange(n.sum()) - 1
-        far = np.flatnonzero(zero)[far] if len(far) else far
+        far = np.flatnonzero(own == 0)[far] if len(far) else far
         r = far // wide
         values.append(np.full(len(r), 0xF0))
         lengths.append(np.full(len(r), 8))
         keys.append(2 * (far + (64 - wide) * r))
         # corrections follow the next code of their block, or else its run: how many follow each, by keys
-        fresh[far] = True
-        codes = np.flatnonzero(fresh)
-        place = np.flatnonzero(own > 1)
-        ahead = np.cumsum(fresh, dtype=np.int32)[place]
+        codes = np.sort(np.r_[new, far])
+        place = there[~fresh]
+        ahead = np.cumsum(fresh)[~fresh] + (np.searchsorted(far, place) if len(far) else 0)
         r = place // wide
         late = np.r_[codes, 1 << 60][ahead] >= wide * (r + 1)
         follow = np.bincount(ahead[~late], minlength=len(codes))
@@ -1023,7 +1035,7 @@ def _write_ac(blocks: np.ndarray, page: np.ndarray, pages: int, spec: tuple) ->
         run_ = order < len(at)
         more = np.empty(len(order), np.int64)
         more[run_], more[~run_] = runs[order[run_]], follow
-    out = _packed(np.concatenate(values)[order], np.concatenate(lengths)[order], page[key[order] >> 7], pages, more, ones if high else None)
+    out = _packed(np.concatenate(values)[order], np.concatenate(lengths)[order], np.diff(np.searchsorted(key[order], 128 * np.searchsorted(page, np.arange(pages + 1)))), more, ones if high else None)
     for p in set(hard):  # very long runs and many corrections are cut
         out[p] = _write_scan(blocks[page == p].tolist(), spec)
     return out
@@ -1033,7 +1045,7 @@ def _write_dc(values: list[np.ndarray], high: int, low: int) -> list[bytes]:
     """DC scans of pages: of each an array of MCUs by blocks, luma first, and the last two of chroma."""
     if high:
         flat = np.concatenate([v.ravel() for v in values]) >> low & 1
-        return _packed(flat, np.ones(len(flat), np.int64), np.repeat(np.arange(len(values)), [v.size for v in values]), len(values))
+        return _packed(flat, np.ones(len(flat), np.int64), np.array([v.size for v in values]))
     steps = []
     for v in values:
         v = v >> low
@@ -1041,7 +1053,7 @@ def _write_dc(values: list[np.ndarray], high: int, low: int) -> list[bytes]:
         steps.append(np.concatenate([np.diff(luma.ravel(), prepend=0).reshape(luma.shape), np.diff(v[:, -2:], axis=0, prepend=0)], 1).ravel())
     d = np.concatenate(steps)
     n = LENGTH[np.abs(d)]
-    return _packed(n << n | np.where(d > 0, d, d + (1 << n) - 1), 4 + n, np.repeat(np.arange(len(values)), [len(x) for x in steps]), len(values))
+    return _packed(n << n | np.where(d > 0, d, d + (1 << n) - 1), 4 + n, np.array([len(x) for x in steps]))
 
 
 def encode(rgb: np.ndarray, quality: int = 75, halved: bool = True) -> tuple[bytes, list[np.ndarray]]:
@@ -1092,10 +1104,13 @@ def picture(url: str, html: str) -> np.ndarray:
     shade = np.zeros(h * w)
     shade[: len(raw)] = raw
     tint = np.frombuffer(hashlib.sha256(url.encode("utf-8", "surrogatepass")).digest()[:6], np.uint8) / 255 - 0.5
-    out = np.linspace(0, 1, w)[None, :, None] * tint[:3] + np.linspace(0, 1, h)[:, None, None] * tint[3:]
-    out *= 40
-    out += shade.reshape(h, w, 1)
-    return out.clip(0, 255, out=out).astype(np.uint8)
+    shade, x, y, out = shade.reshape(h, w), np.linspace(0, 1, w), np.linspace(0, 1, h)[:, None], np.empty((h, w, 3), np.uint8)
+    for k in range(3):
+        p = x * tint[k] + y * tint[3 + k]
+        p *= 40
+        p += shade
+        out[:, :, k] = p.clip(0, 255, out=p)
+    return out
 
 
 # --- tables ------------------------------------------------------------------------------------------------------------
@@ -1132,7 +1147,7 @@ def tensors(media: DataFrame, key: str = "page_id", image: str = "image") -> Dat
     def run(batches):
         for batch in batches:
             files = batch["image"].to_pylist()
-            ends = np.cumsum([len(data or b"") for data in files]) // AT_ONCE
+            ends = np.cumsum([len(data or b"") for data in files]) // (8 * AT_ONCE)
             for begin, n in zip(*np.unique(ends, return_index=True, return_counts=True)[1:]):
                 some = files[begin : begin + n]
                 read = iter(decode_all([data for data in some if data is not None]))
