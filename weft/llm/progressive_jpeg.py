@@ -32,8 +32,8 @@ SPENT = [(code >> 8) + (code & 15 > 0) for code in range(17 << 8)]
 MOST = (1 << 15) - 1
 #: What a refining code is: of a new coefficient, one that ends blocks, none.
 NEW, ENDS, NONE = 1 << 8, 1 << 9, 1 << 10
-#: Pixels of files that are read at once (they are taken from eight times as many bytes), and the number of files below which a step in Python for each is faster.
-AT_ONCE, FEW = 5 << 20, 32
+#: Pixels of files that are read at once (they are taken from four times as many bytes), and the number of files below which a step in Python for each is faster.
+AT_ONCE, FEW = 1 << 23, 32
 
 
 class Corrupt(ValueError):
@@ -1116,11 +1116,16 @@ def picture(url: str, html: str) -> np.ndarray:
 # --- tables ------------------------------------------------------------------------------------------------------------
 
 
-def render(pages: DataFrame, quality: int = 75) -> DataFrame:
-    """(page_id, image): for each row of pages (page_id, url, html) a progressive JPEG of picture(); null url and html count as
-    empty."""
+def _keep_memory() -> None:
+    """After a large array is freed, the allocator keeps memory of that size instead of giving it back after every step."""
+    np.empty((1 << 25) - (1 << 16), np.uint8)
+
+
+def _written(quality: int):
+    """Of batches (page_id, url, html) those of render()."""
 
     def run(batches):
+        _keep_memory()
         for batch in batches:
             made, held, size = [], [], 0
             for u, h in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
@@ -1133,32 +1138,48 @@ def render(pages: DataFrame, quality: int = 75) -> DataFrame:
                 made += [data for data, _ in encode_all(held, quality)]
             yield pa.record_batch([batch["page_id"], pa.array(made, pa.binary())], ["page_id", "image"])
 
-    some = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return some.mapInArrow(run, "page_id bigint, image binary")
+    return run
 
 
-def tensors(media: DataFrame, key: str = "page_id", image: str = "image") -> DataFrame:
-    """(key, height, width, rgb, error) for every row of media: rgb is height x width x 3 bytes, row by row.
-
-    A null image gives nulls; one that can't be read gives nulls and says why in error. Repeated rows and null keys give a row
-    each, an empty table an empty one; other columns aren't read. A narrow pass: no shuffle.
-    """
+def _read(key: str):
+    """Of batches (a key, image) those of tensors()."""
 
     def run(batches):
+        _keep_memory()
         for batch in batches:
             files = batch["image"].to_pylist()
-            ends = np.cumsum([len(data or b"") for data in files]) // (8 * AT_ONCE)
+            ends = np.cumsum([len(data or b"") for data in files]) // (4 * AT_ONCE)
             for begin, n in zip(*np.unique(ends, return_index=True, return_counts=True)[1:]):
                 some = files[begin : begin + n]
                 read = iter(decode_all([data for data in some if data is not None]))
                 found = [None if data is None else next(read) for data in some]
                 h, w, rgb, error = zip(*((None, None, None, x and (str(x) or "corrupt")) if x is None or isinstance(x, Corrupt) else (*x.shape[:2], x.tobytes(), None) for x in found))
-                yield pa.record_batch([batch["key"][begin : begin + n], pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(rgb, pa.binary()), pa.array(error, pa.string())], [key, "height", "width", "rgb", "error"])
+                yield pa.record_batch([batch[0][begin : begin + n], pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(rgb, pa.binary()), pa.array(error, pa.string())], [key, "height", "width", "rgb", "error"])
+
+    return run
+
 
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+
+
+def render(pages: DataFrame, quality: int = 75) -> DataFrame:
+    """(page_id, image): for each row of pages (page_id, url, html) a progressive JPEG of picture(); null url and html count as
+    empty."""
+    return _pages(pages).mapInArrow(_written(quality), "page_id bigint, image binary")
+
+
+def tensors(media: DataFrame, key: str = "page_id", image: str = "image") -> DataFrame:
+    """(key, height, width, rgb, error) for every row of media: rgb is height x width x 3 bytes, row by row.
+
+    A null image gives nulls; one that can't be read gives nulls and says why in error. Repeated rows and null keys give a row
+    each, an empty table an empty one; other columns aren't read. A narrow pass: no shuffle.
+    """
     some = media.select(F.col(key).cast("bigint").alias("key"), F.col(image).cast("binary").alias("image"))
-    return some.mapInArrow(run, f"{key} bigint, height int, width int, rgb binary, error string")
+    return some.mapInArrow(_read(key), f"{key} bigint, height int, width int, rgb binary, error string")
 
 
-def page_tensors(pages: DataFrame) -> DataFrame:
-    """The tensors of the pictures of all pages: each is written as a progressive JPEG and read again."""
-    return tensors(render(pages))
+def page_tensors(pages: DataFrame, quality: int = 75) -> DataFrame:
+    """The tensors of the pictures of all pages: each is written as a progressive JPEG and read again, in the same worker."""
+    write, read = _written(quality), _read("page_id")
+    return _pages(pages).mapInArrow(lambda batches: read(write(batches)), "page_id bigint, height int, width int, rgb binary, error string")
