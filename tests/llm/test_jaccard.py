@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -156,3 +157,52 @@ def test_common_grams_of_no_pair_send_no_texts(spark, monkeypatch):
     assert found["candidates"] > 2000 and found["spread"] <= 100
     monkeypatch.setattr(J, "MIDDLE", 12)  # some are left to pairs
     assert sorted(tuple(r) for r in J.jaccard_links(docs).collect()) == want
+
+
+def test_tasks_are_bounded_by_grams_and_text(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    long, line = [str(rng.randrange(10**5)) for _ in range(1000)], [str(rng.randrange(10**5)) for _ in range(60)]
+    for i in range(40):  # near copies of a long text, and texts of few n-grams that are as long
+        k = rng.randrange(990)
+        rows.append((i, " ".join([*long[:k], str(i), *long[k:]])))
+        k = rng.randrange(58)
+        rows.append((100 + i, " ".join([*line[:k], str(i), *line[k:]] * 16)))
+    rows += [(200, " ".join(long[:700] * 20)), (0, rows[-1][1])]  # larger than a block; a repeated id
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(J, "CELL", 10_000, raising=False)
+    found, written = {}, J.written
+    monkeypatch.setattr(J, "written", lambda df, name: found.update({name: written(df, name)}) or found[name])
+    links = J.jaccard_links(docs)
+    size = {i: max(len(grams(x)), len(x) // 8) for i, x in rows}
+    tasks, blocks = {}, {}
+    for r in written(links, "links") and found["spread"].collect():
+        tasks.setdefault((r.p, r.i, r.j), []).append(size[r.x])
+        blocks.setdefault(r.p, set()).add(r.block)
+    assert max(sum(t) - 2 * max(t) for t in tasks.values()) <= 10_000 and max(map(len, blocks.values())) > 3
+    assert all(b == set(range(len(b))) for b in blocks.values())  # none is empty
+    assert sorted(tuple(r) for r in links.collect()) == links_of(rows)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pairs_of_two_sides(seed, monkeypatch):
+    monkeypatch.setattr(J, "LEAF", 4)
+    rng, sets = random.Random(seed), []
+    for _ in range(5):
+        base = [rng.randrange(10**6) for _ in range(rng.randrange(1, 60))]
+        sets += [{x if rng.random() > 0.08 else rng.randrange(10**6) for x in base} for _ in range(rng.randrange(1, 40))]
+    side, out = np.array([rng.random() < 0.4 for _ in sets]), []
+    J._join(J.Cell([np.array(sorted(s), np.uint64) for s in sets]), np.arange(len(sets)), 0.6, lambda a, b, o, u: out.extend(zip(a.tolist(), b.tolist(), o.tolist(), u.tolist())), side=side)
+    assert sorted((min(i, j), max(i, j), o, u) for i, j, o, u in out) == [x for x in brute(sets, 0.6) if side[x[0]] != side[x[1]]]
+
+
+def test_memory_of_a_cell():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(3000) < 0.02, rng.integers(0, 1 << 63, 3000).astype(np.uint64), base)) for _ in range(400)]
+    n = sum(map(len, sets))
+    tracemalloc.start()
+    cell = J.Cell(sets)
+    cell.distances(np.arange(400), np.array([0]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / n < 40

@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ SHARED, SMALL = 16, 8
 #: n-grams whose frequency the order of n-grams knows; bits of the table of others that occur OFTEN at least, as a logarithm, and how many it has for each
 #: while it is smaller.
 GRAMS, TABLE, SPARSE, OFTEN = 1 << 20, 28, 16, 3
-#: Documents joined at once in a cell; documents of a region that one task joins.
-LEAF, REGION = 512, 20_000
+#: Documents joined at once in a cell; documents of a region that one task joins; n-grams of theirs, eight bytes of text counting as one at least.
+LEAF, REGION, CELL = 512, 20_000, 1 << 21
+#: n-grams of a cell that are looked at at once.
+PART = 1 << 18
 #: n-grams that a task holds before it sends them on.
 HELD = 500_000
 #: n-grams that two pivots share in their prefixes for their regions to be one.
@@ -375,7 +378,7 @@ def _mark(grams: np.ndarray) -> bytes:
 
 
 def _sized(n: int):
-    """(v, mark, m): of each document the mark and the size of its set."""
+    """(v, mark, m, cost): of each document the mark and the size of its set, and what counts of it for CELL."""
 
     def run(batches):
         for batch in batches:
@@ -383,7 +386,9 @@ def _sized(n: int):
             for _, some in _blocks(batch):
                 block = Block(some, n)
                 sets += [(_mark(s), len(s)) for s in block.sets(block.gram_hashes())]
-            yield pa.record_batch([batch["doc_id"], pa.array([x for x, _ in sets], pa.binary()), pa.array([m for _, m in sets], pa.int64())], ["v", "mark", "m"])
+            m = np.array([m for _, m in sets], np.int64)
+            cost = np.maximum(m, pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 8)
+            yield pa.record_batch([batch["doc_id"], pa.array([x for x, _ in sets], pa.binary()), pa.array(m), pa.array(cost)], ["v", "mark", "m", "cost"])
 
     return run
 
@@ -405,15 +410,25 @@ def _marked(n: int):
 class Cell:
     """Sets that may be joined with each other, as an incidence of documents and the n-grams that several of them have."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], free: bool = False):
+        """free: sets is emptied as soon as it is copied."""
         self.size = np.array([len(s) for s in sets], np.int64)
-        doc = np.repeat(np.arange(len(sets)), self.size)
-        grams, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        several = n > 1
-        number = np.cumsum(several) - 1
-        keep = several[inverse]
-        self.doc, self.gram, self.grams = doc[keep], number[inverse[keep]], int(several.sum())
-        self.ends = np.searchsorted(self.doc, np.arange(len(sets) + 1))
+        key = np.concatenate(sets)
+        if free:
+            sets.clear()
+        # np.unique with what it returns takes several times the memory
+        order = np.argsort(key).astype(np.int32 if len(key) < 1 << 31 else np.int64)
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        del key
+        several = np.diff(np.r_[np.flatnonzero(new), len(new)]) > 1
+        number = np.where(several, np.cumsum(several) - 1, -1).astype(np.int32)
+        gram = np.empty(len(order), np.int32)
+        gram[order] = number[np.cumsum(new, dtype=np.int32) - 1]
+        del order, new
+        keep = gram >= 0
+        self.gram, self.grams = gram[keep], int(several.sum())
+        self.ends = np.r_[0, np.cumsum(keep)][np.r_[0, np.cumsum(self.size)]]
 
     def part(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of docs, n-gram) of some documents."""
@@ -423,16 +438,18 @@ class Cell:
 
     def overlaps(self, a: np.ndarray, b: np.ndarray, wide: int = 4096) -> np.ndarray:
         """Sizes of the intersections of documents a with documents b, by products of dense blocks of the incidence."""
-        (ra, ga), (rb, gb) = self.part(a), self.part(b)
+        rb, gb = self.part(b)
         if len(b) <= 16:
             out = np.zeros((len(a), len(b)), np.int64)
-            own = np.zeros(self.grams, bool)
-            for j in range(len(b)):
-                mine = gb[rb == j]
-                own[mine] = True
-                out[:, j] = np.bincount(ra[own[ga]], minlength=len(a))
-                own[mine] = False
+            own = np.zeros((len(b), self.grams), bool)
+            own[rb, gb] = True
+            upto = np.cumsum(self.ends[a + 1] - self.ends[a])
+            for at in np.split(np.arange(len(a)), np.flatnonzero(np.diff(upto // PART)) + 1):
+                ra, ga = self.part(a[at])
+                for j in range(len(b)):
+                    out[at, j] = np.bincount(ra[own[j][ga]], minlength=len(at))
             return out
+        ra, ga = self.part(a)
         # only n-grams that both sides have matter
         has = [np.zeros(self.grams, bool) for _ in range(2)]
         has[0][ga], has[1][gb] = True, True
@@ -440,7 +457,9 @@ class Cell:
         number = np.cumsum(both) - 1
         ra, rb, ga, gb = ra[both[ga]], rb[both[gb]], number[ga[both[ga]]], number[gb[both[gb]]]
         out = np.zeros((len(a), len(b)), np.float32)
-        for at in range(0, int(both.sum()), wide):
+        if (several := int(both.sum())) < wide:
+            wide = max(1, several)
+        for at in range(0, several, wide):
             x, y = (np.zeros((len(d), wide), np.float32) for d in (a, b))
             for z, r, g in ((x, ra, ga), (y, rb, gb)):
                 some = (g >= at) & (g < at + wide)
@@ -454,34 +473,39 @@ class Cell:
         return 1 - o / (self.size[docs][:, None] + self.size[pivots][None] - o)
 
 
-def _leaf(cell: Cell, docs: np.ndarray, near: np.ndarray, least: float, tell) -> None:
-    """All pairs of docs; blocks in order of the distance to a pivot, and pairs of blocks that lie apart are left out."""
-    order = np.argsort(near, kind="stable")
+def _leaf(cell: Cell, docs: np.ndarray, near: np.ndarray, least: float, tell, side: np.ndarray | None = None) -> None:
+    """All pairs of docs, or those of both sides; blocks in order of the distance to a pivot, and pairs of blocks that lie apart are
+    left out."""
+    order, r = np.argsort(near, kind="stable"), 1 - least + 1e-9
     docs, near = docs[order], near[order]
-    for i in range(0, len(docs), LEAF):
-        a = docs[i : i + LEAF]
-        for j in range(i, len(docs), LEAF):
-            if near[j] - near[min(i + LEAF, len(docs)) - 1] > 1 - least + 1e-9:
+    halves = [(docs, near)] * 2 if side is None else [(docs[side[docs] == k], near[side[docs] == k]) for k in (False, True)]
+    (first, d), (second, e) = halves
+    for i in range(0, len(first), LEAF):
+        a = first[i : i + LEAF]
+        for j in range(i if side is None else 0, len(second), LEAF):
+            b = second[j : j + LEAF]
+            if e[j] - d[i + len(a) - 1] > r:
                 break
-            b = docs[j : j + LEAF]
+            if d[i] - e[j + len(b) - 1] > r:
+                continue
             o = cell.overlaps(a, b)
             u = cell.size[a][:, None] + cell.size[b][None] - o
             x, y = np.nonzero(o >= np.ceil(u * least - 1e-9))
-            ok = (x < y) if i == j else np.ones(len(x), bool)
+            ok = (x < y) if side is None and i == j else np.ones(len(x), bool)
             x, y = x[ok], y[ok]
             tell(a[x], b[y], o[x, y], u[x, y])
 
 
-def _join(cell: Cell, docs: np.ndarray, least: float, tell, depth: int = 0) -> None:
+def _join(cell: Cell, docs: np.ndarray, least: float, tell, depth: int = 0, side: np.ndarray | None = None) -> None:
     """All pairs of docs within the threshold, each once: told in the first of the cells where its documents are at home. Voronoi
     cells of a few pivots, each farthest from those before, and the documents that the triangle inequality lets have a partner
-    there; a cell that is hardly smaller isn't split again."""
-    if len(docs) < 2:
+    there; a cell that is hardly smaller isn't split again. side: only pairs of documents of which one has it and one hasn't."""
+    if len(docs) < 2 or side is not None and side[docs].all() == side[docs].any():
         return
     pivots = [docs[0]]
     d = cell.distances(docs, np.array(pivots))
     if len(docs) <= LEAF:
-        return _leaf(cell, docs, d[:, 0], least, tell)
+        return _leaf(cell, docs, d[:, 0], least, tell, side)
     for _ in range(min(15, len(docs) // LEAF + 1)):
         far = d.min(1).argmax()
         if d[far].min() <= 0:
@@ -509,9 +533,9 @@ def _join(cell: Cell, docs: np.ndarray, least: float, tell, depth: int = 0) -> N
         window = at_home | (d[:, k] <= own[at_home].max() + r) & (d[:, k] <= own + 2 * r)
         some = docs[window]
         if len(some) > 0.7 * len(docs) or depth > 20:
-            _leaf(cell, some, d[window, k], least, first(k))
+            _leaf(cell, some, d[window, k], least, first(k), side)
         else:
-            _join(cell, some, least, first(k), depth + 1)
+            _join(cell, some, least, first(k), depth + 1, side)
 
 
 def join_sets(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int, int, int]]:
@@ -534,9 +558,10 @@ def _region(least: float, n: int):
     def run(table: pa.Table) -> pa.Table:
         # a row that repeats a document and its set counts once
         once = {(i, t): k for k, (i, t) in enumerate(zip(table["x"].to_pylist(), table["mark"].to_pylist()))}
-        table = table.take(pa.array(list(once.values()), pa.int64()))
+        if len(once) < len(table):
+            table = table.take(pa.array(list(once.values()), pa.int64()))
         ids, own, sets = table["x"].to_numpy(), int(table["p"][0].as_py()), []
-        block, apart = table["block"].to_numpy(), table["i"][0].as_py() != table["j"][0].as_py()
+        side = table["block"].to_numpy() == table["i"][0].as_py() if table["i"][0].as_py() != table["j"][0].as_py() else None
         for batch in table.select(["text"]).to_batches():
             for _, some in _blocks(batch):
                 part = Block(some, n)
@@ -548,9 +573,6 @@ def _region(least: float, n: int):
         links = Links(table["weight"].to_numpy())
 
         def tell(a, b, o, u):
-            if apart:
-                ok = block[a] != block[b]
-                a, b = a[ok], b[ok]
             if len(lists) > 1 or len(lists_of[0]) > 1:
                 both, at = np.unique(kind[a] * len(lists) + kind[b], return_inverse=True)
                 for k in both.tolist():
@@ -560,7 +582,7 @@ def _region(least: float, n: int):
                 a, b = a[ok], b[ok]
             links.tell(a, b)
 
-        _join(Cell(sets), np.arange(len(sets)), least, tell)
+        _join(Cell(sets, free=True), np.arange(len(ids)), least, tell, side=side)
         some, lower = np.flatnonzero(links.n), np.flatnonzero(links.label != np.arange(len(ids)))
         nulls = pa.nulls(len(some), pa.int64()), pa.nulls(len(lower), pa.binary()), pa.nulls(len(lower), pa.int64())
         counts = [pa.array(ids[some]), nulls[0], table["mark"].take(pa.array(some)).combine_chunks(), pa.array(links.n[some])]
@@ -610,16 +632,28 @@ def _crossed(stars: DataFrame) -> DataFrame:
     return pairs.select("p", "x", "n").unionByName(pairs.select("p", F.col("x_").alias("x"), F.col("n_").alias("n"))).distinct().unionByName(many.select("p", "x", "n"))
 
 
+def _in_blocks(own: DataFrame) -> DataFrame:
+    """Members (p, x, mark, block, blocks) of regions of several: one too large for a task is joined block by block, each pair of
+    blocks in a task of its own."""
+    half = max(1, CELL // 2)
+    # none counts for more than a block, so no block is empty
+    cost = F.least(F.greatest("cost", F.lit(max(1, CELL // REGION))), F.lit(half))
+    of = Window.partitionBy("p")
+    own = own.withColumn("cost", cost).select("*", F.count("x").over(of).alias("count"), F.sum("cost").over(of).alias("all"), (F.sum("cost").over(of.orderBy("x", "mark")) - F.col("cost")).alias("before"))
+    own = own.where("count > 1").withColumn("block", F.when(F.col("all") <= CELL, 0).otherwise(F.floor(F.col("before") / half)).cast("int"))
+    return own.select("p", "x", "mark", "block", (F.max("block").over(of) + 1).alias("blocks"))
+
+
 def _linked(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members (id, v, mark, m): of each document and distinct set the least document with that set; counts (id, mark, links) of
+    """(members (id, v, mark, m, cost): of each document and distinct set the least document with that set; counts (id, mark, links) of
     sets with links to others, edges (a, b) that connect what links connect)."""
     k, known = buckets(docs), docs.where("doc_id is not null")
     bits = min(56, max(32, math.ceil(math.log2(max(1, input_bytes(docs)))) + 3))
     # equal sets are one: the least document stands for them
-    marks = written(known.mapInArrow(_sized(n), "v bigint, mark binary, m bigint"), "marks").distinct()
+    marks = written(known.mapInArrow(_sized(n), "v bigint, mark binary, m bigint, cost bigint"), "marks").groupBy("v", "mark", "m").agg(F.sum("cost").alias("cost"))
     first = marks.where("m > 0").groupBy("mark").agg(F.min("v").alias("id"), F.count("v").alias("weight"))
     first = written(first, "first")
-    members = written(marks.join(first.select("mark", "id"), "mark", "left").select("id", "v", "mark", "m"), "members")
+    members = written(marks.join(first.select("mark", "id"), "mark", "left").select("id", "v", "mark", "m", "cost"), "members")
     # the others don't meet any: else n-grams of one text would be as frequent as its copies, and all of its regions full of them
     copies = written(members.groupBy("v").agg(F.max(F.col("id") == F.col("v")).alias("first")).where("not first").select(F.col("v").alias("doc_id")), "copies")
     count, one = copies.count(), known
@@ -636,17 +670,15 @@ def _linked(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame
     own = [pairs.select("p", "x", "n"), pairs.select("p", F.col("p").alias("x"), "n"), _crossed(stars)]
     # texts of one document are no pair, but meet too
     own.append(marks.groupBy("v").count().where("count > 1").select(F.col("v").alias("p"), F.col("v").alias("x"), F.lit(0).cast("bigint").alias("n")))
-    least_of = members.where("id is not null").select(F.col("v").alias("x"), "id", "mark").distinct()
+    least_of = members.where("id is not null").select(F.col("v").alias("x"), "id", "mark", "cost")
     regions = own[0].unionByName(own[1]).unionByName(own[2]).join(least_of, "x")
-    regions = written(regions.groupBy("p", F.col("id").alias("x"), "mark").agg(F.max("n").alias("n")), "regions")
+    regions = written(regions.groupBy("p", F.col("id").alias("x"), "mark").agg(F.max("n").alias("n"), F.max("cost").alias("cost")), "regions")
     # regions whose pivots share many n-grams are one, so that a cluster of copies is joined once and not for each of its pivots
     labels = components(regions.where(F.col("n") >= STRONG).select(F.col("p").alias("a"), F.col("x").alias("b"))).select(F.col("a").alias("p"), "label")
-    own = written(regions.join(labels, "p", "left").select(F.coalesce("label", "p").alias("p"), "x", "mark").distinct(), "own")
-    # one too large for a task is joined block by block, each pair of blocks in a task of its own
-    count = own.groupBy("p").count().where("count > 1").select("p", F.ceil(F.col("count") / REGION).cast("int").alias("blocks"))
-    own = written(own.join(count, "p"), "own")
+    own = regions.join(labels, "p", "left").groupBy(F.coalesce("label", "p").alias("p"), "x", "mark").agg(F.max("cost").alias("cost"))
+    own = written(_in_blocks(written(own, "own")), "own")
     of = own.groupBy("x", "mark").agg(F.collect_set("p").alias("regions")).join(first.select("mark", "weight"), "mark")
-    spread = own.withColumn("block", F.pmod(F.xxhash64("x", "mark"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = written(spread.select("p", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"), "block", "x", "mark").join(of, ["x", "mark"]), "spread")
     wanted = spread.select(F.col("x").alias("doc_id")).distinct()
     alone = known.join(_few(wanted), "doc_id", "left_semi").mapInArrow(_marked(n), "doc_id bigint, text string, mark binary")
