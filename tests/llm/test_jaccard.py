@@ -206,3 +206,15 @@ def test_memory_of_a_cell():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak / n < 40
+
+
+def test_each_task_has_a_bucket_of_its_own(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(str(rng.randrange(10)) for _ in range(300))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found, written = {}, J.written
+    monkeypatch.setattr(J, "written", lambda df, name: found.update({name: written(df, name)}) or found[name])
+    monkeypatch.setattr(J, "buckets", lambda df: 16)
+    J.jaccard_links(docs)
+    for name in ("grams", "met"):
+        assert len({r.f for r in found[name].select(J.F.input_file_name().alias("f")).collect()}) == 16, name

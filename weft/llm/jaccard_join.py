@@ -229,7 +229,8 @@ def gram_order(docs: DataFrame, bits: int, n_buckets: int, n: int, most: int | N
     that leaves so few. In a larger corpus that power is higher, and n-grams below it are many of those that any document has;
     of them a table of bits tells the frequent ones from the rare.
     """
-    counts = docs.mapInArrow(_gram_counts(bits, n_buckets, n), "bucket int, body binary").repartition(n_buckets, "bucket")
+    # a bucket a task: by hashes of the numbers some tasks would have several
+    counts = docs.mapInArrow(_gram_counts(bits, n_buckets, n), "bucket int, body binary").repartitionById(n_buckets, "bucket")
     counts = written(counts.mapInArrow(_gram_sums, "gram bigint, c tinyint"), "grams")
     least, left, rest = 63, 0, 0
     for r in sorted(counts.groupBy("c").count().collect(), reverse=True):
@@ -661,7 +662,7 @@ def _linked(docs: DataFrame, least: float, n: int) -> tuple[DataFrame, DataFrame
         one = known.join(_few(copies), "doc_id", "left_anti")
     if count > BROADCAST:
         one = written(one, "one")
-    met = one.mapInArrow(_prefixes(gram_order(one, bits, k, n), least, n, k), "bucket int, body binary").repartition(k, "bucket").mapInArrow(_meet(least), "p bigint, x bigint, least bigint, n bigint, kind tinyint")
+    met = one.mapInArrow(_prefixes(gram_order(one, bits, k, n), least, n, k), "bucket int, body binary").repartitionById(k, "bucket").mapInArrow(_meet(least), "p bigint, x bigint, least bigint, n bigint, kind tinyint")
     met = written(met, "met")
     # a pair shares enough rare n-grams, or each of its documents has enough common ones
     met = met.groupBy("p", "x", "kind").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
