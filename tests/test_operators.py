@@ -120,6 +120,22 @@ def test_vectors(spark):
     assert all(0 < s < 1 for s in got(vector.calibrated(df, "id", "v", q.tolist(), 5)).values())
 
 
+def test_vector_join_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 60)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 6))
+    odd = [(100, None, 0), (101, [0.0] * 6, 0), (102, [1.0], 0), (103, [2.0], 0), (104, [None] * 6, 0), (None, [1.0] * 6, 0), (105, [1.0] * 6, None)]
+    df = spark.createDataFrame([(i, v.tolist(), i % 3 if i > 9 else 0) for i, v in enumerate(x)] + odd, "id bigint, v array<double>, k int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    k = [i % 3 if i > 9 else 0 for i in range(80)]
+    pairs = lambda *keys: {(r.left_id, r.right_id): r[SCORE] for r in vector.join(df, df, ("id", "v"), ("id", "v"), 0.3, *keys).where("left_id <> 105 and right_id <> 105").collect()}
+    for got_, same in ((pairs(), lambda i, j: True), (pairs([("k", "k")]), lambda i, j: k[i] == k[j])):
+        want = {(i, j): u[i] @ u[j] for i in range(80) for j in range(80) if u[i] @ u[j] >= 0.3 and same(i, j)} | {p: 1.0 for p in ((102, 102), (102, 103), (103, 102), (103, 103))}
+        assert set(got_) == set(want) and all(math.isclose(got_[p], want[p]) for p in want)
+    assert 105 not in {r.left_id for r in vector.join(df, df, ("id", "v"), ("id", "v"), 0.3, [("k", "k")]).collect()}
+    assert vector.join(df, df, ("id", "v"), ("id", "v"), 2.0).count() == 0
+
+
 def test_deep(spark):
     g = graph.grid(spark, 2, 2)
     state = spark.createDataFrame([(1, [0.9, 0.1]), (2, [0.5, 0.5]), (3, [0.5, 0.5]), (4, [0.2, 0.8])], deep.STATE)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import fusion
+from weft.operators import fusion, graph
 from weft.operators.signals import ID, SCORE, difference, signal, top_k
 
 
@@ -89,34 +91,91 @@ def calibrated(docs: DataFrame, doc_id: str, column: str, query: list[float], k:
     return near.select(ID, F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), fusion.sigmoid(odds))).alias(SCORE))
 
 
+#: Elements of the vectors of a block, and pairs of which cosines are held at once.
+BLOCK, HELD = 1 << 21, 1 << 22
+
+
+def _matrix(v: pa.ListArray | pa.ChunkedArray, like: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a vector (of `like` elements) without nulls and of a finite length above 0, and these vectors."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    n = np.diff(v.offsets.to_numpy())
+    flat = v.flatten()
+    if flat.null_count:
+        holes = np.r_[0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))]
+        ends = np.r_[0, np.cumsum(np.where(v.is_null().to_numpy(zero_copy_only=False), 0, n))]
+        n = np.where(holes[ends[1:]] > holes[ends[:-1]], -1, n)
+    keep = np.flatnonzero((n == like) & ~v.is_null().to_numpy(zero_copy_only=False))
+    x = v.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False).reshape(len(keep), like)
+    size = np.linalg.norm(x.astype(np.float64), axis=1)
+    ok = np.isfinite(size) & (size > 0)
+    return keep[ok], x[ok]
+
+
+def _near(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y, cosines) of at least `least`, piece by piece. Products in single precision find the pairs, less
+    what its rounding can be; their cosines are of doubles."""
+    sizes = [np.linalg.norm(m.astype(np.float64), axis=1) for m in (x, y)]
+    u, w = ((m / s[:, None]).astype(np.float32) for m, s in zip((x, y), sizes))
+    low = np.float32(least - (x.shape[1] + 16) * 2.0**-22)
+    wide = min(len(y), 8192)
+    high = max(1, HELD // max(1, wide))
+    for i in range(0, len(x), high):
+        for j in range(0, len(y), wide):
+            p, q = np.nonzero(u[i : i + high] @ w[j : j + wide].T >= low)
+            each = max(1, HELD // x.shape[1])
+            for k in range(0, len(p), each):
+                a, b = p[k : k + each] + i, q[k : k + each] + j
+                s = np.einsum("ij,ij->i", x[a].astype(np.float64), y[b].astype(np.float64)) / (sizes[0][a] * sizes[1][b])
+                ok = s >= least
+                yield a[ok], b[ok], s[ok]
+
+
 def join(left: DataFrame, right: DataFrame, left_on: tuple[str, str], right_on: tuple[str, str], least: float, equal: list[tuple[str, str]] | None = None) -> DataFrame:
     """(left_id, right_id, _score) of pairs of rows whose vectors have at least that cosine; `equal` pairs of columns must be
-    equal, which turns all pairs into an equi-join. (id, vector) columns of both sides are given.
+    equal. (id, vector) columns of both sides are given. Vectors with nulls, of length 0 or not finite have no pairs, nor do
+    those of different numbers of elements.
 
-    Without `equal`, blocks of both sides meet in a grid of tasks, each multiplying two matrices: every pair once, no side is
-    broadcast, and what is replicated is a vector to the side of the grid."""
+    Rows of equal keys meet in a grid of blocks: every pair of blocks is a group of its own, multiplied piece by piece, every
+    pair of rows once and no side broadcast. A block has BLOCK elements on average whatever the size of the table; what is
+    replicated is a vector to the blocks that the other side has of its keys."""
     (li, lv), (ri, rv) = left_on, right_on
-    if equal:
-        a = left.select(F.col(li).alias("left_id"), F.col(lv).alias("_a"), *(F.col(x).alias(f"_k{i}") for i, (x, _) in enumerate(equal)))
-        b = right.select(F.col(ri).alias("right_id"), F.col(rv).alias("_b"), *(F.col(y).alias(f"_k{i}") for i, (_, y) in enumerate(equal)))
-        return a.join(b, [f"_k{i}" for i in range(len(equal))]).select("left_id", "right_id", cosine(F.col("_a"), F.col("_b")).alias(SCORE)).where(F.col(SCORE) >= least)
-    n = max(1, math.ceil(math.sqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    a = left.select(F.col(li).cast("bigint").alias("id"), F.col(lv).cast("array<double>").alias("v"), F.lit(0).alias("side"), F.pmod(F.xxhash64(li), F.lit(n)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    b = right.select(F.col(ri).cast("bigint").alias("id"), F.col(rv).cast("array<double>").alias("v"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.pmod(F.xxhash64(ri), F.lit(n)).cast("int").alias("j"))
-
-    def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        x = [table.filter(pa.array(side == s)) for s in (0, 1)]
-        m = [np.array(t["v"].to_pylist(), np.float64).reshape(len(t), -1) for t in x]
-        out = [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-        if len(x[0]) and len(x[1]):
-            u = [y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300) for y in m]
-            s = u[0] @ u[1].T
-            p, q = np.nonzero(s >= least)
-            out = [x[0]["id"].to_numpy()[p], x[1]["id"].to_numpy()[q], s[p, q]]
-        return pa.table([pa.array(c) for c in out], ["left_id", "right_id", SCORE])
-
-    return a.unionByName(b).where("v is not null and id is not null").groupBy("i", "j").applyInArrow(run, f"left_id bigint, right_id bigint, {SCORE} double")
+    equal = equal or []
+    spark, keys = left.sparkSession, [*(f"_k{i}" for i in range(len(equal))), "_n"]
+
+    def rows(df: DataFrame, i: str, v: str, on: list[str]) -> DataFrame:
+        t = df.schema[v].dataType
+        own = F.col(v) if t.elementType.typeName() in ("float", "double") else F.col(v).cast("array<double>")
+        return df.select((F.col(i) if equal else F.col(i).cast("bigint")).alias("id"), own.alias("v"), *(F.col(c).alias(f"_k{k}") for k, c in enumerate(on)), F.size(v).alias("_n")).dropna(subset=["id", "v", *keys[:-1]])
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count("*") * F.col("_n") / F.lit(BLOCK)).cast("int").alias(name))
+
+    a, b = rows(left, li, lv, [x for x, _ in equal]), rows(right, ri, rv, [y for _, y in equal])
+    grid = graph.settled(blocks(a, "_a").join(blocks(b, "_b"), keys).where("_n > 0"))
+    grid = F.broadcast(grid) if grid.count() <= 100_000 else grid
+    here, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = [df.join(grid, keys).withColumn("i", here("_a") if not s else every("_a")).withColumn("j", every("_b") if not s else here("_b")).select(*keys, "i", "j", "id", "v", F.lit(s).alias("side")) for s, df in enumerate((a, b))]
+    cell = [*keys, "i", "j"]
+    names = ["left_id", "right_id", SCORE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).select(["_n", "id", "v", "side"])
+        n = table["_n"][0].as_py()
+        parts = []
+        for s in (0, 1):
+            own = table.filter(pc.equal(table["side"], s))
+            keep, x = _matrix(own["v"], n)
+            parts.append((own["id"].combine_chunks().take(pa.array(keep)), x))
+        del table, own
+        (p, x), (q, y) = parts
+        for i, j, s in _near(x, y, least):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([p.take(pa.array(i)), q.take(pa.array(j)), pa.array(s)], names)
+
+    both = both[0].unionByName(both[1])
+    kind = both.schema["id"].dataType.simpleString()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small partitions of much work aren't merged
+    return both.repartition(n, *cell).groupBy(*cell).applyInArrow(run, f"left_id {kind}, right_id {kind}, {SCORE} double")
 
 
 class IVF:
