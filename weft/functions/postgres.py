@@ -267,7 +267,7 @@ CALLS = {
     "regexp_match": _regexp_match, "regexp_matches": _regexp_matches, "regexp_replace": _regexp_replace,
     "regexp_split_to_array": lambda s, p, *f: f"split({s}, {_pattern(p, _flags(f, 0))})", "string_to_array": lambda s, d: f"split({s}, concat('\\\\Q', {d}, '\\\\E'))",
     "split_part": lambda s, d, n: f"CASE WHEN {n} < 1 THEN '' ELSE split_part({s}, {d}, greatest(1, {n})) END",
-    "encode": _encode, "decode": _decode, "round": _round, "log": _log, "mod": _mod, "trunc": _trunc, "div": lambda a, b: f"CAST(floor(try_divide({a}, {b})) AS BIGINT)",
+    "exp": lambda x: f"weft_exp(CAST({x} AS DOUBLE))", "encode": _encode, "decode": _decode, "round": _round, "log": _log, "mod": _mod, "trunc": _trunc, "div": lambda a, b: f"CAST(floor(try_divide({a}, {b})) AS BIGINT)",
     "gcd": _gcd, "lcm": _lcm, "width_bucket": _width_bucket, "trim_scale": lambda x: f"CAST({_trim_scale(x)} AS DOUBLE)", "min_scale": lambda x: f"length(regexp_extract({_trim_scale(x)}, '\\\\.(\\\\d+)$', 1))", "random": lambda: "rand()",
     "now": lambda: "date_trunc('SECOND', current_timestamp())", "clock_timestamp": lambda: "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")", "timeofday": lambda: "date_format(current_timestamp(), 'EEE MMM dd HH:mm:ss.SSSSSS yyyy')",
     "extract": _extract, "date_part": _extract, "make_timestamp": lambda *a: f"make_timestamp_ntz({', '.join(a)})", "make_interval": _make_interval, "isfinite": lambda x: f"(lower(CAST({x} AS STRING)) NOT IN ('infinity', '-infinity'))",
@@ -325,7 +325,7 @@ def _put(doc, path: list[str], value, create: bool):
 
 
 def register(spark: SparkSession) -> None:
-    """The Arrow UDFs behind the functions that change JSON documents or search them by structure. Null arguments give null."""
+    """The Arrow UDFs behind exp and the functions that change JSON documents or search them by structure. Null arguments give null."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
@@ -338,6 +338,7 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, pandas_udf(g, kind))
 
     dump = scalar._dump
+    spark.udf.register("weft_exp", scalar.exp)
     add("weft_json_strip_nulls", "string", lambda x: dump(scalar._without_nulls(json.loads(x))))
     add("weft_json_set", "string", lambda x, p, v, c: dump(_put(json.loads(x), _keys(p), _loads(v), bool(c))))
     add("weft_json_contains", "boolean", lambda a, b: scalar.contained(_loads(a), _loads(b)))

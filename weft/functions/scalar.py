@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions import analysis
 from weft.operators.graph import settled
 
 
+#: Exponentials of more are infinite.
+MOST_EXP = 709.782712893384
+
+
 def gcd(a: Column, b: Column) -> Column:
     """Euclid's algorithm over a sequence long enough for 64 bits: it stays within Spark."""
     start = F.struct(F.abs(a.cast("bigint")).alias("a"), F.abs(b.cast("bigint")).alias("b"))
@@ -31,6 +37,22 @@ def trunc(x: Column, digits: int = 0) -> Column:
     return F.when(x < 0, F.ceil(x * scale)).otherwise(F.floor(x * scale)).cast("double") / scale
 
 
+def nearest(x: Column, digits: int) -> Column:
+    """x rounded to so many digits as SQL engines round doubles: the double nearest to x times the power of ten, halves away from
+    zero, over that power; x itself where that is too large. Spark's round() rounds the shortest decimal of x instead."""
+    m = F.lit(10.0**digits)
+    y = x.cast("double") * m
+    a, r = F.abs(y), F.rint(F.abs(y))
+    z = F.signum(y) * F.when(a - r == 0.5, r + 1).otherwise(r) / m
+    return F.when(F.abs(z) < float("inf"), z).otherwise(x.cast("double"))
+
+
+@F.pandas_udf(T.DoubleType())
+def exp(x: pd.Series) -> pd.Series:
+    """The C library's exponential, as SQL engines have it: the JVM's differs in the last bit of some."""
+    return x.map(lambda v: math.exp(v) if v == v and v < MOST_EXP else v * math.inf, na_action="ignore")
+
+
 def floor_div(a: Column, b: Column) -> Column:
     """Integer division that rounds down; null by 0."""
     return F.floor(F.try_divide(a, b)).cast("bigint")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.functions import postgres
 from weft.plans import relational, search, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,8 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
 def _sql(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, relational.spark_sql(name))
+        if "weft_" in relational.spark_sql(name):
+            postgres.register(spark)
         return spark.sql(relational.spark_sql(name))
 
     return run

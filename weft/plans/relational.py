@@ -9,6 +9,15 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 _AGG = "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n"
 
+
+
+def _nearest(c: str, digits: int) -> str:
+    """A column rounded as SQL engines round doubles; see weft.functions.scalar.nearest."""
+    m = f"{10.0**digits:.0f}D"
+    z = f"signum({c} * {m}) * (rint(abs({c} * {m})) + CASE WHEN abs({c} * {m}) - rint(abs({c} * {m})) = 0.5D THEN 1 ELSE 0 END) / {m}"
+    return f"CASE WHEN abs({z}) < double('inf') THEN {z} ELSE {c} END AS {c}"
+
+
 #: name -> SQL, or (Spark's, DuckDB's).
 SQL: dict[str, str | tuple[str, str]] = {
     # --- scans, filters, projections
