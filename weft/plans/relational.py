@@ -109,7 +109,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     # --- scalar functions by family
     "fn_string": ("SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, char_length(p_name) AS n, trim(BOTH 'p' FROM p_name) AS t, replace(p_name, 'a', 'X') AS r, substring(p_name, 2, 3) AS s, concat_ws('/', p_brand, p_type) AS cw, left(p_name, 3) AS lf, right(p_name, 3) AS rt, translate(p_name, 'abc', 'xy') AS tr, ascii(p_name) AS a, position('a' IN p_name) AS po, octet_length(p_name) AS ol, md5(p_name) AS m, lpad(p_name, 5, '*') AS lp, rpad(p_name, 30, '-') AS rp, repeat(p_brand, 2) AS re, reverse(p_name) AS rv, split_part(p_type, ' ', 2) AS sp, startswith(p_name, 'p') AS st, overlay(p_name PLACING 'ZZ' FROM 2 FOR 1) AS ov FROM part", "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, CAST(length(p_name) AS INT) AS n, trim(p_name, 'p') AS t, replace(p_name, 'a', 'X') AS r, substring(p_name, 2, 3) AS s, concat_ws('/', p_brand, p_type) AS cw, left(p_name, 3) AS lf, right(p_name, 3) AS rt, translate(p_name, 'abc', 'xy') AS tr, ascii(p_name) AS a, CAST(position('a' IN p_name) AS INT) AS po, CAST(strlen(p_name) AS INT) AS ol, md5(p_name) AS m, lpad(p_name, 5, '*') AS lp, rpad(p_name, 30, '-') AS rp, repeat(p_brand, 2) AS re, reverse(p_name) AS rv, split_part(p_type, ' ', 2) AS sp, starts_with(p_name, 'p') AS st, substring(p_name, 1, 1) || 'ZZ' || substring(p_name, 3) AS ov FROM part"),
     "fn_regex": ("SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_') AS r, regexp_extract(p_brand, '([0-9]+)', 1) AS d, regexp_like(p_name, '^p') AS m, split(p_type, ' ') AS parts FROM part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_', 'g') AS r, regexp_extract(p_brand, '([0-9]+)', 1) AS d, regexp_matches(p_name, '^p') AS m, string_split(p_type, ' ') AS parts FROM part"),
-    "fn_math": ("SELECT o_orderkey, abs(-o_totalprice) AS a, round(sqrt(o_totalprice), 6) AS sq, ceil(o_totalprice) AS c, floor(o_totalprice) AS f, round(power(o_custkey, 2), 3) AS p, round(ln(o_totalprice), 6) AS ln, round(log10(o_totalprice), 6) AS lg, round(exp(o_custkey / 1000.0), 6) AS e, o_orderkey % 7 AS m, CAST(sign(o_custkey - 50) AS INT) AS sg, round(cbrt(o_totalprice), 6) AS cb, round(pi(), 9) AS pi FROM orders", "SELECT o_orderkey, abs(-o_totalprice) AS a, round(sqrt(o_totalprice), 6) AS sq, CAST(ceil(o_totalprice) AS BIGINT) AS c, CAST(floor(o_totalprice) AS BIGINT) AS f, round(power(o_custkey, 2), 3) AS p, round(ln(o_totalprice), 6) AS ln, round(log10(o_totalprice), 6) AS lg, round(exp(CAST(o_custkey AS DOUBLE) / 1000.0), 6) AS e, o_orderkey % 7 AS m, CAST(sign(o_custkey - 50) AS INT) AS sg, round(cbrt(o_totalprice), 6) AS cb, round(pi(), 9) AS pi FROM orders"),
+    "fn_math": (f"SELECT o_orderkey, a, {_nearest('sq', 6)}, c, f, {_nearest('p', 3)}, {_nearest('ln', 6)}, {_nearest('lg', 6)}, {_nearest('e', 6)}, m, sg, {_nearest('cb', 6)}, {_nearest('pi', 9)} FROM (SELECT o_orderkey, abs(-o_totalprice) AS a, sqrt(o_totalprice) AS sq, ceil(o_totalprice) AS c, floor(o_totalprice) AS f, power(o_custkey, 2) AS p, ln(o_totalprice) AS ln, log10(o_totalprice) AS lg, weft_exp(CAST(o_custkey / 1000.0 AS DOUBLE)) AS e, o_orderkey % 7 AS m, CAST(sign(o_custkey - 50) AS INT) AS sg, cbrt(o_totalprice) AS cb, pi() AS pi FROM orders)", "SELECT o_orderkey, abs(-o_totalprice) AS a, round(sqrt(o_totalprice), 6) AS sq, CAST(ceil(o_totalprice) AS BIGINT) AS c, CAST(floor(o_totalprice) AS BIGINT) AS f, round(power(o_custkey, 2), 3) AS p, round(ln(o_totalprice), 6) AS ln, round(log10(o_totalprice), 6) AS lg, round(exp(CAST(o_custkey AS DOUBLE) / 1000.0), 6) AS e, o_orderkey % 7 AS m, CAST(sign(o_custkey - 50) AS INT) AS sg, round(cbrt(o_totalprice), 6) AS cb, round(pi(), 9) AS pi FROM orders"),
     "fn_trig": "SELECT n_nationkey, round(sin(n_nationkey), 8) AS s, round(cos(n_nationkey), 8) AS c, round(tan(n_nationkey), 6) AS t, round(asin(CAST(n_nationkey AS DOUBLE) / 30), 8) AS asn, round(acos(CAST(n_nationkey AS DOUBLE) / 30), 8) AS acs, round(atan(n_nationkey), 8) AS atn, round(atan2(n_nationkey, 3), 8) AS a2, round(degrees(n_nationkey), 6) AS d, round(radians(n_nationkey), 8) AS r FROM nation",
     "fn_datetime": ("SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, hour(o_orderdate) AS h, dayofweek(o_orderdate) - 1 AS dow, dayofyear(o_orderdate) AS doy, quarter(o_orderdate) AS q, weekofyear(o_orderdate) AS w, unix_timestamp(o_orderdate) AS ep, date_trunc('month', o_orderdate) AS mt, make_date(year(o_orderdate), 1, 1) AS jan, datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS dd, date_format(o_orderdate, 'yyyy-MM-dd') AS f FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(hour(o_orderdate) AS INT) AS h, CAST(dayofweek(o_orderdate) AS INT) AS dow, CAST(dayofyear(o_orderdate) AS INT) AS doy, CAST(quarter(o_orderdate) AS INT) AS q, CAST(weekofyear(o_orderdate) AS INT) AS w, CAST(epoch(o_orderdate) AS BIGINT) AS ep, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS mt, make_date(year(o_orderdate), 1, 1) AS jan, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS INT) AS dd, strftime(o_orderdate, '%Y-%m-%d') AS f FROM orders"),
     "fn_json": ("SELECT event_id, get_json_object(props, '$.k') AS k, json_object_keys(props) AS keys FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_keys(props) AS keys FROM events"),
