@@ -77,11 +77,13 @@ SQL: dict[str, str | tuple[str, str]] = {
     "win_lag_lead": "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev, lead(o_orderkey, 2, -1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders",
     "win_first_last_nth": "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS n2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
     "win_rows": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s3, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS a3 FROM orders",
-    "win_range": "SELECT l_orderkey, l_linenumber, CAST(count(*) OVER (PARTITION BY l_returnflag ORDER BY l_quantity RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS n FROM lineitem",
+    # frames over equal values counted once: a window's partition has a row a value, not a row a line
+    "win_range": ("WITH c AS (SELECT l_returnflag AS f, l_quantity AS q, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_quantity), w AS (SELECT f, q, sum(n) OVER (PARTITION BY f ORDER BY q RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM c) SELECT l_orderkey, l_linenumber, CAST(w.n AS BIGINT) AS n FROM lineitem JOIN w ON l_returnflag <=> w.f AND l_quantity <=> w.q", "SELECT l_orderkey, l_linenumber, CAST(count(*) OVER (PARTITION BY l_returnflag ORDER BY l_quantity RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS n FROM lineitem"),
     "win_default_frame": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority), 2) AS s FROM orders",
     "win_filter": ("SELECT o_orderkey, CAST(count(CASE WHEN o_totalprice > 100000 THEN 1 END) OVER (PARTITION BY o_custkey) AS BIGINT) AS n FROM orders", "SELECT o_orderkey, CAST(count(*) FILTER (WHERE o_totalprice > 100000) OVER (PARTITION BY o_custkey) AS BIGINT) AS n FROM orders"),
     "win_named": "SELECT o_orderkey, CAST(count(*) OVER w AS BIGINT) AS n, max(o_totalprice) OVER w AS m FROM orders WINDOW w AS (PARTITION BY o_custkey)",
-    "win_over_aggregate": "SELECT o_custkey, round(sum(o_totalprice), 2) AS s, rank() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS r FROM orders GROUP BY o_custkey",
+    # sums in the order of keys, whatever the partitions: equal ones stay equal, so that ranks depend on the rows alone
+    "win_over_aggregate": ("SELECT o_custkey, round(s, 2) AS s, rank() OVER (ORDER BY s DESC, o_custkey) AS r FROM (SELECT o_custkey, s FROM (SELECT o_custkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s, lead(1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_totalprice) AS more FROM orders) t WHERE more IS NULL) t", "SELECT o_custkey, round(sum(o_totalprice), 2) AS s, rank() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS r FROM orders GROUP BY o_custkey"),
     "win_bool_string": ("SELECT n_nationkey, bool_or(n_nationkey > 20) OVER (PARTITION BY n_regionkey) AS b, concat_ws(',', collect_list(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)) AS names FROM nation", "SELECT n_nationkey, bool_or(n_nationkey > 20) OVER (PARTITION BY n_regionkey) AS b, string_agg(n_name, ',') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS names FROM nation"),
     "win_qualify": ("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 2", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
     # --- sort, limit, distinct, sets, subqueries
