@@ -168,3 +168,19 @@ def test_streaming(spark, tmp_path):
     assert spark.table("weft_windows").agg(F.sum("n")).first()[0] == 1000
     streaming.run_once(streaming.sessions(events, "ts", "30 minutes", "1 hour", "user_id"), "weft_sessions", str(tmp_path / "c2"), "append")
     assert spark.table("weft_sessions").count() > 0
+
+
+def test_analyzers_remember_words(spark, monkeypatch):
+    calls = []
+    monkeypatch.setitem(analysis.FILTER, "counted", lambda o: lambda ts: calls.extend(ts) or [t + "!" for t in ts])
+    monkeypatch.setattr(analysis, "_built", {})
+    config = {"tokenizer": "standard", "filters": ["counted"]}
+    assert analysis.build(config)("a b a") + analysis.build(config)("b a") == ["a!", "b!", "a!", "b!", "a!"] and calls == ["a", "b"]
+    # a bounded number of words is kept, and they are filtered alike
+    monkeypatch.setattr(analysis.Filtered, "MOST", 3)
+    words = [f"w{i % 11}" for i in range(200)] + ["x" * 50] * 3
+    f = analysis.Filtered([lambda ts: [t.upper() for t in ts]])
+    assert [f[w] for w in words] == [(w.upper(),) for w in words] and len(f) <= 3 and len(f.old) <= 3
+    assert analysis.porter("y" * 5000 + "ing") == "y" * 4999 + "i"
+    df = spark.createDataFrame([(1, "The running Éclairs"), (2, None), (3, "")], "i int, t string")
+    assert {r.i: r.t for r in df.select("i", analysis.column("standard")(F.col("t")).alias("t")).collect()} == {1: ["run", "eclair"], 2: None, 3: []}
