@@ -1,8 +1,12 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weft.cypher import Cypher, CypherError
 from weft.operators import graph as G
+from weft.operators import packed
 from weft.operators.graph import EdgePattern, Graph
 from weft.operators.signals import ID, SCORE
 from weft.session import Session
@@ -116,3 +120,52 @@ def test_builder_and_graph_sql(spark, people, tmp_path):
     assert s.sql("SELECT * FROM graph_edges('h')").count() == 1 and s.sql("SELECT * FROM graph_nodes('h', 'x', '{\"a\": 1}')").count() == 1
     s.sql("SELECT build_grid_graph('grid', 3, 3, 'n')")
     assert s.sql("SELECT * FROM graph_edges('grid')").count() == 12
+
+
+def random_graph(spark, n, m, seed=5):
+    r = random.Random(seed)
+    e = [(i, r.randrange(n), r.randrange(n), r.choice(["a", "b", "", None]), None) for i in range(m)]
+    return Graph(settled(spark.createDataFrame([(7 * i - 20, "x", None) for i in range(n)], G.VERTEX)), settled(spark.createDataFrame([(i, 7 * a - 20, 7 * b - 20, x, y) for i, a, b, x, y in e], G.EDGE)))
+
+
+def plain(df):
+    return sorted(tuple([round(y, 9) for y in x] if isinstance(x, list) else round(x, 9) for x in r) for r in df.collect())
+
+
+def by_joins(monkeypatch, f):
+    with monkeypatch.context() as m:
+        m.setattr(G, "pack", lambda *a, **b: None)
+        return plain(f())
+
+
+@pytest.mark.parametrize("n, m", [(50, 130), (4, 0)])
+def test_betweenness_of_a_packed_graph(spark, monkeypatch, n, m):
+    g = random_graph(spark, n, m)
+    assert G.pack(g.vertices, g.edges) is not None
+    assert plain(G.betweenness(g)) == by_joins(monkeypatch, lambda: G.betweenness(g))
+
+
+def test_packing(spark, monkeypatch):
+    g = random_graph(spark, 50, 200)
+    p = G.pack(g.vertices, g.edges, ("out", "in"), values={"v": F.col("id") * 2.0}, labels=["a", "b"])
+    assert p.ids.tolist() == [7 * i - 20 for i in range(50)] and p.open("v").tolist() == [2.0 * x for x in p.ids] and p.sides == {"out": 200, "in": 200}
+    edges = {s: sorted((r.src, r.dst) if s == "out" else (r.dst, r.src) for r in g.edges.collect()) for s in ("out", "in")}
+    for s in ("out", "in"):
+        off, to = p.side(s)
+        of, at = packed.spread(off, np.arange(50))
+        assert [(int(p.ids[a]), int(p.ids[to[b]])) for a, b in zip(of, at)] == edges[s]
+        monkeypatch.setattr(packed, "WINDOW", 7)
+        assert packed.pull(off, 3, 40, lambda x, y: p.open("v")[to[x:y]]).tolist() == [2.0 * sum(b for a, b in edges[s] if a == i) for i in p.ids[3:40]]
+    # chunks shrink until they hold no more than they may, but for one source
+    monkeypatch.setattr(packed, "HELD", 10)
+
+    def work(a, b, most):
+        held = sum(i % 13 for i in range(a, b))
+        if most and held > most:
+            raise packed.Full
+        return held, [a, b]
+
+    got = list(packed.chunks(0, 500, work))
+    assert got[0][0] == 0 and got[-1][1] == 500 and all(x[1] == y[0] for x, y in zip(got, got[1:])) and all(b - a == 1 or work(a, b, None)[0] <= 10 for a, b in got)
+    # what can't be packed: edges of no vertex, repeated ids
+    assert G.pack(g.vertices.where("id > 0"), g.edges) is None and G.pack(g.vertices.union(g.vertices), g.edges) is None
