@@ -169,3 +169,16 @@ def test_packing(spark, monkeypatch):
     assert got[0][0] == 0 and got[-1][1] == 500 and all(x[1] == y[0] for x, y in zip(got, got[1:])) and all(b - a == 1 or work(a, b, None)[0] <= 10 for a, b in got)
     # what can't be packed: edges of no vertex, repeated ids
     assert G.pack(g.vertices.where("id > 0"), g.edges) is None and G.pack(g.vertices.union(g.vertices), g.edges) is None
+
+
+@pytest.mark.parametrize("f", [
+    lambda g: G.pagerank(g, rounds=2, tolerance=0.0), lambda g: G.hits(g, rounds=2, tolerance=0.0), lambda g: G.message_passing(g, F.col("id") % 7 / 7.0, 1, "max"),
+    lambda g: G.message_passing(g, F.col("id") % 7 / 7.0, 2), lambda g: G.embedding(g, 8, 2), lambda g: G.path_query(g, "a/b*"),
+], ids=["pagerank", "hits", "max", "mean", "embedding", "paths"])
+def test_whole_graphs_are_packed(spark, monkeypatch, f):
+    g = random_graph(spark, 40, 110)
+    packs = []
+    with monkeypatch.context() as m:
+        m.setattr(G, "pack", lambda *a, real=G.pack, **b: packs.append(real(*a, **b)) or packs[-1])
+        mine = plain(f(g))
+    assert packs and packs[0] is not None and mine == by_joins(monkeypatch, lambda: f(g))
