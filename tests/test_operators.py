@@ -184,3 +184,14 @@ def test_analyzers_remember_words(spark, monkeypatch):
     assert analysis.porter("y" * 5000 + "ing") == "y" * 4999 + "i"
     df = spark.createDataFrame([(1, "The running Éclairs"), (2, None), (3, "")], "i int, t string")
     assert {r.i: r.t for r in df.select("i", analysis.column("standard")(F.col("t")).alias("t")).collect()} == {1: ["run", "eclair"], 2: None, 3: []}
+
+
+def test_texts_are_read_once_for_several_queries(spark):
+    df = spark.createDataFrame([(1, "the fox and the dog"), (2, "a dog"), (3, None), (4, "--"), (5, "fox fox")], "i bigint, t string")
+    ix = text.index(df, "i", ["t"], "plain")
+    text.prepare(ix, ix.terms("fox dog") + ix.terms("the cat"))
+    both = [got(text.bm25(ix, q)) for q in ("fox dog", "the cat", "dog dog")]
+    assert len(ix.asked) == 1
+    assert both == [got(text.bm25(text.index(df, "i", ["t"], "plain"), q)) for q in ("fox dog", "the cat", "dog dog")] and set(both[0]) == {1, 2, 5}
+    # no condition finds the tokens another time
+    assert "Filter" not in ix.tokens._jdf.queryExecution().optimizedPlan().toString().replace("Filter isnotnull(t#", "")

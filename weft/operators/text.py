@@ -49,9 +49,10 @@ def index(docs: DataFrame, doc_id: str, fields: list[str], analyzer: str = "stan
     column = analysis.column(analyzer)
     parts = None
     for f in fields:
-        own = docs.select(F.col(doc_id).cast("bigint").alias(ID), F.lit(f).alias("field"), column(F.col(f)).alias("tokens")).where("tokens is not null")
+        # a condition on tokens would find them once more
+        own = docs.where(F.col(f).isNotNull()).select(F.col(doc_id).cast("bigint").alias(ID), F.lit(f).alias("field"), column(F.col(f)).alias("tokens"))
         parts = own if parts is None else parts.unionByName(own)
-    ix = Index(analyzer, parts.withColumn("dl", F.size("tokens")).where("dl > 0"))
+    ix = Index(analyzer, parts.withColumn("dl", F.size("tokens")))
     if path:
         ix.postings.sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(path)
         return Index(analyzer, stored=docs.sparkSession.read.parquet(path))
@@ -89,17 +90,26 @@ def _is(term: str):
     return lambda x: x == term
 
 
+def prepare(ix: Index, terms: list[str], field: str | None = None) -> tuple:
+    """The counts of terms in each row of an index that stores nothing, for all queries of these terms: texts are read once."""
+    own, distinct = ix.tokens if field is None else ix.tokens.where(F.col("field") == field), sorted(set(terms))
+    tf = F.array(*(F.size(F.filter("tokens", _is(t))) for t in distinct)) if distinct else F.array().cast("array<int>")
+    counts = graph.settled(own.select(ID, "field", "dl", tf.alias("tfs"))).where("dl > 0")
+    df = [F.sum((F.col("tfs")[i] > 0).cast("bigint")).alias(f"df{i}") for i in range(len(distinct))]
+    stats = [(r.field, r.n, r.avgdl, [r[f"df{i}"] for i in range(len(distinct))]) for r in counts.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *df).collect()]
+    ix.asked[tuple(distinct), field] = counts, stats
+    return tuple(distinct), field
+
+
 def _counted(ix: Index, terms: list[str], field: str | None) -> DataFrame:
     """_matched of an index that stores nothing: the counts of the terms in each row, written once and read for all that follows."""
-    own, distinct = ix.tokens if field is None else ix.tokens.where(F.col("field") == field), sorted(set(terms))
-    key = (tuple(distinct), field)
-    if key not in ix.asked:
-        tf = F.array(*(F.size(F.filter("tokens", _is(t))) for t in distinct)) if distinct else F.array().cast("array<int>")
-        counts = graph.settled(own.select(ID, "field", "dl", tf.alias("tfs")))
-        df = [F.sum((F.col("tfs")[i] > 0).cast("bigint")).alias(f"df{i}") for i in range(len(distinct))]
-        stats = [(r.field, r.n, r.avgdl, [r[f"df{i}"] for i in range(len(distinct))]) for r in counts.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *df).collect()]
-        ix.asked[key] = counts, stats
+    distinct = sorted(set(terms))
+    key = next((k for k in ix.asked if k[1] == field and set(distinct) <= set(k[0])), None) or prepare(ix, terms, field)
     counts, stats = ix.asked[key]
+    if list(key[0]) != distinct:  # of the counts of several queries those of this one
+        at = [key[0].index(t) for t in distinct]
+        counts = counts.withColumn("tfs", F.array(*(F.col("tfs")[i] for i in at)) if at else F.array().cast("array<int>"))
+        stats = [(f, n, avgdl, [dfs[i] for i in at]) for f, n, avgdl, dfs in stats]
     # one row a field
     corpus = counts.sparkSession.createDataFrame(stats, "field string, n bigint, avgdl double, dfs array<bigint>")
     each = F.arrays_zip(F.array(*map(F.lit, distinct)).alias("term"), F.array(*(F.lit(float(terms.count(t))) for t in distinct)).alias("boost"), F.col("tfs").alias("tf"), F.col("dfs").alias("df")) if distinct else F.array().cast("array<struct<term:string,boost:double,tf:int,df:bigint>>")

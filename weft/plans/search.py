@@ -148,6 +148,7 @@ def _(spark, sf_dir):
 
 def _two(spark, sf_dir):
     ix = _index(spark, sf_dir)
+    text.prepare(ix, ix.terms(QUERY) + ix.terms(OTHER))
     return [text.bayesian(ix, QUERY), text.bayesian(ix, OTHER)]
 
 
