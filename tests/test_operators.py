@@ -195,3 +195,14 @@ def test_texts_are_read_once_for_several_queries(spark):
     assert both == [got(text.bm25(text.index(df, "i", ["t"], "plain"), q)) for q in ("fox dog", "the cat", "dog dog")] and set(both[0]) == {1, 2, 5}
     # no condition finds the tokens another time
     assert "Filter" not in ix.tokens._jdf.queryExecution().optimizedPlan().toString().replace("Filter isnotnull(t#", "")
+
+
+def test_layers_over_a_packed_graph(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    g = graph.Graph(spark.range(30).selectExpr("id", "'x' AS label", "CAST(NULL AS map<string,string>) AS properties"), spark.createDataFrame([(i, int(a), int(b), "e", None) for i, (a, b) in enumerate(rng.integers(0, 28, (50, 2)))], graph.EDGE))
+    state = spark.createDataFrame([(i, rng.uniform(0.1, 0.9, 2).tolist()) for i in range(30)], deep.STATE)
+    ch = lambda df: {r[ID]: [round(x, 9) for x in r.channels] for r in df.collect()}
+    every = [lambda: ch(deep.convolve(state, g, [0.6, 0.4])), lambda: ch(deep.propagate(state, g)), lambda: ch(deep.propagate(state, g, how="max", direction="in"))]
+    mine, packs = [f() for f in every], []
+    monkeypatch.setattr(deep, "pack", lambda *a, **b: packs.append(1))
+    assert mine == [f() for f in every] and len(packs) == 3 and len(mine[0]) == 30

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.fusion import wide
 from weft.operators.graph import Graph, settled, steps
+from weft.operators.packed import WINDOW, Packed, pack, spread
 from weft.operators.signals import ID, SCORE
 
 STATE = f"{ID} bigint, channels array<double>"
@@ -76,8 +77,58 @@ def _collected(df: DataFrame, key: str = ID) -> DataFrame:
     return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c")).select(F.col(key).alias(ID), F.transform("c", lambda e: e["x"]).alias("channels"))
 
 
+def _packed(state: DataFrame, g: Graph, label: str | None) -> tuple[Packed, int] | None:
+    """The graph packed over the state's nodes with their channels as vectors, and how many channels there are."""
+    state = settled(state)  # read for its size, for the ranges of its ids and for its channels
+    row = state.select(F.size("channels").alias("n")).first()
+    if row is None or row.n < 1:
+        return None
+    nodes = state.select(F.col(ID).alias("id"), "channels")
+    p = pack(nodes, g.labelled(label), ("out", "in"), values={f"c{i}": F.col("channels")[i] for i in range(row.n)})
+    return p and (p, row.n)
+
+
+def _with_near(p: Packed, channels: int, sides: tuple[str, ...], own: bool, how: str, f) -> DataFrame:
+    """f of each node's channels, of those of its different neighbours (aggregated, itself among them only with `own`), and of
+    whether it has any; a range of nodes at a time."""
+
+    def run(a: int, b: int):
+        offs = [p.side(s) for s in sides]
+        while a < b:
+            # as many nodes as have WINDOW edges, one at least
+            e = max(a + 1, min(b, *(int(np.searchsorted(off[a : b + 1], int(off[a]) + WINDOW, "right")) + a - 1 for off, _ in offs)))
+            pairs = []
+            for off, to in offs:
+                of, at = spread(off, np.arange(a, e))
+                pairs.append(of * p.n + to[at])
+            pairs = np.unique(np.concatenate(pairs))
+            of, near = pairs // p.n, pairs % p.n
+            if not own:
+                of, near = of[of + a != near], near[of + a != near]
+            n = np.bincount(of, minlength=e - a)
+            x, m = np.empty((e - a, channels)), np.zeros((e - a, channels))
+            for i in range(channels):
+                c = p.open(f"c{i}")
+                x[:, i] = c[a:e]
+                if how == "max":
+                    k = np.flatnonzero(n)
+                    m[k, i] = np.maximum.reduceat(c[near], (np.cumsum(n) - n)[k]) if len(k) else 0.0
+                else:
+                    m[:, i] = np.bincount(of, c[near], e - a) / (np.maximum(n, 1) if how == "mean" else 1)
+            out = f(x, m, n > 0)
+            yield [np.asarray(p.ids[a:e]), pa.ListArray.from_arrays(np.arange(0, (e - a) * channels + 1, channels, dtype=np.int32), out.ravel())]
+            a = e
+
+    from pyspark.sql import SparkSession
+
+    return p.run(SparkSession.active(), run, STATE, sides[0])
+
+
 def propagate(state: DataFrame, g: Graph, label: str | None = None, how: str = "mean", direction: str = "both") -> DataFrame:
     """Neighbours' channels, aggregated, added to each node's own in log-odds."""
+    if got := _packed(state, g, label):
+        sides = {"out": ("out",), "in": ("in",), "both": ("out", "in")}[direction]
+        return _with_near(*got, sides, True, how, lambda x, m, some: _sig(_logit(x) + _logit(np.where(some[:, None], m, 0.5))))
     agg = {"mean": F.avg, "sum": F.sum, "max": F.max}[how]
     near = steps(g.labelled(label), direction).select("a", "b").distinct().join(_exploded(state), F.col("b") == F.col(ID))
     m = _collected(near.groupBy("a", "i").agg(agg("x").alias("x")), "a").withColumnRenamed("channels", "_m")
@@ -99,6 +150,9 @@ def _rings(g: Graph, state: DataFrame, most: int, label: str | None) -> DataFram
 
 def convolve(state: DataFrame, g: Graph, weights: list[float], label: str | None = None) -> DataFrame:
     """The weighted mean of each ring's mean channels; weights are scaled to sum 1 over the rings that a node has."""
+    if len(weights) == 2 and all(w > 0 for w in weights) and (got := _packed(state, g, label)):
+        w, v = map(float, weights)
+        return _with_near(*got, ("out", "in"), False, "mean", lambda x, m, some: np.where(some[:, None], (x * w + m * v) / (w + v), x))
     table = F.array(*(F.lit(float(w)) for w in weights))
     ring = _rings(g, state, len(weights) - 1, label).join(_exploded(state), F.col("b") == F.col(ID)).groupBy("a", "d", "i").agg(F.avg("x").alias("x"))
     w = F.element_at(table, F.col("d") + 1)
